@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import op9_line_dedup
+from .packing import op8_sequence_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import OP3_SQL, op3_jump_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_jump_sharding, op5_secret_scan, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_jump_sharding, op5_secret_scan, op8_sequence_packing, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
