@@ -11,11 +11,12 @@ from .packing import op8_sequence_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import OP3_SQL, op3_jump_sharding
+from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc_histories
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op8_sequence_packing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op8_sequence_packing, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
