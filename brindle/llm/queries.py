@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import op9_line_dedup
+from .ngram_join import op10_ngram_jaccard
 from .packing import op8_sequence_packing
 from .quality import op1_quality_rules
 from .secrets import op5_secret_scan
@@ -16,7 +17,7 @@ from .warc import OP4_SQL, op4_warc_histories
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op8_sequence_packing, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op8_sequence_packing, op9_line_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
