@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op6_benchmark_decontamination
+from .licenses import OP7_SQL, op7_license_scan
 from .line_dedup import op9_line_dedup
 from .ngram_join import op10_ngram_jaccard
 from .packing import op8_sequence_packing
@@ -17,8 +19,8 @@ from .warc import OP4_SQL, op4_warc_histories
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op8_sequence_packing, op9_line_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op6_benchmark_decontamination, op7_license_scan, op8_sequence_packing, op9_line_dedup, op10_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": OP3_SQL, "op4_warc_histories": OP4_SQL}
+    return {"op3_jump_sharding": OP3_SQL, "op4_warc_histories": OP4_SQL, "op7_license_scan": OP7_SQL}
