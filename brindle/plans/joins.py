@@ -1 +1,158 @@
-"""."""
+"""Join, set and rewrite queries over the star schema."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.operators import joins as J
+from brindle.plans.registry import query, table
+
+
+def _t(spark, sf_dir, *names):
+    return [table(spark, sf_dir, n) for n in names]
+
+
+@query("J5_semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2)")
+def j5(spark, sf_dir):
+    orders, customer, nation = _t(spark, sf_dir, "orders", "customer", "nation")
+    mine = customer.join(nation.where("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return orders.join(mine, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("J9_unlabelled_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def j9(spark, sf_dir):
+    documents, labels = _t(spark, sf_dir, "documents", "labels")
+    return documents.join(labels, "doc_id", "left_anti").select("doc_id")
+
+
+@query("J10_first_wins_self_join", """WITH c AS (SELECT user_id, value AS weight FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1)
+SELECT event_id, user_id, weight FROM events JOIN c USING (user_id) WHERE event_type = 'view'""")
+def j10(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    first = events.where("event_type = 'click'").groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("weight"))
+    return events.where("event_type = 'view'").join(first, "user_id").select("event_id", "user_id", "weight")
+
+
+@query("J11_left_outer", "SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
+def j11(spark, sf_dir):
+    customer, orders = _t(spark, sf_dir, "customer", "orders")
+    n = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return customer.join(n, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"))
+
+
+@query("J12_coalesced_keys", """SELECT d.doc_id, coalesce(l.quality, -1) AS quality, e.label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = coalesce(l.doc_id, d.doc_id // 2)""")
+def j12(spark, sf_dir):
+    documents, labels, embeddings = _t(spark, sf_dir, "documents", "labels", "embeddings")
+    l = labels.select(F.col("doc_id").alias("l_id"), "quality")
+    out = documents.join(l, F.col("doc_id") == F.col("l_id"), "left").withColumn("key", F.coalesce("l_id", F.expr("doc_id div 2")))
+    return out.join(embeddings, F.col("vec_id") == F.col("key"), "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), "label")
+
+
+@query("J13_latest_per_group", """SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) ON c_custkey = o_custkey""")
+def j13(spark, sf_dir):
+    customer, orders = _t(spark, sf_dir, "customer", "orders")
+    last = J.latest(orders, "o_custkey", F.struct("o_orderdate", "o_orderkey"), ["o_orderkey", "o_orderstatus"])
+    return customer.join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("J18_inner_chain", """SELECT l_orderkey, l_linenumber, s_name, n_name, r_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'""")
+def j18(spark, sf_dir):
+    lineitem, supplier, nation, region = _t(spark, sf_dir, "lineitem", "supplier", "nation", "region")
+    where = nation.join(region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = supplier.join(where, F.col("s_nationkey") == F.col("n_nationkey"))
+    return lineitem.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "s_name", "n_name", "r_name")
+
+
+@query("J20_orphans", """SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 300 DAYS AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')""")
+def j20(spark, sf_dir):
+    orders, lineitem = _t(spark, sf_dir, "orders", "lineitem")
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    old = orders.where("o_orderstatus = 'O'").join(F.broadcast(now)).where("o_orderdate < now - INTERVAL 300 DAYS")
+    return old.join(lineitem.where("l_linestatus = 'O'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("J23_costs_onto_calls", """SELECT o_orderkey, count(l_orderkey) AS n_found, sum((l_orderkey IS NULL)::INT) AS n_missing, round(coalesce(sum(l_extendedprice::DECIMAL(20, 2)), 0)::DOUBLE, 2) AS cost
+FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def j23(spark, sf_dir):
+    orders, lineitem = _t(spark, sf_dir, "orders", "lineitem")
+    costs = lineitem.where("l_returnflag = 'R'").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).alias("c"))
+    out = orders.join(costs, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return out.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_found"), F.col("n").isNull().cast("long").alias("n_missing"), F.round(F.coalesce(F.col("c").cast("double"), F.lit(0.0)), 2).alias("cost"))
+
+
+@query("J26_flag_onto_rows", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS flagged FROM documents")
+def j26(spark, sf_dir):
+    documents, labels = _t(spark, sf_dir, "documents", "labels")
+    bad = labels.where("toxic = 1").select("doc_id").distinct().withColumn("_f", F.lit(True))
+    return documents.join(bad, "doc_id", "left").select("doc_id", F.col("_f").isNotNull().alias("flagged"))
+
+
+@query("J27_conflict_pairs", """WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem QUALIFY r <= 5)
+SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.r < b.r""")
+def j27(spark, sf_dir):
+    return J.pairs_within(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_linenumber")
+
+
+@query("J33_price_fallback", """SELECT l_orderkey, l_linenumber, coalesce(p.p_retailprice, q.p_retailprice, 0) AS p_retailprice FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 25) p ON p.p_partkey = l_partkey
+LEFT JOIN (SELECT * FROM part WHERE p_size > 25) q ON q.p_partkey = l_suppkey""")
+def j33(spark, sf_dir):
+    lineitem, part = _t(spark, sf_dir, "lineitem", "part")
+    return J.fallback_lookup(lineitem, part.where("p_size > 25"), "l_partkey", "l_suppkey", "p_partkey", "p_retailprice").select("l_orderkey", "l_linenumber", "p_retailprice")
+
+
+@query("J37_assembled_messages", """SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || turn, ',' ORDER BY turn, role)) AS roles FROM conversations GROUP BY conv_id""")
+def j37(spark, sf_dir):
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    out = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), parts.alias("p"))
+    return out.select("conv_id", "n", F.md5(F.array_join(F.transform("p", lambda x: F.concat(x["role"], F.lit(":"), x["turn"].cast("string"))), ",")).alias("roles"))
+
+
+@query("U1_union_all", "SELECT doc_id AS id, 'quality' AS kind FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1")
+def u1(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("quality").alias("kind")).unionByName(labels.where("toxic = 1").select(F.col("doc_id").alias("id"), F.lit("toxic").alias("kind")))
+
+
+@query("U4_common_items", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def u4(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.where("o_orderstatus = 'O'").select("o_custkey").intersect(orders.where("o_orderstatus = 'F'").select("o_custkey"))
+
+
+@query("U5_set_difference", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)")
+def u5(spark, sf_dir):
+    part, lineitem = _t(spark, sf_dir, "part", "lineitem")
+    return part.join(lineitem.where("l_returnflag = 'R' and l_quantity >= 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query("U8_distinct_filters", "SELECT DISTINCT lang, source FROM documents")
+def u8(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("lang", "source").distinct()
+
+
+@query("T8_newest_first", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def t8(spark, sf_dir):
+    return table(spark, sf_dir, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(100).select("o_orderkey", "o_totalprice")
+
+
+@query("M2_upsert", """SELECT coalesce(c.c_custkey, s.s_suppkey) AS c_custkey, CASE WHEN s.s_suppkey IS NOT NULL THEN s.s_name ELSE c.c_name END AS c_name, CASE WHEN s.s_suppkey IS NOT NULL THEN s.s_acctbal ELSE c.c_acctbal END AS c_acctbal
+FROM customer c FULL JOIN (SELECT s_suppkey + 5 AS s_suppkey, s_name, s_acctbal FROM supplier) s ON c.c_custkey = s.s_suppkey""")
+def m2(spark, sf_dir):
+    customer, supplier = _t(spark, sf_dir, "customer", "supplier")
+    updates = supplier.select((F.col("s_suppkey") + 5).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    return J.upsert(customer.select("c_custkey", "c_name", "c_acctbal"), updates, ["c_custkey"])
+
+
+@query("M3_claim_once", """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 AS claimed FROM events WHERE event_type = 'signup'""")
+def m3(spark, sf_dir):
+    return J.claim_once(table(spark, sf_dir, "events").where("event_type = 'signup'"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "claimed")
+
+
+@query("M5_ttl_cascade", """WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAYS)
+SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)""")
+def m5(spark, sf_dir):
+    orders, lineitem = _t(spark, sf_dir, "orders", "lineitem")
+    now = orders.agg(F.max("o_orderdate").alias("now"))
+    gone = orders.join(F.broadcast(now)).where("o_orderdate < now - INTERVAL 365 DAYS")
+    return lineitem.join(gone, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("l_orderkey", "l_linenumber")
