@@ -169,8 +169,8 @@ def _claims(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", verdict.alias("verdict"), (1 - F.col("l_discount")).alias("p"), ((F.col("l_linestatus") == "O") | (F.col("l_quantity") > 10)).alias("factual"), F.array("l_suppkey", "l_partkey").alias("citations"))
 
 
-@query("A33_review_scores", f"""WITH {_CLAIMS} SELECT l_orderkey, round(coalesce(sum(CASE WHEN verdict = 'supported' THEN 1.0 WHEN verdict = 'partial' THEN 0.5 ELSE 0 END) FILTER (WHERE factual) / count(*) FILTER (WHERE factual), 1)::DOUBLE, 6) AS faithfulness,
-round(coalesce(min(p) FILTER (WHERE factual), 1), 6) AS min_support, round(coalesce(count(*) FILTER (WHERE factual AND verdict = 'supported') / count(*) FILTER (WHERE factual), 1), 6) AS citation_precision FROM c GROUP BY 1""")
+@query("A33_review_scores", f"""WITH {_CLAIMS} SELECT l_orderkey, round(coalesce(sum(CASE WHEN verdict = 'supported' THEN 1.0 WHEN verdict = 'partial' THEN 0.5 ELSE 0 END) FILTER (WHERE factual) / nullif(count(*) FILTER (WHERE factual), 0), 1)::DOUBLE, 6) AS faithfulness,
+round(coalesce(min(p) FILTER (WHERE factual), 1), 6) AS min_support, round(coalesce(count(*) FILTER (WHERE factual AND verdict = 'supported') / nullif(count(*) FILTER (WHERE factual), 0), 1), 6) AS citation_precision FROM c GROUP BY 1""")
 def a33(spark, sf_dir):
     out = A.review_scores(_claims(spark, sf_dir), "l_orderkey")
     return out.select("l_orderkey", *[F.round(c, 6).alias(c) for c in ("faithfulness", "min_support", "citation_precision")])

@@ -1 +1,60 @@
-"""."""
+"""Ingestion queries: pages are uploads, hosts are collections."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from brindle.operators import ingest as I
+from brindle.plans.registry import query, table
+from brindle.plans.texts import _STRIP
+
+
+def _files(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", "//([^/:?#]*)", 1)
+    return pages.select(host.alias("collection"), F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 7 == 0, ".exe").otherwise(".html")).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+
+
+@query("S1_sniffed_types", "SELECT page_id || CASE WHEN page_id % 7 = 0 THEN '.exe' ELSE '.html' END AS name, CASE WHEN page_id % 7 = 0 THEN NULL ELSE 'text/html' END AS mime FROM pages")
+def s1(spark, sf_dir):
+    return _files(spark, sf_dir).select("name", I.sniff(F.col("name"), F.col("content")).alias("mime"))
+
+
+@query("S5_content_dedupe", """WITH f AS (SELECT regexp_extract(url, '//([^/:?#]*)', 1) AS collection, page_id || '.html' AS name, sha256(coalesce(html, '')) AS sha256 FROM pages WHERE page_id % 7 <> 0)
+SELECT collection, min(name) AS name, sha256 FROM f GROUP BY collection, sha256""")
+def s5(spark, sf_dir):
+    return I.acceptable(_files(spark, sf_dir)).select("collection", "name", "sha256")
+
+
+@query("S6_parsed_pages")
+def s6(spark, sf_dir):
+    out = I.parse_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("text_md5"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("S8_ocr_candidates", rf"""SELECT doc_id, source FROM documents WHERE length(trim(coalesce(text, ''))) < 200 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50""")
+def s8(spark, sf_dir):
+    from brindle.operators.windows import sequence
+
+    short = table(spark, sf_dir, "documents").where(I.needs_ocr(F.coalesce("text", F.lit("")), F.lit(0.0)))
+    return sequence(short, "source", ["doc_id"], "n").where("n <= 50").select("doc_id", "source")
+
+
+@query("G1_chunked_documents")
+def g1(spark, sf_dir):
+    return I.chunked(table(spark, sf_dir, "documents")).select("doc_id", "section", "heading_path", "ord", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query("E6_embedded_questions")
+def e6(spark, sf_dir):
+    out = I.embedded(table(spark, sf_dir, "benchmark").select("item_id", "text"), I.hashing_embedder())
+    return out.select("item_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+
+
+@query("J30_offset_pages", """WITH p AS (SELECT conv_id AS doc_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
+o AS (SELECT DISTINCT conv_id AS doc_id, unnest([10, 500, 1500]) AS o FROM conversations) SELECT doc_id, o AS "offset", min(turn)::BIGINT AS page FROM o JOIN p USING (doc_id) WHERE e >= o GROUP BY 1, 2""")
+def j30(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.length(F.coalesce("text", F.lit(""))).alias("length"))
+    offsets = turns.select(F.col("conv_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(F.lit(10), F.lit(500), F.lit(1500))).alias("offset"))
+    return I.offset_pages(pages, offsets).select("doc_id", "offset", F.col("page").cast("long").alias("page"))
