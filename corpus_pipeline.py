@@ -16,8 +16,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs, read(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
+    """Documents that the quality rules keep.
+
+    The verdicts are written before they filter: a filter pushed below them would work the rules out again and again.
+    """
+    judged = quality.quality_rules(docs, read(spark, sf_dir, "labels")).select(*COLUMNS, "kept")
+    return written(judged, "judged").where("kept").select(COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
