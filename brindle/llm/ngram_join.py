@@ -133,11 +133,12 @@ def set_key(grams: np.ndarray) -> bytes:
 
 
 WITNESS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("blob", pa.binary())])
-COUNTED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("key", pa.int64()), ("alone", pa.int64())])
+COUNTED = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("key", pa.int64()), ("blob", pa.binary())])
 
 
 def witnesses(docs: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node, key) of each document, and (key, alone): counts of n-grams that one set alone has.
+    """Rows of two kinds: (doc_id, n, node, key) of each document, and packed counts (part, blob) of n-grams that one set
+    alone has, to be summed by ``totals``.
 
     ``node`` names a set, ``key`` is its first 8 bytes. A task sends an n-gram at most twice, which is enough to tell
     that it is shared, so one that very many documents have does not fill its fragment.
@@ -205,7 +206,7 @@ def witnesses(docs: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
             rows = batch.filter(blobs.is_null())
             if rows.num_rows:
                 key = pa.array([int.from_bytes(x[:8], "little", signed=True) for x in rows.column("node").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n"), rows.column("node"), key, pa.nulls(rows.num_rows, pa.int64())], schema=COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int32()), rows.column("doc_id"), rows.column("n"), rows.column("node"), key, pa.nulls(rows.num_rows, pa.binary())], schema=COUNTED)
             for blob in blobs.drop_null().to_pylist():
                 n_keys, n = np.frombuffer(blob, dtype="<u4", count=2).tolist()
                 used = np.frombuffer(blob, dtype=_U, count=n_keys, offset=8)
@@ -221,13 +222,40 @@ def witnesses(docs: DataFrame, parts: int, percent: int = PERCENT) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             alone = np.minimum.reduceat(key, first) == np.maximum.reduceat(key, first)
             found, n_alone = np.unique(key[first][alone & own[first]], return_counts=True)
-            for lo in range(0, len(found), 50_000):
-                part = found[lo : lo + 50_000]
-                none = [None] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), pa.array(part.astype(np.int64)), pa.array(n_alone[lo : lo + 50_000].astype(np.int64))], schema=COUNTED)
+            part = found % _U(parts)
+            order = np.argsort(part, kind="stable")
+            found, n_alone, part = found[order], n_alone[order].astype("<u4"), part[order]
+            edges = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
+            to = [p for p in range(parts) if edges[p] < edges[p + 1]]
+            blobs = [found[edges[p] : edges[p + 1]].tobytes() + n_alone[edges[p] : edges[p + 1]].tobytes() for p in to]
+            none = [None] * len(to)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([to, none, none, none, none, blobs], COUNTED.types, strict=True)], schema=COUNTED)
 
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "part int, doc_id long, n long, node binary, blob binary")
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "doc_id long, n long, node binary, key long, alone long")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(count, "part int, doc_id long, n long, node binary, key long, blob binary")
+
+
+def totals(counted: DataFrame, parts: int) -> DataFrame:
+    """(key, alone): the packed counts of all fragments, summed per set. A set has one count from each fragment at most."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                n = len(blob) // 12
+                keys.append(np.frombuffer(blob, dtype=_U, count=n))
+                counts.append(np.frombuffer(blob, dtype="<u4", count=n, offset=8 * n))
+        if keys:
+            key, count = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(key, kind="stable")
+            key, count = key[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            alone = np.add.reduceat(count.astype(np.int64), first)
+            for lo in range(0, len(first), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[first[lo : lo + 50_000]].astype(np.int64)), pa.array(alone[lo : lo + 50_000])], names=["key", "alone"])
+
+    packed = counted.where("blob is not null").repartitionById(parts, F.col("part"))
+    return packed.select("blob").mapInArrow(add, "key long, alone long")
 
 
 def elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -362,7 +390,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None
     counted = written(witnesses(docs, parts, percent), "witnesses")
     rows = counted.where("node is not null").select("doc_id", "n", "node", "key")
     classes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("key").alias("key"))
-    alone = counted.where("node is null").groupBy("key").agg(F.sum("alone").alias("alone"))
+    alone = totals(counted, parts)
     spare = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100))
     wanted = classes.join(alone, "key", "left").where(F.coalesce("alone", F.lit(0)) <= spare)
     wanted = written(wanted.select("node", "first"), "wanted")
