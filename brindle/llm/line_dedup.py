@@ -1,9 +1,12 @@
-"""Operator 9: removal of repeated runs of lines, found by content-defined chunks.
+"""Operator 9: removal of repeated runs of lines.
 
 A text is cut into chunks of lines where a rolling hash over the hashes of two lines fits a mask, so the cuts
-follow the content and not the position, and shifted copies of a passage fall into the same chunks. A line that
-would wrap counts as several lines and is a chunk of its own. Chunks of several lines that occur more than once
-in the whole corpus stay at their first place and go elsewhere, after their bytes have been compared.
+follow the content and not the position. A line that would wrap counts as several lines and is a chunk of its own.
+As cuts leave single lines and the ends of a passage depend on its context, what is looked for are units: the
+shortest runs of at least two lines of text (blank ones between them do not count) and ``LEAST`` characters that
+begin or end at each line, long lines, and chunks of one line with blank ones. Every run of lines that occurs
+elsewhere in the same order is covered by its units, whatever stands around it. Units that occur more than once in
+the whole corpus stay at their first place and go elsewhere, after their bytes have been compared.
 DataFrame functions only.
 """
 
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import let, read, written
 
 #: Production parameters: a cut after one line pair in ``CUT_EVERY``; a line of ``WRAP`` characters or more counts
-#: as several; a chunk of less than ``LEAST`` characters always stays.
+#: as several; a run of less than ``LEAST`` characters always stays.
 CUT_EVERY = 2
 WRAP = 160
 LEAST = 40
@@ -45,56 +48,140 @@ def chunks(text: Column) -> Column:
     return let(lines, lambda x: let(F.transform(x, lambda y: F.xxhash64(y)), lambda h: let(cut(x, h), lambda s: bodies(x, s))))
 
 
-def _eligible(chunk: Column) -> Column:
-    size = F.length(chunk["body"])
-    return ((chunk["n_lines"] > 1) | (size >= WRAP)) & (size >= LEAST) & (F.length(F.trim(chunk["body"])) > 0)
+def _parts(text: Column) -> Column:
+    """Of a text (not null): its ``lines`` that are not blank; ``pieces``, these with the blank lines after each (the
+    first also with those before it), which joined by newlines are the text again; ``chunk``, the place of each line's
+    chunk; ``alone``, whether the chunk has blank lines besides and ``LEAST`` characters; ``n_chunks``.
+    """
+
+    def of(x: Column, at: Column, cs: Column) -> Column:
+        places = F.flatten(F.transform(cs, lambda c, j: F.array_repeat(j, c["n_lines"])))
+
+        def piece(p: Column, k: Column) -> Column:
+            start = F.when(k == 0, 0).otherwise(p)
+            return F.array_join(F.slice(x, start + 1, F.coalesce(F.get(at, k + 1), F.size(x)) - start), "\n")
+
+        def with_chunk(chunk: Column) -> Column:
+            def alone(j: Column, k: Column) -> Column:
+                near = F.coalesce(F.get(chunk, k - 1) == j, F.lit(False)) | F.coalesce(F.get(chunk, k + 1) == j, F.lit(False))
+                own = F.get(cs, j)
+                return ~near & (own["n_lines"] > 1) & (F.length(own["body"]) >= LEAST)
+
+            return F.struct(
+                F.transform(at, lambda p: F.get(x, p)).alias("lines"),
+                F.transform(at, piece).alias("pieces"),
+                chunk.alias("chunk"),
+                F.transform(chunk, alone).alias("alone"),
+                F.size(cs).alias("n_chunks"),
+            )
+
+        return let(places, lambda all_places: let(F.transform(at, lambda p: F.get(all_places, p)), with_chunk))
+
+    def positions(x: Column) -> Column:
+        return F.filter(F.transform(x, lambda y, i: F.when(y.rlike(r"\S"), i)), lambda i: i.isNotNull())
+
+    return let(F.split(text, "\n"), lambda x: let(positions(x), lambda at: let(chunks(text), lambda cs: of(x, at, cs))))
+
+
+def _needs(sizes: Column) -> Column:
+    """For each line, how many lines from it on make a unit; null where the text ends before."""
+
+    def need(size: Column, i: Column) -> Column:
+        none = F.struct(F.lit(-1).alias("total"), F.lit(0).alias("n"))
+
+        def more(a: Column, s: Column) -> Column:
+            full = (a["n"] > 1) & (a["total"] >= LEAST)
+            return F.when(full, a).otherwise(F.struct((a["total"] + s).alias("total"), (a["n"] + 1).alias("n")))
+
+        found = F.aggregate(F.slice(sizes, i + 1, LEAST + 1), none, more, lambda a: F.when((a["n"] > 1) & (a["total"] >= LEAST), a["n"]))
+        return F.when(size + F.get(sizes, i + 1) > LEAST, 2).otherwise(found)
+
+    return F.transform(sizes, need)
+
+
+def _units(parts: Column) -> Column:
+    """Units (at, n, body) of a text: the first line of text, how many of them, their bytes without blank lines."""
+    lines = parts["lines"]
+
+    def over(forward: Column, backward: Column) -> Column:
+        begin = F.transform(forward, lambda n, i: F.struct(i.alias("at"), n.alias("n")))
+        end = F.transform(backward, lambda n, i: F.struct((i - n + 1).alias("at"), n.alias("n")))
+        end = F.filter(end, lambda u: F.get(forward, u["at"]) < u["n"])
+        single = F.transform(lines, lambda y, i: F.struct(i.alias("at"), F.when((F.length(y) >= WRAP) | F.get(parts["alone"], i), 1).alias("n")))
+        return F.filter(F.concat(begin, end, single), lambda u: u["n"].isNotNull())
+
+    sizes = F.transform(lines, lambda y: F.length(y) + 1)
+    spans = let(sizes, lambda z: let(_needs(z), lambda f: let(F.reverse(_needs(F.reverse(z))), lambda b: over(f, b))))
+    return F.transform(spans, lambda u: F.struct(u["at"], u["n"], _body(lines, u).alias("body")))
+
+
+def _body(lines: Column, unit: Column) -> Column:
+    return F.array_join(F.slice(lines, unit["at"] + 1, unit["n"]), "\n")
 
 
 def _keys(body: Column) -> tuple[Column, Column]:
-    """Two hashes of a chunk's bytes, which together name it."""
+    """Two hashes of a unit's bytes, which together name it."""
     return F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body, F.length(body)).alias("k2")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, marks) of the documents with repeated chunks; marks: (at, k1, k2, kept) of each of these.
+def repeated_units(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, marks) of the documents with repeated units; marks: (at, n, k1, k2, kept, gone) of each of
+    these, where ``gone`` is the first of its lines that goes: the first place stays whole, so where the unit overlaps
+    with that only the lines behind it go.
 
-    Only hashes and places are shuffled, the bytes stay where they are. A chunk that very many documents share is
+    Only hashes and places are shuffled, the bytes stay where they are. A unit that very many documents share is
     one row for each task before the shuffle when counted, and its rows are split by Spark when joined.
     """
     text = F.coalesce("text", F.lit(""))
-    keyed = (
-        docs.select("doc_id", "row_key", F.posexplode(chunks(text)).alias("at", "c"))
-        .where(_eligible(F.col("c")))
-        .select("doc_id", "row_key", "at", *_keys(F.col("c.body")))
-    )
-    keyed = written(keyed, "chunk-keys")
+    keyed = docs.select("doc_id", "row_key", F.explode(let(_parts(text), _units)).alias("u")).select("doc_id", "row_key", "u.at", "u.n", *_keys(F.col("u.body")))
+    keyed = written(keyed, "unit-keys")
     place = F.struct("doc_id", "row_key", "at")
-    first = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    first = written(first.drop("n"), "chunk-firsts")
-    mark = F.struct("at", "k1", "k2", (F.col("first") == place).alias("kept"))
+    first = keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first")).where("times > 1")
+    first = written(first.drop("times"), "unit-firsts")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
+    gone = F.when(same, F.greatest(F.col("at"), F.col("first.at") + F.col("n"))).otherwise(F.col("at"))
+    mark = F.struct("at", "n", "k1", "k2", (F.col("first") == place).alias("kept"), gone.alias("gone"))
     return keyed.join(first, ["k1", "k2"]).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
 
 
+def _cleaned(df: DataFrame) -> DataFrame:
+    """``df`` (text, marks) with ``_new`` (null where nothing goes), ``n_chunks``, ``removed`` and ``_bodies``."""
+    none = F.array().cast("array<int>")
+
+    def of(parts: Column) -> Column:
+        outs = F.filter("marks", lambda m: ~m["kept"] & (m["gone"] < m["at"] + m["n"]))
+        out = F.array_distinct(F.flatten(F.transform(outs, lambda m: F.sequence(m["gone"], m["at"] + m["n"] - 1))))
+
+        def rest(gone: Column) -> Column:
+            stay = F.array_except(F.sequence(F.lit(0), F.size(parts["lines"]) - 1), gone)
+            clean = F.array_join(F.transform(stay, lambda i: F.get(parts["pieces"], i)), "\n")
+            return F.struct(
+                F.when(F.size(gone) > 0, clean).alias("clean"),
+                parts["n_chunks"].alias("n_chunks"),
+                F.array_sort(F.array_distinct(F.transform(gone, lambda i: F.get(parts["chunk"], i)))).alias("removed"),
+                F.transform("marks", lambda m: F.struct(m["k1"], m["k2"], _body(parts["lines"], m).alias("body"))).alias("bodies"),
+            )
+
+        return let(F.coalesce(out, none), rest)
+
+    got = df.withColumn("_got", let(_parts(F.coalesce("text", F.lit(""))), of))
+    return got.withColumns({"_new": F.col("_got.clean"), "n_chunks": F.col("_got.n_chunks"), "removed": F.col("_got.removed"), "_bodies": F.col("_got.bodies")}).drop("_got")
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_chunks`` and ``removed`` (places, from 0, of the chunks taken out).
+    """``docs`` with ``clean_text``, ``n_chunks`` and ``removed`` (places, from 0, of the chunks that lines are taken from).
 
-    Of equal chunks the first by (doc_id, hash of the text, place) stays; a null id comes first. Rows of the same id
-    and text count as one place and keep the same chunks. Null texts stay null and empty ones empty; a text whose
-    chunks all go becomes empty. Bytes of all repeated chunks are compared within each pair of hashes; where they
-    differ nothing is removed under these hashes. Columns of ``docs`` named like results are replaced.
+    Of equal units the first by (doc_id, hash of the text, place) stays; a null id comes first. A line goes if it is
+    in a repeated unit, with the blank lines after it; some place keeps each line. Rows of the same id and text count
+    as one place and keep the same lines. Null texts stay null and empty ones empty; a text whose lines all go
+    becomes empty. Bytes of all repeated units are compared within each pair of hashes; where they differ nothing is
+    removed under these hashes. Columns of ``docs`` named like results are replaced.
     """
     docs = docs.drop("clean_text", "n_chunks", "removed")
     rows = docs.withColumn("row_key", F.xxhash64("text"))
-    marks = repeated_chunks(rows.select("doc_id", "row_key", "text")).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
+    marks = repeated_units(rows.select("doc_id", "row_key", "text")).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
     joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    joined = joined.withColumn("_chunks", chunks(F.coalesce("text", F.lit(""))))
-    bodies = F.transform("marks", lambda m: F.struct(m["k1"].alias("k1"), m["k2"].alias("k2"), F.get("_chunks", m["at"])["body"].alias("body")))
-    out_at = F.coalesce(F.transform(F.filter("marks", lambda m: ~m["kept"]), lambda m: m["at"]), F.array().cast("array<int>"))
-    joined = joined.withColumns({"_bodies": bodies, "removed": out_at})
-    stay = F.filter("_chunks", lambda _, i: ~F.array_contains("removed", i))
-    clean = F.when(F.col("text").isNotNull() & (F.size("removed") > 0), F.array_join(F.transform(stay, lambda c: c["body"]), "\n")).otherwise(F.col("text"))
-    done = joined.withColumns({"clean_text": clean, "n_chunks": F.size("_chunks")}).drop("_chunks", "_id", "_key", "row_key")
-    done = written(done, "line-dedup")
+    done = written(_cleaned(joined).drop("_id", "_key", "row_key"), "line-dedup")
     differ = (
         done.select(F.explode("_bodies").alias("b"))
         .groupBy("b.k1", "b.k2")
@@ -102,26 +189,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         .where("low <> high")
         .select("k1", "k2")
     )
-    differ = written(differ, "chunk-differ")
-    if differ.isEmpty():
-        return done.drop("_bodies", "marks")
-    return _without(done, differ)
+    differ = written(differ, "unit-differ")
+    if not differ.isEmpty():
+        done = _without(done, differ)
+    return done.withColumn("clean_text", F.coalesce("_new", "text")).drop("_new", "_bodies", "marks")
 
 
 def _without(done: DataFrame, differ: DataFrame) -> DataFrame:
-    """The result with chunks put back whose hashes stand for different bytes."""
+    """The result with units put back whose hashes stand for different bytes."""
     back = (
         done.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode("marks").alias("m"))
-        .select("doc_id", "row_key", "m.at", "m.k1", "m.k2")
+        .select("doc_id", "row_key", "m.k1", "m.k2")
         .join(differ, ["k1", "k2"], "left_semi")
         .groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-        .agg(F.collect_set("at").alias("_back"))
+        .agg(F.collect_set(F.struct("k1", "k2")).alias("_back"))
     )
-    out = done.join(back, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    removed = F.array_except("removed", F.coalesce("_back", F.array().cast("array<int>")))
-    stay = F.filter(chunks(F.coalesce("text", F.lit(""))), lambda _, i: ~F.array_contains("removed", i))
-    clean = F.when(F.col("text").isNotNull() & (F.size("removed") > 0), F.array_join(F.transform(stay, lambda c: c["body"]), "\n")).otherwise(F.col("text"))
-    return out.withColumn("removed", removed).withColumn("clean_text", clean).drop("_bodies", "marks", "_id", "_key", "_back")
+    out = done.drop("_new", "n_chunks", "removed", "_bodies").join(back, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
+    good = F.filter("marks", lambda m: ~F.coalesce(F.array_contains("_back", F.struct(m["k1"].alias("k1"), m["k2"].alias("k2"))), F.lit(False)))
+    return _cleaned(out.withColumn("marks", good)).drop("_id", "_key", "_back")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,6 +130,31 @@ def test_repeated_passages_go_and_the_first_stays(spark):
     assert line_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_repeated_passages_of_few_short_lines_go_in_any_context(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = lambda n=9: " ".join(word() for _ in range(n))
+    rows, passages = [], {}
+    for p in range(60):
+        body = [line() for _ in range(3 + p % 6)] if p % 10 else [line(22), line(6), line(17)]
+        if p % 10 == 5:
+            body = [word() for _ in range(12)]  # lines of a word, as in a list
+        passages[p] = body
+        for copy in (0, 1):
+            rows.append((2 * p + copy, [line() for _ in range(rng.randint(1, 4))], ["", *body] if p % 7 == 0 else body, [line() for _ in range(rng.randint(1, 4))]))
+    texts = {d: "\n".join([*a, *b, *c]) for d, a, b, c in rows}
+    out = {r.doc_id: r for r in line_dedup(spark.createDataFrame(list(texts.items()), DOCS)).collect()}
+    for d, before, body, after in rows:
+        blank = [""] if d % 2 and body[0] == "" else []
+        assert out[d].clean_text == (texts[d] if d % 2 == 0 else "\n".join([*before, *blank, *after]))
+        assert bool(out[d].removed) == bool(d % 2)
+    again = "\n".join([line()] * 6)
+    lone = line()
+    odd = [(1, f"{line()}\n{again}"), (2, f"{line()}\n{lone}\n{line()}"), (3, f"{line()}\n{lone}\n{line()}")]
+    out = {r.doc_id: r.clean_text for r in line_dedup(spark.createDataFrame(odd, DOCS)).collect()}
+    assert out[2] == odd[1][1] and out[3] == odd[2][1] and out[1].split("\n") == odd[0][1].split("\n")[:3]
+
+
 def test_equal_hashes_of_different_bytes_remove_nothing(spark, monkeypatch):
     from pyspark.sql import functions as F
 
