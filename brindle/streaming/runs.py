@@ -26,16 +26,18 @@ def signal_counts(log: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 
 def numbered(log: DataFrame) -> DataFrame:
-    """Each row of a run with the next number of that run; the state is the last number given."""
+    """Each row of a run with the next number of that run; the state is the last number given.
+
+    Frames are only parts of a run's rows, of at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` each, so they
+    are put together before the sort: a task holds what one run has in a trigger.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else 0
-        for frame in frames:
-            frame = frame.sort_values(["ts", "event_id"])
-            frame["seq"] = range(last + 1, last + 1 + len(frame))
-            last += len(frame)
-            yield frame[["event_id", "user_id", "seq"]]
-        state.update((last,))
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows["seq"] = range(last + 1, last + 1 + len(rows))
+        state.update((last + len(rows),))
+        yield rows[["event_id", "user_id", "seq"]]
 
     return log.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, seq long", "last long", "append", GroupStateTimeout.NoTimeout)
 

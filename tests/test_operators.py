@@ -187,3 +187,23 @@ def test_equal_texts_are_embedded_once_and_alike(spark):
     df = spark.createDataFrame([(1, "a cat sat"), (2, "a cat sat"), (3, None)], "id long, text string")
     got = {r.id: r.embedding for r in I.embedded(df, I.hashing_embedder(8)).collect()}
     assert got[1] == got[2] and abs(sum(x * x for x in got[1]) - 1) < 1e-5 and got[3] == [0.0] * 8
+
+
+def test_stream_numbers_follow_time_beyond_a_frame(spark, tmp_path):
+    from brindle.streaming import runs
+
+    rows = [(i, 1 if i % 4 else 2, f"2024-01-01 00:{(i * 37) % 60:02d}:00") for i in range(200)]
+    log = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts")
+    log.coalesce(1).write.parquet(f"{tmp_path}/log")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        runs.drain(runs.numbered(runs.log_stream(spark, f"{tmp_path}/log", log.schema)), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    got = {(r.user_id, r.seq): r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for user in (1, 2):
+        own = sorted((ts, i) for i, u, ts in rows if u == user)
+        want |= {(user, k): i for k, (_, i) in enumerate(own, 1)}
+    assert got == want
