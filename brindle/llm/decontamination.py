@@ -5,7 +5,9 @@ embedding, in which strings at a small edit distance differ at few places. Texts
 around anchors (words pairs whose hash is the least of a run, so that text and item have the same anchors): the walk
 goes from an anchor to the right and to the left, as far as an item reaches. Several samples of places of several
 walks are the hash keys; a window that meets an item's window in any of them is verified by the exact edit distance.
-The documents are read once and nothing is shuffled.
+As edits that hit the anchors leave no key, runs of bytes that an item and a text share are counted as well: where
+they cover enough of the item on nearly one diagonal, the place is verified too. The documents are read once and
+nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -33,6 +35,12 @@ PLACES = 12
 RUN = 12
 BLOCK_ITEMS = 20_000
 SEED = 11
+#: Bytes of a shared run that counts; diagonals that count together; the part of an item (and the bytes at least) that
+#: runs must cover.
+GRAM = 8
+DRIFT = 24
+COVER = 0.3
+COVER_LEAST = 26
 
 #: ASCII letters become small, other ASCII but digits a blank; further bytes stay.
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
@@ -128,6 +136,75 @@ def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return whole, whole[PAD : PAD + int(offsets[-1])], offsets
 
 
+@dataclass
+class Grams:
+    """The places of all runs of ``size`` bytes of some items, and how many bytes runs must cover of each item."""
+
+    size: int
+    hashes: np.ndarray  # sorted, each once
+    begin: np.ndarray  # where the places of a hash begin, and the end
+    item: np.ndarray
+    inside: np.ndarray
+    cover: np.ndarray
+    mask: np.ndarray
+
+    @staticmethod
+    def of(items: list[tuple[int | None, bytes]], own: list[int], size: int, cover: list[int]) -> Grams:
+        whole, data, offsets = padded([items[i][1] for i in own])
+        at = np.concatenate([np.arange(lo, hi - size + 1) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)])
+        found = _gram_hashes(whole, size)[at + PAD]
+        order = np.argsort(found, kind="stable")
+        hashes, begin = np.unique(found[order], return_index=True)
+        owner = np.searchsorted(offsets, at[order], side="right") - 1
+        mask = np.zeros(1 << 22, dtype=bool)
+        mask[hashes >> _U(42)] = True
+        wanted = np.zeros(len(items), dtype=np.int64)
+        wanted[own] = cover
+        return Grams(size, hashes, np.append(begin, len(at)), np.array(own)[owner], at[order] - offsets[owner], wanted, mask)
+
+    def places(self, whole: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, start) where runs cover enough of the item on diagonals near each other."""
+        total = int(offsets[-1])
+        hashes = _gram_hashes(whole, self.size)[PAD : PAD + total]
+        at = np.flatnonzero(self.mask[hashes >> _U(42)])
+        found = np.searchsorted(self.hashes, hashes[at])
+        found[found == len(self.hashes)] = 0
+        doc = np.searchsorted(offsets, at, side="right") - 1
+        true = (self.hashes[found] == hashes[at]) & (at + self.size <= offsets[doc + 1])
+        at, found = at[true], found[true]
+        # In parts, as a place can stand for many places of items; a part ends where a text does.
+        n = self.begin[found + 1] - self.begin[found]
+        ends = np.cumsum(n)
+        bounds, lo = np.searchsorted(at, offsets[1:]), 0
+        for hi in bounds.tolist():
+            if hi > lo and (hi == len(at) or ends[hi - 1] - (ends[lo - 1] if lo else 0) >= 500_000):
+                yield from self._covered(at[lo:hi], found[lo:hi], n[lo:hi], offsets)
+                lo = hi
+
+    def _covered(self, at: np.ndarray, found: np.ndarray, n: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        places = np.arange(int(n.sum())) + np.repeat(self.begin[found] - (np.cumsum(n) - n), n)
+        item, pos = self.item[places].astype(np.int64), np.repeat(at, n)
+        doc = np.searchsorted(offsets, pos, side="right") - 1
+        # Rows of a text and item side by side, by diagonal and (as the sort is stable) place.
+        diagonal = pos - self.inside[places]
+        low, first = int(diagonal.min()), int(doc[0])
+        lane = (item * (int(doc[-1]) - first + 1) + doc - first) * (int(diagonal.max()) - low + DRIFT + 1) + diagonal - low
+        order = np.argsort(lane, kind="stable")
+        item, doc, diagonal, pos, lane = item[order], doc[order], diagonal[order], pos[order], lane[order]
+        gap = np.full(len(pos), self.size)
+        more = np.flatnonzero(lane[1:] == lane[:-1])
+        gap[more + 1] = np.minimum(self.size, pos[more + 1] - pos[more])
+        covered = np.concatenate([[0], np.cumsum(gap)])
+        end = np.searchsorted(lane, lane + DRIFT, side="right")
+        # The first row of a diagonal counts all that later ones do. As a text may repeat a part of the item on several
+        # diagonals, the item's bytes are then counted once each.
+        first_of = np.append(True, lane[1:] != lane[:-1])
+        for k in np.flatnonzero(first_of & (covered[end] - covered[:-1] >= self.cover[item])).tolist():
+            at_item = np.sort(pos[k : end[k]] - diagonal[k : end[k]])
+            if self.size + int(np.minimum(self.size, np.diff(at_item)).sum()) >= self.cover[item[k]]:
+                yield int(doc[k]), int(item[k]), int(diagonal[k] - offsets[doc[k]])
+
+
 @dataclass
 class Index:
     """Items, and for each walk and sample the keys of their windows."""
@@ -137,6 +214,14 @@ class Index:
     keys: Keys
     tables: list[list[dict[int, list[tuple[int, int]]]]] = field(default_factory=list)
     masks: list[list[np.ndarray]] = field(default_factory=list)
+    grams: list[Grams] = field(default_factory=list)
+
+
+def _gram_hashes(whole: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` (8 at most) bytes from each place on; the last 7 places have none."""
+    raw = np.ndarray((len(whole) - 7,), dtype="<u8", buffer=whole, strides=(1,))
+    with np.errstate(over="ignore"):
+        return mix((raw & _U((1 << (8 * size)) - 1)) * _U(0x9E3779B97F4A7C15) + _U(size))
 
 
 def build_index(items: list[tuple[int | None, bytes]], run: int = RUN) -> Index:
@@ -149,6 +234,9 @@ def build_index(items: list[tuple[int | None, bytes]], run: int = RUN) -> Index:
     at = anchors(data, offsets, run)
     owner = np.searchsorted(offsets, at, side="right") - 1
     inside, size = at - offsets[owner], np.diff(offsets)[owner]
+    long = [i for i, (_, t) in enumerate(items) if len(t) >= COVER_LEAST]
+    if long:
+        index.grams.append(Grams.of(items, long, GRAM, [max(COVER_LEAST, int(len(items[i][1]) * COVER)) for i in long]))
     for walk in range(len(keys.bits)):
         # A window must lie in the item; where neither side has the room, both are kept.
         need = reach(walk, keys)
@@ -217,6 +305,9 @@ def search(texts: list[bytes], index: Index, max_rate: float = MAX_RATE) -> Iter
                         p = int(part[h])
                         doc = int(np.searchsorted(offsets, p, side="right")) - 1
                         asked[doc, item].add(p - int(offsets[doc]) - inside)
+    for grams in index.grams:
+        for doc, item, start in grams.places(whole, offsets):
+            asked[doc, item].add(start)
     for (doc, item), starts in asked.items():
         body = index.items[item][1]
         spare = int(len(body) * max_rate)

@@ -70,6 +70,20 @@ def test_recall_of_edited_copies_against_brute_force():
     assert exact <= set(got)
 
 
+def test_recall_up_to_the_allowed_edits():
+    rng = random.Random(21)
+    items = [(i, normal(" ".join(words(rng, rng.randint(14, 60))).encode())) for i in range(100)]
+    index = build_index(items)
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        docs = []
+        for _, t in items:
+            parts = [*words(rng, 40), edited(rng, t.decode(), int(len(t) * rate)), *words(rng, 40)]
+            docs.append(normal(" ".join(parts).encode()))
+        found = {(d, i) for d, i, _ in search(docs, index)}
+        assert sum((d, d) in found for d in range(100)) >= 95
+        assert all(edit_distance_within(items[i][1], docs[d])[0] <= int(len(items[i][1]) * 0.2) for d, i in found)
+
+
 def test_result_does_not_depend_on_neighbours():
     rng = random.Random(8)
     items = [(i, normal(" ".join(words(rng, 30)).encode())) for i in range(10)]
