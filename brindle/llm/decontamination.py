@@ -41,6 +41,8 @@ GRAM = 8
 DRIFT = 24
 COVER = 0.3
 COVER_LEAST = 26
+#: Items of fewer bytes have no room for a walk and are found by any run that the allowed edits must leave.
+SHORT = 80
 
 #: ASCII letters become small, other ASCII but digits a blank; further bytes stay.
 _NORMAL = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
@@ -224,19 +226,26 @@ def _gram_hashes(whole: np.ndarray, size: int) -> np.ndarray:
         return mix((raw & _U((1 << (8 * size)) - 1)) * _U(0x9E3779B97F4A7C15) + _U(size))
 
 
-def build_index(items: list[tuple[int | None, bytes]], run: int = RUN) -> Index:
-    """``run`` is lowered to the number of words of the shortest item, so that each item holds anchors of its own."""
+def build_index(items: list[tuple[int | None, bytes]], run: int = RUN, max_rate: float = MAX_RATE) -> Index:
+    """``run`` is lowered to the number of words of the shortest item of ``SHORT`` bytes or more, so that each holds anchors of its own."""
     items = [(i, t) for i, t in items if t]
-    run = max(1, min([run, *(t.count(b" ") for _, t in items)]))
+    run = max(1, min([run, *(t.count(b" ") for _, t in items if len(t) >= SHORT)]))
     keys = Keys.drawn()
     index = Index(items, run, keys)
     whole, data, offsets = padded([t for _, t in items])
     at = anchors(data, offsets, run)
     owner = np.searchsorted(offsets, at, side="right") - 1
     inside, size = at - offsets[owner], np.diff(offsets)[owner]
-    long = [i for i, (_, t) in enumerate(items) if len(t) >= COVER_LEAST]
+    long = [i for i, (_, t) in enumerate(items) if len(t) >= SHORT]
     if long:
         index.grams.append(Grams.of(items, long, GRAM, [max(COVER_LEAST, int(len(items[i][1]) * COVER)) for i in long]))
+    # Of the e + 1 equal parts of an item, e edits leave one whole: any run of its length is enough.
+    short: dict[int, list[int]] = defaultdict(list)
+    for i, (_, t) in enumerate(items):
+        if len(t) < SHORT:
+            short[min(GRAM, len(t) // (int(len(t) * max_rate) + 1))].append(i)
+    for width, own in short.items():
+        index.grams.append(Grams.of(items, own, width, [width] * len(own)))
     for walk in range(len(keys.bits)):
         # A window must lie in the item; where neither side has the room, both are kept.
         need = reach(walk, keys)
@@ -311,18 +320,19 @@ def search(texts: list[bytes], index: Index, max_rate: float = MAX_RATE) -> Iter
     for (doc, item), starts in asked.items():
         body = index.items[item][1]
         spare = int(len(body) * max_rate)
-        best, done = spare + 1, None
-        for s in sorted(starts):
-            if best and (done is None or s > done):
-                best = min(best, edit_distance_within(body, texts[doc][max(0, s - spare) : max(0, s + len(body) + 2 * spare)])[0])
-                done = s + spare
+        best, near = spare + 1, sorted(starts)
+        # Starts near each other are one region, which reaches as far as the last of them needs.
+        edges = [k for k in range(1, len(near)) if near[k] > near[k - 1] + spare]
+        for lo, hi in zip([0, *edges], [*edges, len(near)], strict=True):
+            if best:
+                best = min(best, edit_distance_within(body, texts[doc][max(0, near[lo] - spare) : max(0, near[hi - 1] + len(body) + 2 * spare)])[0])
         if best <= spare:
             yield doc, item, best
 
 
 def _search_block(docs: DataFrame, items: list[tuple[int | None, bytes]], max_rate: float) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index([(i, normal(t)) for i, t in items])
+        index = build_index([(i, normal(t)) for i, t in items], max_rate=max_rate)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple[int | None, int | None, int, int]] = []

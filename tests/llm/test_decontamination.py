@@ -84,6 +84,21 @@ def test_recall_up_to_the_allowed_edits():
         assert all(edit_distance_within(items[i][1], docs[d])[0] <= int(len(items[i][1]) * 0.2) for d, i in found)
 
 
+def test_short_items_are_all_found():
+    rng = random.Random(4)
+    sizes = [1, 3, 5, 9, 12, 16, 20, 25, 30, 40, 50, 60, 70, 79] * 4
+    items = [(k, normal("".join(rng.choice("abcdefgh ") if 0 < j < n - 1 else "q" for j in range(n)).encode())) for k, n in enumerate(sizes)]
+    texts = []
+    for k, (_, t) in enumerate(items):
+        copy = edited(rng, t.decode(), int(len(t) * 0.2)) if k % 2 else t.decode()
+        texts.append(normal(" ".join([*words(rng, 9), copy, *words(rng, 9)]).encode()))
+    got = {(d, i): x for d, i, x in search(texts, build_index(items))}
+    for d, text in enumerate(texts):
+        for i, t in items:
+            low = table(rng, t, text)
+            assert got.get((d, i)) == (low if low <= int(len(t) * 0.2) else None)
+
+
 def test_result_does_not_depend_on_neighbours():
     rng = random.Random(8)
     items = [(i, normal(" ".join(words(rng, 30)).encode())) for i in range(10)]
