@@ -1,9 +1,9 @@
 """Operator 6: benchmark decontamination by CGK embedding and bit-sampling LSH.
 
 A random walk reads a string and steps on or stays by a random bit for each (step, sign); what it reads is the CGK
-embedding, in which strings at a small edit distance differ at few places. Texts are read in item-sized windows
-around anchors (words pairs whose hash is the least of a run, so that text and item have the same anchors): the walk
-goes from an anchor to the right and to the left, as far as an item reaches. Several samples of places of several
+embedding, in which strings at a small edit distance differ at few places. Texts are read in windows beside anchors
+(words pairs whose hash is the least of a run, so that text and item have the same anchors): a walk goes from an
+anchor to the right or to the left over a fixed stretch of about 40 bytes, whatever the item's size. Several samples of places of several
 walks are the hash keys; a window that meets an item's window in any of them is verified by the exact edit distance.
 As edits that hit the anchors leave no key, runs of bytes that an item and a text share are counted as well: where
 they cover enough of the item on nearly one diagonal, the place is verified too. The documents are read once and
