@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -38,10 +39,11 @@ def _byte_signs() -> dict[str, int]:
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, from a tokenizers file.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, from a tokenizers file, as its own library gives them.
 
     A byte-level vocabulary whose merges stand in the order of their ids is encoded by the faster of two equal
-    libraries; any other file by its own. Strings of special tokens in a text are ordinary text.
+    libraries; any other file by its own. A string of a special token in a text is that token: it parts the text, and
+    both sides are encoded for themselves.
     """
 
     def __init__(self, path: str):
@@ -51,18 +53,20 @@ class TextEncoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
 
-    @staticmethod
-    def _ranked(path: str):
+    def _ranked(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, cut = spec["model"], spec.get("pre_tokenizer") or {}
         plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not spec.get("normalizer")
         if model.get("type") != "BPE" or not plain or model.get("dropout") or model.get("ignore_merges"):
             return None
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        vocab = {k: v for k, v in model["vocab"].items() if k not in special}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            return None
+        self.special = {t["content"]: int(t["id"]) for t in added}
+        self.parts = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + ")") if added else None
+        vocab = {k: v for k, v in model["vocab"].items() if k not in self.special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         merged = [vocab.get(a + b) for a, b in pairs]
         if len(vocab) != 256 + len(merged) or any(m is None for m in merged) or merged != sorted(merged) or max(vocab[s] for s in _byte_signs()) >= merged[0]:
@@ -73,9 +77,17 @@ class TextEncoder:
         ranks = {bytes(signs[c] for c in k): v for k, v in vocab.items()}
         return tiktoken.Encoding("ranked", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
 
+    def _ids(self, text: str) -> list[int]:
+        if self.parts is None or not self.parts.search(text):
+            return self.ranked.encode_ordinary(text)
+        ids: list[int] = []
+        for part in self.parts.split(text):
+            ids += [self.special[part]] if part in self.special else self.ranked.encode_ordinary(part)
+        return ids
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.ranked is not None:
-            return [np.array(self.ranked.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+            return [np.array(self._ids(t), dtype="<u4").tobytes() for t in texts]
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -188,8 +200,10 @@ def pack(cut: DataFrame, rows: int, length: int = LENGTH, stream_rows: int = STR
 def sequence_packing(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH, stream_rows: int = STREAM_ROWS) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``length`` ids.
 
-    A null or empty text is its end id alone. Repeated rows are each packed. Other columns of ``docs`` are not read.
-    An empty table gives no rows. A null ``doc_id`` stays null.
+    A null or empty text is its end id alone. Repeated rows are each packed. Of sequences that fit a piece equally well
+    the fullest is taken, and of these the one filled last; pieces alike in every column are placed in either order,
+    which cannot be told apart. Other columns of ``docs`` are not read. An empty table gives no rows. A null
+    ``doc_id`` stays null.
     """
     cut = written(pieces(docs, tokenizer_path, length), "pieces")
     return pack(cut, cut.count(), length, stream_rows)

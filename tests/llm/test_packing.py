@@ -15,9 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_the_tokenizers_library(tokenizer):
@@ -25,7 +23,10 @@ def test_ids_are_those_of_the_tokenizers_library(tokenizer):
     signs = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　​.,!?'\"-_#0123٣ⅷabcXYZßéÖÜñ中文字かな한글😀👩‍👩‍👧́\x00\x7f"
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     texts += ["".join(chr(c) for c in (rng.randrange(0x110000) for _ in range(60)) if not 0xD800 <= c <= 0xDFFF) for _ in range(500)]
-    texts += ["<|endoftext|> and more", "it's we'll I'VE don't", "a" * 5000, " " * 3000, "\n" * 100 + "x", "word " * 500, ""]
+    end = "<|endoftext|>"
+    texts += [f"{end} and more", f"inside {end} of it", f"at the end {end}", end, end * 3, f"a{end}b {end}", f"  {end}  x\n{end}\n", "<|endoftext", "|endoftext|>", f"<|{end}"]
+    texts += ["".join(rng.choice([end, " ", "word", "\n", "é", "<|", "  "]) for _ in range(9)) for _ in range(300)]
+    texts += [ "it's we'll I'VE don't", "a" * 5000, " " * 3000, "\n" * 100 + "x", "word " * 500, ""]
     encode = TextEncoder(PATH)
     assert encode.ranked is not None
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -70,8 +71,9 @@ def test_places_follow_the_rule():
 
 def check(rows, texts, tokenizer, length):
     seen = {}
+    all_ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts.items()}
     for r in rows:
-        ids = [*tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        ids = all_ids[r.doc_id]
         part = np.array(ids[r.start : r.start + r.length], dtype="<u4")
         assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
         seen.setdefault(r.doc_id, []).append((r.start, r.length))
@@ -80,7 +82,7 @@ def check(rows, texts, tokenizer, length):
         for s, n in sorted(parts):
             assert s == at
             at += n
-        assert at == len(tokenizer.encode(texts[d] or "", add_special_tokens=False).ids) + 1
+        assert at == len(all_ids[d])
     fill = {}
     for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
         assert fill.get(r.sequence_id, 0) == r.offset
@@ -91,7 +93,7 @@ def check(rows, texts, tokenizer, length):
 
 def test_round_trip_and_little_padding(spark, tokenizer):
     rng = random.Random(2)
-    texts = {i: " ".join(rng.choice(["alpha", "beta", "gamma", "delta,"]) for _ in range(rng.randint(0, 300))) for i in range(300)} | {900: None, 901: "", 902: "é " * 3000}
+    texts = {i: " ".join(rng.choice(["alpha", "beta", "gamma", "delta,"]) for _ in range(rng.randint(0, 300))) for i in range(300)} | {900: None, 901: "", 902: "é " * 3000, 903: "before <|endoftext|> after <|endoftext|>", 904: "very long text " * 20_000}
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, length string")
     rows = sequence_packing(docs, length=128, stream_rows=200).collect()
     seen, fill = check(rows, texts, tokenizer, 128)
