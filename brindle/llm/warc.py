@@ -1,8 +1,9 @@
 """Operator 4: WARC archives, and capture histories by an external merge of their indexes.
 
 Pages are written as WARC records, copies of a payload as revisits of one response. The archives are read back by
-Content-Length; each archive yields index entries, sorted locally into a capture run. The runs are merged per
-range of (URL key, timestamp, page) by a loser tree, which gives one globally ordered index of capture histories.
+Content-Length; each reading task sorts the index entries of its archives into one capture run, whose entries are
+numbered. The runs are cut into ranges of (URL key, timestamp, page); a range puts each run's entries back by their
+numbers and merges the runs by a loser tree, which gives one globally ordered index of capture histories.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ RANGE_ROWS = 200_000
 #: Pages carry no time of capture: page n counts as captured n seconds after this instant.
 EPOCH = 1_577_836_800
 
-#: Fixed values of the format.
+#: Fixed values of the format, and the days since 1970 between which its dates can lie.
 VERSION, END, BLANK = "WARC/1.0", "\r\n", "\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+FIRST_DAY, LAST_DAY = -719_162, 2_932_896
 
 
 def url_key(url: Column) -> Column:
@@ -58,6 +62,20 @@ def elect(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     ).drop("_digest", "first")
 
 
+def captured(page: Column) -> Column:
+    """Seconds since 1970 (UTC) of a page; a null counts as page 0, and ids near the ends of a long as 2^62."""
+    most = F.lit(1 << 62)
+    return F.lit(EPOCH).cast("long") + F.least(F.greatest(F.coalesce(page.cast("long"), F.lit(0)), -most), most)
+
+
+def warc_date(seconds: Column) -> Column:
+    """The date of a record in UTC, whatever the session's time zone; the format's first or last day where it ends."""
+    rest = F.pmod(seconds, F.lit(86_400))
+    day = F.least(F.greatest((seconds - rest) / 86_400, F.lit(FIRST_DAY)), F.lit(LAST_DAY)).cast("int")
+    two = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
+    return F.concat(F.date_from_unix_date(day).cast("string"), F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+
+
 def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit(END))
 
@@ -65,7 +83,8 @@ def _field(name: str, value: Column) -> Column:
 def records(elected: DataFrame) -> DataFrame:
     """One WARC record a page as text, without the blank lines that end it: the writer adds these.
 
-    A revisit has an empty block; it names payload digest, size and the record it refers to in its header.
+    A revisit has an empty block; it names payload digest, size and the record it refers to in its header. As dates
+    of the format end with the year 9999, the second of capture is also given as a number.
     """
     payload = F.coalesce("html", F.lit(""))
     response = F.col("record_type") == "response"
@@ -76,9 +95,11 @@ def records(elected: DataFrame) -> DataFrame:
         _field("WARC-Type", F.col("record_type")),
         _field("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
         _field("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
-        _field("WARC-Date", F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _field("WARC-Date", warc_date(captured(F.col("page_id")))),
+        _field("X-Capture-Seconds", captured(F.col("page_id")).cast("string")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         _field("X-Payload-Length", F.col("bytes").cast("string")),
+        F.when(response, F.lit("")).otherwise(_field("WARC-Profile", F.lit(PROFILE))),
         F.when(F.col("refers_to").isNotNull(), _field("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))).otherwise(F.lit("")),
         _field("Content-Type", F.lit("text/html")),
         _field("Content-Length", F.octet_length(block).cast("string")),
@@ -96,6 +117,9 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
 
 
 ENTRY = "url_key string, ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
+ENTRIES = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (c.split() for c in ENTRY.split(", "))])
+#: The global order. The last two tell entries of one page apart, so that equal keys can be cut like any others.
+ORDER = ["url_key", "ts", "page_id", "archive", "offset"]
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -116,29 +140,30 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of all archives, each archive's in the order of (url_key, ts, page_id): its capture run.
+    """Index entries of all archives with ``run`` and ``at``: the capture run of the task that read them, and the place in it.
 
-    Payloads are hashed again as they are read; a digest that differs from the header is an error.
+    Payloads are hashed again as they are read; a digest that differs from the header is an error. ``offset`` is the
+    record's place in the plain archive.
     """
 
     def number(urn: str | None) -> int | None:
         return int(urn[10:-1]) if urn and urn[10:-1] else None
 
-    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
                 for f, block, at in parse_archive(zlib.decompress(content, wbits=47)):
                     digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if f["WARC-Type"] == "response" and hashlib.sha256(block).hexdigest() != digest:
                         raise ValueError(f"{name} is damaged at {at}")
-                    ts = int(pd.Timestamp(f["WARC-Date"]).timestamp())
-                    rows.append((f["WARC-Target-URI"], ts, number(f["WARC-Record-ID"]), int(f["X-Payload-Length"]), digest, f["WARC-Type"], number(f.get("WARC-Refers-To")), name, at))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                    rows.append((f["WARC-Target-URI"], int(f["X-Capture-Seconds"]), number(f["WARC-Record-ID"]), int(f["X-Payload-Length"]), digest, f["WARC-Type"], number(f.get("WARC-Refers-To")), name, at))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ENTRIES.types, strict=True)], schema=ENTRIES)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    raw = files.mapInPandas(entries, ENTRY).withColumn("url_key", url_key(F.col("url_key")))
-    return raw.sortWithinPartitions("archive", "url_key", "ts", "page_id")
+    raw = files.mapInArrow(entries, ENTRY).withColumn("url_key", url_key(F.col("url_key")))
+    return raw.sortWithinPartitions(*ORDER).withColumns({"run": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
 
 
 class LoserTree:
@@ -183,31 +208,30 @@ class LoserTree:
 def merge_histories(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All entries in global order with ``position`` (gapless from 0) by (url_key, ts, page_id).
 
-    ``runs`` is written first. Ranges are cut by Spark's range partitioning over all three columns, so the captures of
-    one URL or host may lie in several ranges; within a range the entries of each archive keep their order, and the
-    loser tree merges them. Positions add the sizes of the ranges before.
+    ``runs`` is written first. Ranges are cut by Spark's range partitioning over the whole order, so the captures of
+    one URL or host, or of one page, may lie in several ranges; within a range each run's entries stand in the order
+    of their numbers, and the loser tree merges the runs. Positions add the sizes of the ranges before.
     """
     stored = written(runs, "capture-runs")
     spark = stored.sparkSession
     ranges = max(1, -(-stored.count() // range_rows))
     names = [c.split()[0] for c in ENTRY.split(", ")]
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)  # one range: about `range_rows` index entries
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]  # one range: about `range_rows` index entries
         if not parts:
             return
-        whole = pd.concat(parts, ignore_index=True)
-        keyed: dict[str, list[tuple]] = {}
-        for i, (k, t, p, a) in enumerate(zip(whole["url_key"], whole["ts"], whole["page_id"], whole["archive"], strict=True)):
-            keyed.setdefault(a, []).append((k, t, -1 if pd.isna(p) else int(p), i))
-        runs_here = [sorted(x) for _, x in sorted(keyed.items())]  # already in order, unless a shuffle block came split
-        order = [x[-1] for x in LoserTree(runs_here)]
-        out = whole.iloc[order].reset_index(drop=True)
-        out["in_range"] = range(len(out))
-        yield out
-
-    dealt = stored.repartitionByRange(ranges, "url_key", "ts", "page_id").withColumn("range", F.spark_partition_id())
-    merged = dealt.mapInPandas(merge, ENTRY + ", range int, in_range long")
+        whole = pa.Table.from_batches(parts)
+        pages = [(p is not None, p or 0) for p in whole.column("page_id").to_pylist()]
+        keys = list(zip(whole.column("url_key").to_pylist(), whole.column("ts").to_pylist(), pages, whole.column("archive").to_pylist(), whole.column("offset").to_pylist(), range(len(pages)), strict=True))
+        run = whole.column("run").to_numpy()
+        edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+        order = [x[-1] for x in LoserTree([keys[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)])]
+        out = whole.drop_columns(["run", "at"]).take(order).append_column("in_range", pa.array(range(len(order)), pa.int64()))
+        yield from out.combine_chunks().to_batches()
+
+    dealt = stored.repartitionByRange(ranges, *ORDER).sortWithinPartitions("run", "at").withColumn("range", F.spark_partition_id())
+    merged = dealt.mapInArrow(merge, ENTRY + ", range int, in_range long")
     merged = written(merged, "capture-histories")
     sizes = merged.groupBy("range").count()
     # One entry a range: rows / range_rows at most.
@@ -223,7 +247,9 @@ def archive_round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
 
     A null html is an empty payload, a null URL the empty key; a null page counts as the earliest and never as the
     response of others unless all copies are null. Repeated rows are each a record; pages that share the smallest id
-    of a payload are all responses. An empty table gives no entries. Further columns are not read.
+    of a payload are all responses. Entries alike in URL key and time come in the order of page, archive and offset.
+    Any long is a page id, and the session's time zone does not matter. An empty table gives no entries. Further
+    columns are not read.
     """
     spark = pages.sparkSession
     path = path or shared_dir(spark, "archives")

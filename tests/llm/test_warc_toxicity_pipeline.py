@@ -4,9 +4,10 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm.toxicity import fit, toxicity_scores, train
-from brindle.llm.warc import LoserTree, archive_round_trip
+from brindle.llm.warc import EPOCH, ORDER, LoserTree, archive_round_trip, merge_histories, read_index, warc_date, write_archives
 
 PAGES = "page_id long, url string, html string"
 
@@ -35,6 +36,39 @@ def test_archives_give_back_what_was_written(spark):
     assert archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_any_page_id_in_any_time_zone(spark):
+    pages = [-(2**63), -1, 0, 26_431_199 - 1, 26_431_200 + 3600, 300_000_000_000, 2**63 - 1, None]  # about the hour that New York has twice
+    rows = [(p, f"http://a.org/{i}", f"page {p}") for i, p in enumerate(pages)] + [(5, "http://same.org", "x" * 200)] * 7
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            out = archive_round_trip(spark.createDataFrame(rows, PAGES)).collect()
+            assert sorted((str(r.page_id), r.payload_bytes) for r in out) == sorted((str(p), len(h)) for p, _, h in rows)
+            order = sorted(out, key=lambda r: r.position)
+            assert [r.position for r in order] == list(range(len(rows)))
+            assert [r.url_key for r in order] == sorted(r.url_key for r in order)
+            assert {r.ts - EPOCH for r in out if r.page_id in (0, 26_431_200 + 3600, 300_000_000_000)} == {0, 26_431_200 + 3600, 300_000_000_000}
+            assert all(r.record_type == "response" and r.refers_to is None for r in out)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    got = spark.createDataFrame([(s,) for s in (0, -1, EPOCH, 10**18, -(10**18))], "s long").select(warc_date(F.col("s"))).collect()
+    assert [r[0] for r in got] == ["1970-01-01T00:00:00Z", "1969-12-31T23:59:59Z", "2020-01-01T00:00:00Z", "9999-12-31T01:46:40Z", "0001-01-01T22:13:20Z"]
+
+
+def test_histories_of_many_runs_and_ranges(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i if i % 50 else 7, f"http://{rng.choice('abc')}.org/{rng.randrange(4)}", f"text {i}") for i in range(400)]
+    write_archives(spark.createDataFrame(rows, PAGES).repartition(5), f"{tmp_path}/archives", archive_bytes=200)
+    index = read_index(spark, f"{tmp_path}/archives").repartition(9, "archive").drop("run", "at").sortWithinPartitions(*ORDER)
+    index = index.withColumns({"run": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    out = merge_histories(index, range_rows=30).collect()
+    order = sorted(out, key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(400))
+    keys = [(r.url_key, r.ts, r.page_id, r.archive, r.offset) for r in order]
+    assert keys == sorted(keys)
+
+
 def test_toxicity_of_unseen_misspellings(spark):
     rng = random.Random(4)
     good = ["".join(rng.choice("abcdehilmnorst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
