@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc32_text, read
 
-#: Production parameters. At most ``TRAIN_ROWS`` labelled rows of each class are fitted (the documented bound), those
-#: whose hashed id is smallest, each by at most ``TRAIN_WORDS`` words around a hashed place.
+#: Production parameters. The documented bound of what is fitted: of each class the labelled rows whose hashed id is
+#: smallest, at most ``TRAIN_ROWS`` of them and as many as have ``TRAIN_BYTES`` of text together. Each is fitted whole.
 TRAIN_ROWS = 3000
-TRAIN_WORDS = 2000
+TRAIN_BYTES = 16 << 20
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (3, 4, 5)
@@ -94,9 +94,9 @@ class Model:
 
 
 def fit(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: int = DIM, window: int = WINDOW, steps: int = STEPS, seed: int = 7) -> Model:
-    """Full-batch Adam on the log loss of each document's most toxic window, both classes weighing alike.
+    """Full-batch descent on the log loss of each document's most toxic window, both classes weighing alike.
 
-    With one class only, or no rows, the model is the prior: all scores equal.
+    Steps have momentum, and embeddings and weights each move by their gradient over its largest part. With one class only, or no rows, the model is the prior: all scores equal.
     """
     y = np.array(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
@@ -159,40 +159,36 @@ def fit(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: int
     return Model(emb @ out, float(bias), window)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of the bounded sample. Ids whose CRC-32 is 0 modulo 5 are held out and never read here."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) of the bounded sample, whole texts. Ids whose CRC-32 is 0 modulo 5 are held out and never read.
+
+    An id labelled more than once counts as toxic if any label says so, and of several texts of one id the least one
+    is taken. Labelled ids without a document take a place of the sample and give nothing. In the order of hashed ids
+    a class ends before the first text that does not fit ``most_bytes`` any more.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc32_text(F.col("doc_id").cast("string")) % 5 != 0)
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*order).limit(rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(rows))
-    # At most 2 * rows ids, so the sample may be broadcast.
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    # At most 2 * rows ids, so the sample may be broadcast, and the window below has that many rows.
+    own = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("toxic").orderBy(*order))
+    return own.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_words: int = TRAIN_WORDS) -> Model:
-    """The model of the sample; a document of more than ``max_words`` words is fitted by evenly spread stretches."""
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                w = words(t)
-                if len(w) > max_words:
-                    blocks = max_words // 50
-                    w = [x for b in range(blocks) for x in w[b * len(w) // blocks : b * len(w) // blocks + 50]]
-                texts.append(b" ".join(w))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), batch.column("toxic").cast(pa.int32())], names=["text", "toxic"])
-
-    sample = training_rows(docs, labels, rows).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    got = sample.mapInArrow(short, "text binary, toxic int").toArrow()
-    pairs = sorted(zip(got.column("text").to_pylist(), got.column("toxic").to_pylist(), strict=True))
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of the sample, which is read by the driver: at most ``most_bytes`` of text of each class."""
+    got = training_rows(docs, labels, rows, most_bytes).select("text", F.col("toxic").cast("int")).toArrow()
+    pairs = sorted(zip([t or b"" for t in got.column("text").to_pylist()], got.column("toxic").to_pylist(), strict=True))
     return fit([t for t, _ in pairs], [y for _, y in pairs])
 
 
 def toxicity_scores(docs: DataFrame, model: Model, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, score) of every whole text. A null or empty text has the score of no words at all.
 
-    Repeated rows are each scored; only ``text`` decides a score.
+    Repeated rows are each scored alike; only ``text`` decides a score, and no other column but ``doc_id`` is read. An
+    empty table gives no rows.
     """
     cache: dict[bytes, float] = {}
 
