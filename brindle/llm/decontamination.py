@@ -2,16 +2,17 @@
 
 A random walk reads a string and steps on or stays by a random bit for each (step, sign); what it reads is the CGK
 embedding, in which strings at a small edit distance differ at few places. Texts are read in windows beside anchors
-(words pairs whose hash is the least of a run, so that text and item have the same anchors): a walk goes from an
-anchor to the right or to the left over a fixed stretch of about 40 bytes, whatever the item's size. Several samples of places of several
-walks are the hash keys; a window that meets an item's window in any of them is verified by the exact edit distance.
-As edits that hit the anchors leave no key, runs of bytes that an item and a text share are counted as well: where
-they cover enough of the item on nearly one diagonal, the place is verified too. The documents are read once and
-nothing is shuffled.
+(word pairs whose hash is the least of a run, so that text and item have the same anchors): a walk goes from an
+anchor to the right or to the left over a fixed stretch of about 40 bytes, whatever the item's size. Several samples
+of places of several walks are the hash keys; a window that meets an item's window in any of them is verified by the
+exact edit distance. As edits that hit the anchors leave no key, runs of bytes that an item and a text share are
+counted as well: where they cover enough of the item on nearly one diagonal, the place is verified too. The documents
+are read once and nothing is shuffled; each Python worker builds the index of the items once, for all its tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -207,6 +208,30 @@ class Grams:
                 yield int(doc[k]), int(item[k]), int(diagonal[k] - offsets[doc[k]])
 
 
+@dataclass
+class Table:
+    """The keys of one sample in order, with the item and the place in it of each, and a mask of their first bits."""
+
+    keys: np.ndarray
+    item: np.ndarray
+    inside: np.ndarray
+    mask: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, item: np.ndarray, inside: np.ndarray) -> Table:
+        order = np.argsort(keys, kind="stable")
+        mask = np.zeros(1 << 20, dtype=bool)
+        mask[keys >> _U(44)] = True
+        return Table(keys[order], item[order].astype(np.int32), inside[order].astype(np.int32), mask)
+
+    def matches(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``row``, entry) of all equal keys."""
+        at = np.flatnonzero(self.mask[row >> _U(44)])
+        lo = np.searchsorted(self.keys, row[at])
+        n = np.searchsorted(self.keys, row[at], side="right") - lo
+        return np.repeat(at, n), np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+
 @dataclass
 class Index:
     """Items, and for each walk and sample the keys of their windows."""
@@ -214,8 +239,7 @@ class Index:
     items: list[tuple[int | None, bytes]]
     run: int
     keys: Keys
-    tables: list[list[dict[int, list[tuple[int, int]]]]] = field(default_factory=list)
-    masks: list[list[np.ndarray]] = field(default_factory=list)
+    tables: list[list[Table]] = field(default_factory=list)
     grams: list[Grams] = field(default_factory=list)
 
 
@@ -227,9 +251,8 @@ def _gram_hashes(whole: np.ndarray, size: int) -> np.ndarray:
 
 
 def build_index(items: list[tuple[int | None, bytes]], run: int = RUN, max_rate: float = MAX_RATE) -> Index:
-    """``run`` is lowered to the number of words of the shortest item of ``SHORT`` bytes or more, so that each holds anchors of its own."""
+    """An item of fewer than ``run`` word pairs may have no anchor in common with a text; its runs of bytes find it."""
     items = [(i, t) for i, t in items if t]
-    run = max(1, min([run, *(t.count(b" ") for _, t in items if len(t) >= SHORT)]))
     keys = Keys.drawn()
     index = Index(items, run, keys)
     whole, data, offsets = padded([t for _, t in items])
@@ -253,17 +276,7 @@ def build_index(items: list[tuple[int | None, bytes]], run: int = RUN, max_rate:
         other = size - room
         fits = (room >= need) | ((other < need) & (room >= other))
         found = keys.of(whole, at[fits] + PAD, walk)
-        tables, masks = [], []
-        for row in found:
-            table: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for k, o, p in zip(row.tolist(), owner[fits].tolist(), inside[fits].tolist(), strict=True):
-                table[k].append((o, p))
-            mask = np.zeros(1 << 20, dtype=bool)
-            mask[row >> _U(44)] = True
-            tables.append(dict(table))
-            masks.append(mask)
-        index.tables.append(tables)
-        index.masks.append(masks)
+        index.tables.append([Table.of(row, owner[fits], inside[fits]) for row in found])
     return index
 
 
@@ -304,16 +317,15 @@ def search(texts: list[bytes], index: Index, max_rate: float = MAX_RATE) -> Iter
     whole, data, offsets = padded(texts)
     at = anchors(data, offsets, index.run)
     asked: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for walk, (tables, masks) in enumerate(zip(index.tables, index.masks, strict=True)):
+    for walk, tables in enumerate(index.tables):
         for lo in range(0, len(at), 50_000):
             part = at[lo : lo + 50_000]
-            for row, table, mask in zip(index.keys.of(whole, part + PAD, walk), tables, masks, strict=True):
-                hits = np.flatnonzero(mask[row >> _U(44)])
-                for h in hits.tolist():
-                    for item, inside in table.get(int(row[h]), ()):
-                        p = int(part[h])
-                        doc = int(np.searchsorted(offsets, p, side="right")) - 1
-                        asked[doc, item].add(p - int(offsets[doc]) - inside)
+            for row, table in zip(index.keys.of(whole, part + PAD, walk), tables, strict=True):
+                place, entry = table.matches(row)
+                doc = np.searchsorted(offsets, part[place], side="right") - 1
+                start = part[place] - offsets[doc] - table.inside[entry]
+                for d, i, p in zip(doc.tolist(), table.item[entry].tolist(), start.tolist(), strict=True):
+                    asked[d, i].add(p)
     for grams in index.grams:
         for doc, item, start in grams.places(whole, offsets):
             asked[doc, item].add(start)
@@ -321,7 +333,8 @@ def search(texts: list[bytes], index: Index, max_rate: float = MAX_RATE) -> Iter
         body = index.items[item][1]
         spare = int(len(body) * max_rate)
         best, near = spare + 1, sorted(starts)
-        # Starts near each other are one region, which reaches as far as the last of them needs.
+        # Starts near each other are one region, which reaches as far as the last of them needs: a match begins within
+        # ``spare`` of its start and is longer than the item by ``spare`` at most.
         edges = [k for k in range(1, len(near)) if near[k] > near[k - 1] + spare]
         for lo, hi in zip([0, *edges], [*edges, len(near)], strict=True):
             if best:
@@ -330,9 +343,21 @@ def search(texts: list[bytes], index: Index, max_rate: float = MAX_RATE) -> Iter
             yield doc, item, best
 
 
+_built: dict[str, Index] = {}
+
+
+def _index_of(items: list[tuple[int | None, bytes | None]], max_rate: float) -> Index:
+    """The index of some items, kept by the Python worker for its next tasks."""
+    digest = hashlib.sha256(repr((items, max_rate, RUN, SEED)).encode()).hexdigest()
+    if digest not in _built:
+        _built.clear()
+        _built[digest] = build_index([(i, normal(t)) for i, t in items], max_rate=max_rate)
+    return _built[digest]
+
+
 def _search_block(docs: DataFrame, items: list[tuple[int | None, bytes]], max_rate: float) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index([(i, normal(t)) for i, t in items], max_rate=max_rate)
+        index = _index_of(items, max_rate)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             rows: list[tuple[int | None, int | None, int, int]] = []
@@ -356,8 +381,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_rate: float = MAX_RA
     """(doc_id, item_id, distance, item_bytes) of each document and item that it holds within the allowed edits.
 
     Distance is in UTF-8 bytes of normalised text: small letters, one blank for all that is no letter or digit. Null
-    and empty texts and items hold nothing. Repeated rows of either table each give rows. Items are taken in blocks
-    of ``block_items``; each is a pass over the documents. Other columns are not read.
+    and empty texts and items hold nothing; texts are searched whole, whatever their length. Repeated rows of either
+    table each give rows, also those without an id, and equal items each give a row. Of an item's places in a document
+    the nearest counts. Items are taken in blocks of ``block_items``; each is a pass over the documents. An empty table
+    gives no rows. Other columns are not read.
     """
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
     blocks = max(1, -(-items.count() // block_items))
