@@ -145,7 +145,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(df: DataFrame) -> DataFrame:
-    """``df`` (text, marks) with ``_new`` (null where nothing goes), ``n_chunks``, ``removed`` and ``_bodies``."""
+    """``df`` (row, marks) with ``clean`` (null where nothing goes), ``n_chunks``, ``removed`` and ``bodies`` of the marks."""
     none = F.array().cast("array<int>")
 
     def of(parts: Column) -> Column:
@@ -164,8 +164,7 @@ def _cleaned(df: DataFrame) -> DataFrame:
 
         return let(F.coalesce(out, none), rest)
 
-    got = df.withColumn("_got", let(_parts(F.coalesce("text", F.lit(""))), of))
-    return got.withColumns({"_new": F.col("_got.clean"), "n_chunks": F.col("_got.n_chunks"), "removed": F.col("_got.removed"), "_bodies": F.col("_got.bodies")}).drop("_got")
+    return df.withColumn("got", let(_parts(F.coalesce("row.text", F.lit(""))), of)).select("row", "marks", "got.*")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -175,15 +174,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     in a repeated unit, with the blank lines after it; some place keeps each line. Rows of the same id and text count
     as one place and keep the same lines. Null texts stay null and empty ones empty; a text whose lines all go
     becomes empty. Bytes of all repeated units are compared within each pair of hashes; where they differ nothing is
-    removed under these hashes. Columns of ``docs`` named like results are replaced.
+    removed under these hashes. Columns of ``docs`` named like results are replaced, all others stay as they are. An
+    empty table gives no rows.
     """
-    docs = docs.drop("clean_text", "n_chunks", "removed")
-    rows = docs.withColumn("row_key", F.xxhash64("text"))
-    marks = repeated_units(rows.select("doc_id", "row_key", "text")).withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
-    joined = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    done = written(_cleaned(joined).drop("_id", "_key", "row_key"), "line-dedup")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("clean_text", "n_chunks", "removed")]).alias("row"))
+    key = F.xxhash64("row.text")
+    marks = repeated_units(rows.select("row.doc_id", key.alias("row_key"), "row.text")).withColumnsRenamed({"doc_id": "id", "row_key": "key"})
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (key == F.col("key"))
+    done = written(_cleaned(rows.join(marks, same, "left")), "line-dedup")
     differ = (
-        done.select(F.explode("_bodies").alias("b"))
+        done.select(F.explode("bodies").alias("b"))
         .groupBy("b.k1", "b.k2")
         .agg(F.min("b.body").alias("low"), F.max("b.body").alias("high"))
         .where("low <> high")
@@ -192,21 +192,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     differ = written(differ, "unit-differ")
     if not differ.isEmpty():
         done = _without(done, differ)
-    return done.withColumn("clean_text", F.coalesce("_new", "text")).drop("_new", "_bodies", "marks")
+    done = done.select("row", F.coalesce("clean", "row.text").alias("clean_text"), "n_chunks", "removed")
+    return done.select("row.*", "clean_text", "n_chunks", "removed")
 
 
 def _without(done: DataFrame, differ: DataFrame) -> DataFrame:
     """The result with units put back whose hashes stand for different bytes."""
+    key = F.xxhash64("row.text")
     back = (
-        done.select("doc_id", F.xxhash64("text").alias("row_key"), F.explode("marks").alias("m"))
+        done.select("row.doc_id", key.alias("row_key"), F.explode("marks").alias("m"))
         .select("doc_id", "row_key", "m.k1", "m.k2")
         .join(differ, ["k1", "k2"], "left_semi")
-        .groupBy(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"))
-        .agg(F.collect_set(F.struct("k1", "k2")).alias("_back"))
+        .groupBy(F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+        .agg(F.collect_set(F.struct("k1", "k2")).alias("back"))
     )
-    out = done.drop("_new", "n_chunks", "removed", "_bodies").join(back, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    good = F.filter("marks", lambda m: ~F.coalesce(F.array_contains("_back", F.struct(m["k1"].alias("k1"), m["k2"].alias("k2"))), F.lit(False)))
-    return _cleaned(out.withColumn("marks", good)).drop("_id", "_key", "_back")
+    out = done.select("row", "marks").join(back, F.col("row.doc_id").eqNullSafe(F.col("id")) & (key == F.col("key")), "left")
+    good = F.filter("marks", lambda m: ~F.coalesce(F.array_contains("back", F.struct(m["k1"].alias("k1"), m["k2"].alias("k2"))), F.lit(False)))
+    return _cleaned(out.withColumn("marks", good))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

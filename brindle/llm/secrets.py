@@ -174,21 +174,22 @@ def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     Null and empty texts hold nothing. Repeated rows are each searched; documents that share an id share index
     entries, which only widens what is searched. A null id is looked up like any other value. A column of ``docs``
-    named ``found`` is replaced. Candidates are joined by id: Spark broadcasts them if they prove small at run time.
+    named ``found`` is replaced, all others stay as they are. An empty table gives no rows. Candidates are joined by id: Spark broadcasts them if they prove small at run time.
     """
     queries = {n: trigram_query(r.pattern) for n, r in enumerate(rules)}
     trigrams = sorted({t for q in queries.values() if q is not None for alt in q for t in alt})
-    hits = candidates(postings(docs, trigrams), queries).withColumnRenamed("doc_id", "_id")
+    hits = candidates(postings(docs, trigrams), queries).select(F.col("doc_id").alias("id"), "mask")
     empty = F.array().cast("array<struct<start:bigint,n:int,end:bigint,size:bigint>>")
-    text = F.coalesce("text", F.lit(""))
+    text = F.coalesce("row.text", F.lit(""))
     own = []
     for n, r in enumerate(rules):
         asked = text.rlike(r.test or r.pattern)
         if queries[n] is not None:
             asked = (F.coalesce("mask", F.lit(0)).bitwiseAND(1 << n) != 0) & asked
         own.append(F.when(asked, rule_spans(text, r, n)).otherwise(empty))
-    joined = docs.drop("found").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("found", F.concat(*own)).drop("_id", "mask")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "found"]).alias("row"))
+    joined = rows.join(hits, F.col("row.doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.select("row", F.concat(*own).alias("found")).select("row.*", "found")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,33 +72,31 @@ def jump_sharding(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, bl
     A null key counts as 0. Rows of one key share a shard; rows alike in every way get slots in any order, which
     cannot be told apart. Slots follow (key modulo ``blocks``, key, remaining columns): numbers within a block come
     from a window over shard and block, and the block's start from the counts of the blocks before it. Columns
-    of ``docs`` named like a result are replaced. An empty table gives an empty result.
+    of ``docs`` named like a result are replaced, all others stay as they are. An empty table gives an empty result.
     """
-    rows = docs.drop("shard", "slot", "grown_shard")
+    kept = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard")]
     own = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
-    walk = jump_shards(own, [shards, shards + 1])
-    rows = rows.withColumn("_walk", walk).withColumn("_block", F.pmod(own, F.lit(blocks)).cast("int"))
-    rows = rows.withColumns({"shard": F.col(f"_walk.s{shards}").cast("int"), "grown_shard": F.col(f"_walk.s{shards + 1}").cast("int")}).drop("_walk")
-    counts = rows.groupBy("shard", "_block").count()
+    rows = docs.select(F.struct(*kept).alias("row"), jump_shards(own, [shards, shards + 1]).alias("walk"), F.pmod(own, F.lit(blocks)).cast("int").alias("block"))
+    rows = rows.select("row", "block", F.col(f"walk.s{shards}").cast("int").alias("shard"), F.col(f"walk.s{shards + 1}").cast("int").alias("grown_shard"))
     starts = (
-        counts.groupBy("shard")
-        .agg(F.sort_array(F.collect_list(F.struct("_block", "count"))).alias("b"))  # at most `blocks` entries
+        rows.groupBy("shard", "block")
+        .count()
+        .groupBy("shard")
+        .agg(F.sort_array(F.collect_list(F.struct("block", "count"))).alias("b"))  # at most `blocks` entries
         .select("shard", F.explode(_running(F.col("b"))).alias("x"))
-        .select("shard", F.col("x._block").alias("_block"), F.col("x.start").alias("_start"))
+        .select("shard", "x.block", "x.start")
     )
-    rest = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard", key)]
-    order = Window.partitionBy("shard", "_block").orderBy(F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in rest])
-    numbered = rows.withColumn("_n", F.row_number().over(order) - 1)
+    order = Window.partitionBy("shard", "block").orderBy(*[F.col("row")[c].asc_nulls_first() for c in [key, *[c for c in kept if c != key]]])
+    numbered = rows.withColumn("n", F.row_number().over(order) - 1)
     # `starts` has at most shards * blocks rows, so it may be broadcast.
-    out = numbered.join(F.broadcast(starts), ["shard", "_block"])
-    return out.withColumn("slot", F.col("_start") + F.col("_n")).drop("_block", "_start", "_n")
+    return numbered.join(F.broadcast(starts), ["shard", "block"]).select("row.*", "shard", (F.col("start") + F.col("n")).alias("slot"), "grown_shard")
 
 
 def _running(entries: Column) -> Column:
-    """Entries (_block, count) in order -> (_block, start), with the sum of the counts before each."""
+    """Entries (block, count) in order -> (block, start), with the sum of the counts before each."""
     return let(
         prefix_sums(F.transform(entries, lambda e: e["count"])),
-        lambda before: F.zip_with(entries, before, lambda e, s: F.struct(e["_block"].alias("_block"), s.alias("start"))),
+        lambda before: F.zip_with(entries, before, lambda e, s: F.struct(e["block"].alias("block"), s.alias("start"))),
     )
 
 

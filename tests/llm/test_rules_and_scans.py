@@ -7,7 +7,7 @@ import zlib
 
 from brindle.llm.licenses import TEMPLATES, license_scan
 from brindle.llm.line_dedup import line_dedup
-from brindle.llm.quality import quality_rules
+from brindle.llm.quality import TAIL, THRESHOLD, quality_rules
 from brindle.llm.secrets import BASE, RULES, secret_scan, trigram_query
 from brindle.llm.sharding import jump_sharding
 
@@ -166,5 +166,88 @@ def test_equal_hashes_of_different_bytes_remove_nothing(spark, monkeypatch):
     assert sorted((r.doc_id, r.clean_text) for r in out) == rows
 
 
+def test_quality_ratio_and_verdict_against_plain_counts(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words[:200] if i % 3 else words[150:]) for _ in range(rng.randint(12, 90)))) for i in range(120)] + [(500, "x y"), (501, None), (7, "a repeated id " + " ".join(words[:30]))]
+    good = {i for i in range(0, 90) if i % 3} - {1} | {7}
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, 1) for i in good] + [(i, 0) for i in range(90, 120)] + [(3, 1), (None, 1)], "doc_id long, quality int")
+    good |= {3}
+    buckets, limit = 64, 40
+    hashes = spark.createDataFrame([(i,) for i in good], "i long").select("i", F.xxhash64("i").alias("h")).collect()
+    target = {r.i for r in sorted(hashes, key=lambda r: (r.h, r.i))[:limit]}
+    split = {k: t.split() for k, (_, t) in enumerate(rows) if t}
+    grams = {w: None for ws in split.values() for w in ws}
+    for r in spark.createDataFrame([(w, w[-TAIL:]) for w in grams], "w string, t string").select("w", F.pmod(F.xxhash64("w"), F.lit(buckets)).alias("a"), F.pmod(F.xxhash64("t", F.lit(0)), F.lit(buckets)).alias("b")).collect():
+        grams[r.w] = (r.a, r.b)
+    raw, top = [0] * buckets, [0] * buckets
+    for k, ws in split.items():
+        for w in ws:
+            for g in grams[w]:
+                raw[g] += 1
+                top[g] += rows[k][0] in target
+    ratio = [math.log((top[b] + 1) / (sum(top) + buckets)) - math.log((raw[b] + 1) / (sum(raw) + buckets)) for b in range(buckets)]
+    want = {}
+    for k, (d, t) in enumerate(rows):
+        ws = split.get(k, [])
+        want[d, t] = sum(ratio[g] for w in ws for g in grams[w]) / (2 * len(ws)) if ws else 0.0
+    got = quality_rules(docs, labels, threshold=-0.02, buckets=buckets, target_rows=limit).select("doc_id", "text", "llr", "base_failed", "kept").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.llr - want[r.doc_id, r.text]) < 1e-9
+        assert r.kept == (not r.base_failed and r.llr >= -0.02)
+    assert {r.kept for r in got if not r.base_failed} == {True, False} and THRESHOLD < 0
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    names = ["row", "words", "lines", "windows", "twins", "w", "total", "walk", "block", "n", "start", "x", "b", "mask", "id", "key", "row_key", "marks", "got", "clean", "bodies", "u", "at", "first", "k1", "back", "_words", "_block", "_id"]
+    rows = [(i, f"line one of {i}\nthe same line here and here\nand the same line again and again\npassword: abcdefgh", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", `{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (quality_rules(docs, labels), jump_sharding(docs), secret_scan(docs), license_scan(docs), line_dedup(docs)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert sorted(tuple(r)[: len(docs.columns)] for r in out.collect()) == sorted(rows)
+    assert len(line_dedup(docs).where("clean_text <> text").collect()) == 5
+
+
+def plain_line_dedup(rows, wrap=160, least=40):
+    """Texts without blank lines: repeated shortest runs of lines, looked for from both ends, go but for their first place."""
+    places = {}
+    for d, text in sorted(rows):
+        x = text.split("\n")
+        units = set()
+        size = lambda i, n: sum(map(len, x[i : i + n])) + n - 1
+        for i in range(len(x)):
+            after = next((n for n in range(2, len(x) - i + 1) if size(i, n) >= least), 0)
+            before = next((n for n in range(2, i + 2) if size(i - n + 1, n) >= least), 0)
+            units |= ({(i, after)} if after else set()) | ({(i - before + 1, before)} if before else set())
+            units |= {(i, 1)} if len(x[i]) >= wrap else set()
+        for i, n in units:
+            places.setdefault("\n".join(x[i : i + n]), []).append((d, i, n))
+    gone = {}
+    for body in places.values():
+        first = min(body)
+        for d, i, n in body:
+            if (d, i) != first[:2]:
+                begin = max(i, first[1] + n) if d == first[0] else i
+                gone.setdefault(d, set()).update(range(begin, i + n))
+    return {d: "\n".join(y for k, y in enumerate(text.split("\n")) if k not in gone.get(d, ())) for d, text in rows}
+
+
+def test_line_dedup_against_a_plain_version(spark):
+    rng = random.Random(23)
+    lines = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(rng.choice([1, 1, 2, 5, 9, 45]))) for _ in range(40)]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.7 else f"only {i} {rng.random()}" for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    rows += [(500, "\n".join(lines) + "\n" + "\n".join(lines)), (501, "\n".join(f"long text, line {k % 900}" for k in range(3000)))]
+    got = {r.doc_id: r.clean_text for r in line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    want = plain_line_dedup(rows)
+    assert got == want and sum(want[d] != t for d, t in rows) > 50
+
+
 def test_helpers():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and zlib.crc32(b"") == 0

@@ -2,11 +2,12 @@
 
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm.toxicity import fit, toxicity_scores, train
+from brindle.llm.toxicity import fit, toxicity_scores, train, training_rows
 from brindle.llm.warc import EPOCH, ORDER, LoserTree, archive_round_trip, merge_histories, read_index, warc_date, write_archives
 
 PAGES = "page_id long, url string, html string"
@@ -85,8 +86,6 @@ def test_toxicity_of_unseen_misspellings(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = train(docs, labels)
     assert (model.part == train(docs, labels).part).all()
-    import zlib
-
     scores = {r.doc_id: r.score for r in toxicity_scores(docs, model).collect()}
     held = [(scores[i], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((s >= 0.5) == bool(y) for s, y in held) >= 0.9 * len(held)
@@ -95,6 +94,53 @@ def test_toxicity_of_unseen_misspellings(spark):
     assert toxicity_scores(docs.limit(0), model).count() == 0
 
 
+def test_scores_against_a_plain_version(spark):
+    import math
+
+    import numpy as np
+
+    from brindle.llm.toxicity import GRAMS, Model, words
+
+    rng = random.Random(12)
+    buckets = 257
+    model = Model(np.array([rng.uniform(-3, 3) for _ in range(buckets)]), -0.3, 3)
+
+    def row(piece, start):
+        h = start
+        for c in piece:
+            h = ((h * 1_000_003) & (2**64 - 1)) ^ c
+        return (((h * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 40) % buckets
+
+    def plain(text):
+        logits = []
+        for w in words(text.encode()) if text else []:
+            b = b"<" + w + b">"
+            bag = [row(b[i : i + n], n) for n in GRAMS for i in range(len(b) - n + 1)] + [row(b, 0)]
+            logits.append(sum(model.part[k] for k in bag) / len(bag))
+        tops = [sum(logits[i : i + 3]) / 3 for i in range(len(logits) - 2)] if len(logits) > 3 else [sum(logits) / len(logits) if logits else 0.0]
+        return 1 / (1 + math.exp(-(max(tops) + model.bias)))
+
+    rows = [(i, " ".join("".join(rng.choice("aBc\u00e9-!") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(100, None), (101, ""), (101, ""), (None, "a b"), (102, "very long " * 30_000)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, score string")
+    for cache in (500_000, 40):
+        got = sorted(((r.doc_id, r.score) for r in toxicity_scores(docs, model, cache_words=cache).collect()), key=str)
+        assert [g[0] for g in got] == [w[0] for w in sorted(((d, plain(t)) for d, t in rows), key=str)]
+        want = {(d, round(plain(t), 9)) for d, t in rows}
+        assert {(d, round(x, 9)) for d, x in got} == want
+
+
+def test_training_rows_are_bounded_and_told_by_rule(spark):
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(60)] + [(3, "a second text of 3"), (61, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(4, 1), (4, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    own = {r.doc_id: (bytes(r.text or b"").decode(), r.toxic) for r in training_rows(docs, labels).collect()}
+    assert not any(zlib.crc32(str(d).encode()) % 5 == 0 for d in own) and own[4][1] == 1 and own[3][0] == "a second text of 3"
+    assert set(own) == {d for d in [*range(60), 61] if zlib.crc32(str(d).encode()) % 5}
+    some = training_rows(docs, labels, most_bytes=200).collect()
+    assert all(0 < sum(len(r.text or b"") for r in some if r.toxic == y) <= 200 for y in (0, 1)) and {r.doc_id for r in some} < set(own)
+    assert training_rows(docs.limit(0), labels).count() == 0 and training_rows(docs, labels.limit(0)).count() == 0
+
+
 def test_one_class_gives_the_prior():
     m = fit([b"a b", b"c"], [0, 0])
     assert m.bias < 0 and not m.part.any() and fit([], []).bias < 0
