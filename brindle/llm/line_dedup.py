@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, read, written
+from .common import discard, let, read, written
 
 #: Production parameters: a cut after one line pair in ``CUT_EVERY``; a line of ``WRAP`` characters or more counts
 #: as several; a run of less than ``LEAST`` characters always stays.
@@ -124,8 +124,8 @@ def _keys(body: Column) -> tuple[Column, Column]:
     return F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body, F.length(body)).alias("k2")
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, marks) of the documents with repeated units; marks: (at, n, k1, k2, kept, gone) of each of
+def repeated_units(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, row_key, marks) of the documents with repeated units, and the tables it is read from; marks: (at, n, k1, k2, kept, gone) of each of
     these, where ``gone`` is the first of its lines that goes: the first place stays whole, so where the unit overlaps
     with that only the lines behind it go.
 
@@ -141,7 +141,8 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key"))
     gone = F.when(same, F.greatest(F.col("at"), F.col("first.at") + F.col("n"))).otherwise(F.col("at"))
     mark = F.struct("at", "n", "k1", "k2", (F.col("first") == place).alias("kept"), gone.alias("gone"))
-    return keyed.join(first, ["k1", "k2"]).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    marks = keyed.join(first, ["k1", "k2"]).groupBy("doc_id", "row_key").agg(F.sort_array(F.collect_set(mark)).alias("marks"))
+    return marks, [keyed, first]
 
 
 def _cleaned(df: DataFrame) -> DataFrame:
@@ -179,9 +180,11 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.struct(*[c for c in docs.columns if c not in ("clean_text", "n_chunks", "removed")]).alias("row"))
     key = F.xxhash64("row.text")
-    marks = repeated_units(rows.select("row.doc_id", key.alias("row_key"), "row.text")).withColumnsRenamed({"doc_id": "id", "row_key": "key"})
+    marks, used = repeated_units(rows.select("row.doc_id", key.alias("row_key"), "row.text"))
+    marks = marks.withColumnsRenamed({"doc_id": "id", "row_key": "key"})
     same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (key == F.col("key"))
     done = written(_cleaned(rows.join(marks, same, "left")), "line-dedup")
+    discard(*used)
     differ = (
         done.select(F.explode("bodies").alias("b"))
         .groupBy("b.k1", "b.k2")

@@ -37,7 +37,7 @@ class Rule:
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, r"AKIA[A-Z0-9]{16}"),
-    Rule("hex", r"[0-9a-f]+", 0, 24, r"[0-9a-f]{24}"),
+    Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
