@@ -7,7 +7,8 @@ itself, and counts are summed over fragments:
    fragment counts a set's n-grams that no other set has; sets with too many in all are done. Equal sets are one.
 2. Of the sets left, those that share an n-gram of their prefix (rarest first) are grouped; each group is compared
    to its hub, the member with the fewest n-grams of its own. Overlaps of a pair are counted per fragment and summed.
-3. Pairs of a group that neither touch the hub nor are joined through it are compared in blocks of bounded size.
+3. Pairs of a group that neither touch the hub nor are joined through it are compared in blocks of bounded size:
+   within families of groups that hang together while these are small, else within each group for itself.
 4. Links give components.
 
 No step gathers a group in one task, and no link between different sets is lost. Hashes have 64 bits.
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import discard, read, written
 
 #: Production parameters: words of an n-gram; links need PERCENT of the union in common.
 N = 5
 PERCENT = 75
-#: Fragments in which overlaps of a pair are counted, and sets of a block.
+#: Fragments in which overlaps of a pair are counted; sets of a block; sets of a family from which its groups are
+#: compared one by one; bytes of text whose n-grams one fragment of the first step counts.
 FRAGMENTS = 8
 BLOCK = 256
+FAMILY = 64 * BLOCK
+FRAGMENT_BYTES = 64 << 20
 #: Bytes of text that are hashed at once, and what a task gathers before it sends to the fragments.
 SLICE_BYTES = 1 << 21
 FLUSH_ELEMENTS = 3_000_000
@@ -287,8 +291,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         after = written(hooked.join(up, "label").select("node", "was", F.least("label", "above").alias("label")), "labels")
         if after.where("was <> label").isEmpty():
+            discard(both, labels)
             return after.select("node", "label")
+        discard(labels)
         labels = after.select("node", "label")
+        labels.written_to = after.written_to
 
 
 def _near_size(a: Column, b: Column, percent: int) -> Column:
@@ -377,7 +384,26 @@ def compare_in_blocks(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT,
     return rows.groupBy("family", "k").applyInArrow(_block_links(percent), "a binary, b binary")
 
 
-def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None = None) -> DataFrame:
+def unsettled_members(unsettled: DataFrame, family: int) -> DataFrame:
+    """(node, n, label, family): the sets to compare, from (gram, node, n, label, least) of groups with several labels.
+
+    Groups that hang together are a family. One of more than ``family`` sets, as may come from long chains of groups, is
+    taken group by group; of groups with the same sets one is enough.
+    """
+    whole = components(unsettled.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()).withColumnRenamed("label", "family")
+    sets = unsettled.select("node", "n", "label").distinct().join(whole, "node")
+    large = written(sets.groupBy("family").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > family).select("family"), "large-families")
+    members = sets.join(large, "family", "left_anti").select("node", "n", "label", "family")
+    if large.isEmpty():
+        return members
+    rows = unsettled.join(whole.join(large, "family", "left_semi").select("node"), "node", "left_semi")
+    same = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    groups = same.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
+    name = F.concat(F.lit("group "), F.col("gram").cast("string")).cast("binary")
+    return members.unionByName(rows.join(groups, "gram").select("node", "n", "label", name.alias("family")))
+
+
+def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None = None, family: int = FAMILY) -> DataFrame:
     """One row for each document: doc_id, node (names its set; empty for none), n_shingles, component_id.
 
     A text of fewer than five words has its whole sequence as its one n-gram; a text without words, or a null, has none
@@ -385,8 +411,9 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None
     for no component's smallest id, so a component of nulls alone has a null. Repeated rows each get a row. Columns of
     ``docs`` but doc_id and text are not read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT_BYTES))
     counted = written(witnesses(docs, parts, percent), "witnesses")
     rows = counted.where("node is not null").select("doc_id", "n", "node", "key")
     classes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("first"), F.first("key").alias("key"))
@@ -402,6 +429,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None
     shared = flat.join(often, "gram").groupBy("node", "n").agg(order.alias("shared"))
     shared = shared.withColumn("own", F.col("n") - F.size("shared")).where(F.col("own") <= spare)
     shared = written(shared, "shared")  # n-grams that another set has, rarest first
+    discard(wanted, sets)
     prefix = F.slice("shared", F.lit(1), (spare + 1 - F.col("own")).cast("int"))
     signs = shared.select("node", "n", "own", F.explode(prefix).alias("s")).select("node", "n", "own", F.col("s.gram").alias("gram"))
     signs = written(signs, "signatures")
@@ -410,6 +438,7 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None
     hubs = hubs.select("gram", F.col("hub.node").alias("hub"), (-F.col("hub.less")).alias("hub_n"))
     star = signs.join(hubs, "gram")
     star = written(star, "stars")
+    discard(signs)
     pairs = star.where((F.col("node") != F.col("hub")) & _near_size(F.col("n"), F.col("hub_n"), percent))
     pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.first("hub_n").alias("n_a"), F.first("n").alias("n_b"))
     cut = (
@@ -418,21 +447,25 @@ def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None
         .agg(F.collect_list("gram").alias("grams"))
     )
     pairs = written(pairs, "pairs")
-    common = overlaps(pairs.select("a", "b"), written(cut, "fragments"))
+    cut = written(cut, "fragments")
+    common = overlaps(pairs.select("a", "b"), cut)
     links = common.join(pairs, ["a", "b"]).where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
     links = written(links, "links")
+    discard(pairs, cut)
 
     # A set's label: the smallest hub that it is linked with, or itself. Sets of one label are of one component.
     label = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
     label = written(label, "hub-labels")
     rest = star.where(F.col("node") != F.col("hub")).join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_groups = rest.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least")).where("low <> high").select("gram", "least")
-    unsettled = written(rest.join(open_groups, "gram").select("node", "n", "label", "least"), "unsettled")
+    unsettled = written(rest.join(open_groups, "gram").select("gram", "node", "n", "label", "least"), "unsettled")
+    discard(star, label)
     if not unsettled.isEmpty():
-        family = components(unsettled.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-        members = unsettled.select("node", "n", "label").distinct().join(family.withColumnRenamed("label", "family"), "node")
+        members = unsettled_members(unsettled, family)
         more = compare_in_blocks(members, shared.select("node", F.col("shared.gram").alias("grams")), percent)
-        links = written(links.unionByName(more), "links")
+        links, few = written(links.unionByName(more), "links"), links
+        discard(few)
+    discard(shared, unsettled)
 
     if links.isEmpty():
         merged = classes.select("node", F.col("first").alias("component_id"))

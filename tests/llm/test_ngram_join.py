@@ -80,6 +80,24 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute(rows)
 
 
+def test_large_families_and_few_fragments_lose_no_link(spark):
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(9000)}"
+    rows = rows_of(5)
+    chain = [word() for _ in range(80)]
+    for i in range(60):  # each is linked with its neighbours only
+        chain = chain[6:] + [word() for _ in range(6)]
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(2000 + i, t) for i, t in enumerate(family(rng, [word() for _ in range(120)], 60, 16))]
+    rows.append((3000, " ".join(word() for _ in range(40_000))))
+    rows.append((3001, rows[-1][1] + " end"))
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    want = brute(rows)
+    for most in (6, 10**6):
+        got = ngram_components(docs, parts=2, family=most)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
+
+
 def test_nulls_repeats_and_other_columns(spark):
     text = "the same seven words are here twice"
     rows = [(None, text, "k"), (7, text, None), (7, text, None), (9, None, "x"), (None, None, None), (3, "", "y")]
