@@ -400,7 +400,7 @@ def unsettled_members(unsettled: DataFrame, family: int) -> DataFrame:
     same = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     groups = same.groupBy("m", "x", "y").agg(F.min("gram").alias("gram")).select("gram")
     name = F.concat(F.lit("group "), F.col("gram").cast("string")).cast("binary")
-    return members.unionByName(rows.join(groups, "gram").select("node", "n", "label", name.alias("family")))
+    return written(members.unionByName(rows.join(groups, "gram").select("node", "n", "label", name.alias("family"))), "members")
 
 
 def ngram_components(docs: DataFrame, percent: int = PERCENT, parts: int | None = None, family: int = FAMILY) -> DataFrame:
