@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stats import dcg_weight, ideal_dcg
 from brindle.functions.text import tokens
+from brindle.operators.tables import written
 
 #: Constant of the reciprocal ranks, leg size, fused size, reserve.
 RRF, LEG, FUSED, RESERVE = 60, 50, 40, 8
@@ -31,11 +33,6 @@ def ranked(scores: DataFrame, k: int, by: str = "score", query: str = "query_id"
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def terms(docs: DataFrame, item: str = "id", text: str = "text") -> DataFrame:
-    """(id, dl, term): a row for each word, with the number of words of its text."""
-    return docs.select(item, tokens(F.col(text)).alias("_t")).select(item, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-
-
 def document_frequency(docs: DataFrame, item: str = "id", text: str = "text") -> DataFrame:
     """(term, df, idf): documents with a term, and ln(1 + N / df)."""
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
@@ -44,29 +41,82 @@ def document_frequency(docs: DataFrame, item: str = "id", text: str = "text") ->
     return df.join(F.broadcast(n)).select("term", "df", F.log(1 + F.col("n_docs") / F.col("df")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, probabilistic: bool = False) -> DataFrame:
+def postings(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(id, dl, hits): each document's length in words, and those of its words that are among ``words``.
+
+    The filter sits in the row, so nothing but hits leaves the scan of the texts; the table is written once and read for
+    frequencies and for scores.
+    """
+    own = docs.select("id", tokens(F.col("text")).alias("_t"))
+    hits = F.filter("_t", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
+    return written(own.select(F.col("id").cast("long").alias("id"), F.size("_t").alias("dl"), hits.alias("hits")), "postings")
+
+
+#: Words of queries that one pass over the postings takes: the bound of what is sent to the executors.
+MOST_WORDS = 20_000
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, probabilistic: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
     """(query_id, id, score, rank): the best ``k`` documents of each query.
 
     ``docs``: (id, text); ``queries``: (query_id, text). idf is ln(1 + N / df), or ln(1 + (N - df + 0.5) / (df + 0.5)) if
-    ``probabilistic``. Only words that some query has leave the documents' scan.
+    ``probabilistic``. The stated queries are set against all documents in blocks of about ``most_words`` query words:
+    each task scores its documents against the block and keeps the best ``k`` of each query, so a word that every
+    document has makes no pairs to shuffle.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tokens(F.col("text")))).alias("avgdl"))  # one row
-    found = terms(docs).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n, d = F.col("n_docs"), F.col("df")
-    idf = F.log(1 + (n - d + 0.5) / (d + 0.5)) if probabilistic else F.log(1 + n / d)
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = found.join(df, "term").join(F.broadcast(sizes)).select("term", "id", weight.alias("w"))
-    scores = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return ranked(scores, k)
+    spark = docs.sparkSession
+    empty = spark.createDataFrame([], "query_id long, id long, score double")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))).over(Window.partitionBy("query_id")))).alias("t"))
+    asked = asked.dropDuplicates(["query_id"]).withColumn("n", F.size("t"))
+    blocks = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // most_words))
+    out = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = sorted((r.query_id, r.t) for r in part.select("query_id", "t").collect())
+        words = sorted({w for _, t in rows for w in t})
+        index = postings(docs, words)
+        n, avgdl = index.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        counted = index.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").count()
+        df = {r.term: r["count"] for r in counted.collect()}  # at most as many rows as words are asked for
+        idf = np.array([np.log(1 + ((n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5) if probabilistic else n / max(1, df.get(w, 0)))) for w in words])
+        place = {w: i for i, w in enumerate(words)}
+        score = _bm25_scores(words, idf, [[place[w] for w in t] for _, t in rows], avgdl or 1.0, k1, b)
+        found = index.where(F.size("hits") > 0).mapInArrow(_best([q for q, _ in rows], score, k, positive=True), "query_id long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return ranked(out if out is not None else empty, k)
+
+
+def _bm25_scores(words: list[str], idf: np.ndarray, terms: list[list[int]], avgdl: float, k1: float, b: float):
+    """For a batch (id, dl, hits): the scores of some of its rows for all queries, in slices of bounded size."""
+    flat = np.array([t for own in terms for t in own], dtype=np.int64)
+    begin = np.cumsum([0, *map(len, terms)])[:-1]
+    some = np.array([len(t) > 0 for t in terms])
+    step = max(1, 4_000_000 // max(1, len(flat) + len(words)))
+    vocabulary = pa.array(words, pa.string())
+
+    def scores(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, dl = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for lo in range(0, batch.num_rows, step):
+            hits = batch.column(2).slice(lo, step)
+            at = pc.index_in(hits.flatten(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = pc.list_parent_indices(hits).to_numpy(zero_copy_only=False)
+            tf = np.zeros((len(hits), len(words)))
+            np.add.at(tf, (row, at), 1.0)
+            weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[lo : lo + step, None] / avgdl))
+            out = np.zeros((len(terms), len(hits)))
+            if len(flat):
+                out[some] = np.add.reduceat(weight[:, flat], begin[some], axis=1).T
+            yield ids[lo : lo + step], np.round(out, 6)
+
+    return scores
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, id, score, rank): the nearest ``k`` vectors of each query by cosine, exactly.
 
     ``vectors``: (id, vector); ``queries``: (query_id, vector). Queries go to the tasks in blocks of ``block`` rows, the
-    bound of what is sent; each task keeps its best ``k`` of each query. A vector of length 0 or null has score 0.
+    bound of what is sent; each task keeps its best ``k`` of each query. A vector of length 0, a null, and one of another
+    width than the block's widest query have score 0.
     """
     spark = vectors.sparkSession
     total = queries.count()
@@ -76,35 +126,55 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 409
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
         rows = part.select(F.col("query_id").cast("long"), "vector").orderBy("query_id").toArrow()
         ids = rows.column(0).to_pylist()
-        matrix = _unit(rows.column(1).to_pylist())
-        found = vectors.select(F.col("id").cast("long"), "vector").mapInArrow(_nearest(ids, matrix, k), "query_id long, id long, score double")
+        width = max((len(v) for v in rows.column(1).to_pylist() if v is not None), default=1)
+        score = _cosines(_unit(rows.column(1).to_pylist(), width), width)
+        found = vectors.select(F.col("id").cast("long"), "vector").mapInArrow(_best(ids, score, k), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
     return ranked(out if out is not None else spark.createDataFrame([], "query_id long, id long, score double"), k)
 
 
-def _unit(vectors: list) -> np.ndarray:
-    width = max((len(v) for v in vectors if v is not None), default=1)
-    m = np.array([v if v is not None and len(v) == width else [0.0] * width for v in vectors], dtype=np.float64).reshape(len(vectors), width)
+def _unit(vectors: list, width: int) -> np.ndarray:
+    m = np.array([v if v is not None and len(v) == width and None not in v else [0.0] * width for v in vectors], dtype=np.float64).reshape(len(vectors), width)
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _nearest(query_ids: list[int], queries: np.ndarray, k: int):
+def _cosines(queries: np.ndarray, width: int, step: int = 512):
+    def scores(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for lo in range(0, batch.num_rows, step):
+            yield ids[lo : lo + step], np.round(queries @ _unit(batch.column(1).slice(lo, step).to_pylist(), width).T, 9)
+
+    return scores
+
+
+def _best(query_ids: list[int], scores, k: int, positive: bool = False):
+    """A task's best ``k`` rows of each query, ties by id; ``scores`` gives (ids, queries x ids) in slices of a batch.
+
+    Of a slice only rows that can still enter some query's best are merged. With ``positive``, a score of 0 is no hit.
+    """
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not query_ids:
             return
-        ids, scores = np.zeros((len(query_ids), 0), dtype=np.int64), np.zeros((len(query_ids), 0))
+        low = 0.0 if positive else -np.inf
+        ids, best = np.full((len(query_ids), k), np.iinfo(np.int64).max), np.full((len(query_ids), k), -np.inf)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            near = np.round(queries @ _unit(batch.column(1).to_pylist()).T, 9)
-            ids = np.concatenate([ids, np.broadcast_to(own, near.shape)], axis=1)
-            scores = np.concatenate([scores, near], axis=1)
-            order = np.lexsort((ids, -scores), axis=1)[:, :k]
-            ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        flat = np.repeat(np.array(query_ids, dtype=np.int64), ids.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["query_id", "id", "score"])
+            for own, near in scores(batch):
+                entering = (near >= best[:, -1:]) & ((near > 0) | (not positive))
+                most = int(entering.sum(axis=1).max(initial=0))
+                if not most:
+                    continue
+                near = np.where(entering, near, -np.inf)
+                at = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+                more, new = np.take_along_axis(near, at, 1), own[at]
+                new = np.where(more > -np.inf, new, np.iinfo(np.int64).max)
+                ids, best = np.concatenate([ids, new], axis=1), np.concatenate([best, more], axis=1)
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        kept = best > low if positive else best > -np.inf
+        flat = np.repeat(np.array(query_ids, dtype=np.int64), kept.sum(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids[kept]), pa.array(best[kept])], names=["query_id", "id", "score"])
 
     return search
 
@@ -131,8 +201,10 @@ def fuse(vector_leg: DataFrame, lexical_leg: DataFrame, weight: float, limit: in
 def multi_query_rrf(lists: DataFrame) -> DataFrame:
     """(query_id, id, fused) from (query_id, variant, id, rank, score): sum of 1 / (60 + rank) over the variants.
 
-    A query with a single list keeps that list's scores.
+    A query with a single list keeps that list's scores. The lists are dealt by query anew: a union of frames that are
+    dealt by query already passes for dealt, while adaptive execution may have merged their parts in different ways.
     """
+    lists = lists.repartition("query_id")
     n = lists.groupBy("query_id").agg(F.count_distinct("variant").alias("n"))
     summed = lists.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.min_by("score", "variant").alias("first_score"))
     return summed.join(n, "query_id").select("query_id", "id", F.when(F.col("n") == 1, F.col("first_score")).otherwise(F.col("rrf")).alias("fused"))
@@ -153,18 +225,22 @@ def guaranteed_first(rows: DataFrame, group: str, first: int = 2, query: str = "
     return lead.withColumn("position", F.row_number().over(order)).drop("_lead")
 
 
-def dedupe_adjacent(rows: DataFrame, keys: list[str], pool: int = LEG) -> DataFrame:
-    """Rows (keys, ord, rank) without those next to a better one that is itself kept.
+def dedupe_adjacent(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, ord) without those next to a better one that is itself kept.
 
-    A ranking has at most ``pool`` rows, its documented bound, so it may be folded as an array.
+    Going from a chunk to better and better neighbours, the last one is kept and the ones before it go and stay in turn.
+    So a chunk stays if the rising runs of ranks that end at it from the left and from the right both have an even number
+    of steps. Of equal places of a section the best counts; ranks are unique in it.
     """
-    top = rows.where(F.col("rank") <= pool).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "ord"))).alias("r"))
-    none = F.array().cast("array<int>")
-
-    def step(kept: Column, x: Column) -> Column:
-        return F.when(F.exists(kept, lambda o: F.abs(o - x["ord"]) <= 1), kept).otherwise(F.array_append(kept, x["ord"].cast("int")))
-
-    return top.select(*keys, F.explode(F.aggregate("r", none, step)).alias("ord"))
+    one = rows.groupBy(*keys, "ord").agg(F.min("rank").alias("rank"))
+    out = one
+    for name, order, step in (("_left", F.col("ord").asc(), 1), ("_right", F.col("ord").desc(), -1)):
+        w = Window.partitionBy(*keys).orderBy(order)
+        rises = (F.lag("ord").over(w) == F.col("ord") - step) & (F.lag("rank").over(w) < F.col("rank"))
+        out = out.withColumn("_start", F.when(~F.coalesce(rises, F.lit(False)), F.col("ord")))
+        steps = F.abs(F.col("ord") - F.last("_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        out = out.withColumn(name, steps)
+    return out.where((F.col("_left") % 2 == 0) & (F.col("_right") % 2 == 0)).select(*keys, "ord")
 
 
 def expand(chunks: DataFrame, section: str, limit: int = 1200) -> DataFrame:
@@ -182,9 +258,14 @@ def expand(chunks: DataFrame, section: str, limit: int = 1200) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, budget: int, keys: list[str], rank: str = "rank", tokens_col: str = "tokens") -> DataFrame:
-    """The leading rows of each ranking whose tokens fit the budget together; the first that does not fit ends it."""
-    order = Window.partitionBy(*keys).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(tokens_col).over(order)).where(F.col("_sum") <= budget).drop("_sum")
+    """The leading rows of each ranking whose tokens fit the budget together; the first that does not fit ends it.
+
+    A first row over the budget is kept and cut to it: ``tokens_col`` then says how much of it may be used.
+    """
+    w = Window.partitionBy(*keys).orderBy(rank)
+    own = F.when(F.row_number().over(w) == 1, F.least(F.col(tokens_col), F.lit(budget))).otherwise(F.col(tokens_col))
+    cut = rows.withColumn(tokens_col, own)
+    return cut.withColumn("_sum", F.sum(tokens_col).over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= budget).drop("_sum")
 
 
 def middle_out(rank: Column, n: Column) -> Column:
@@ -209,17 +290,36 @@ def ranking_metrics(ranking: DataFrame, gold: DataFrame, recall_at: int = 8, ndc
     )
 
 
-def gold_passages(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+#: Quotes too short to be joined by their words that one pass over the documents takes.
+MOST_SHORT = 2000
+
+
+def gold_passages(docs: DataFrame, quotes: DataFrame, most_short: int = MOST_SHORT) -> DataFrame:
     """(query_id, id) where a document contains a quote, blanks collapsed and case ignored.
 
-    A document must hold the quote's rarest word, by which the two are joined; only then are the texts compared.
+    The first and last word of a quote may be parts of longer words in a document, those between cannot: of a quote's
+    runs of three inner words the rarest is what the two are joined by, and only then are texts compared. Quotes of
+    fewer than five words are looked for in every text, in blocks of ``most_short``.
     """
     clean = lambda c: F.lower(F.btrim(F.regexp_replace(c, r"[ \t\n\x0B\f\r]+", " ")))
-    quote = quotes.select("query_id", clean(F.col("text")).alias("quote")).where(F.length("quote") > 0)
-    words = quote.select("query_id", "quote", F.explode(F.array_distinct(tokens(F.col("quote")))).alias("term"))
-    found = docs.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    df = found.join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = words.join(df, "term").groupBy("query_id", "quote").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    pairs = found.join(rarest, "term").select("query_id", "quote", "id")
-    texts = docs.select("id", clean(F.col("text")).alias("body"))
-    return pairs.join(texts, "id").where(F.contains("body", F.col("quote"))).select("query_id", "id")
+    runs = lambda words, n: F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(3)]))
+    quote = quotes.select("query_id", clean(F.col("text")).alias("quote")).where(F.length("quote") > 0).distinct().withColumn("w", F.split("quote", " "))
+    body = docs.select("id", clean(F.coalesce("text", F.lit(""))).alias("body"))
+    inner = quote.where(F.size("w") >= 5).withColumn("w", F.slice("w", 2, F.size("w") - 2))
+    keyed = inner.select("query_id", "quote", F.explode(F.array_distinct(runs(F.col("w"), F.size("w") - 3))).alias("key"))
+    found = body.withColumn("w", F.split("body", " ")).where(F.size("w") >= 3)
+    found = found.select("id", F.explode(F.array_distinct(runs(F.col("w"), F.size("w") - 3))).alias("key")).join(keyed.select("key").distinct(), "key", "left_semi")
+    found = written(found, "quote-keys")
+    df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    rarest = keyed.join(df, "key").groupBy("query_id", "quote").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
+    # A quote none of whose runs occurs has no place; one that lacks some run is ruled out when the texts are compared.
+    pairs = found.join(rarest, "key").select("query_id", "quote", "id")
+    out = pairs.join(body, "id").where(F.contains("body", F.col("quote"))).select("query_id", "id")
+    short = quote.where(F.size("w") < 5).select("query_id", "quote")
+    blocks = -(-short.count() // most_short)
+    for n in range(blocks):
+        part = short.where(F.pmod(F.xxhash64("query_id", "quote"), F.lit(blocks)) == n).select("query_id", "quote").collect()
+        listed = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.lit(r.quote).alias("quote")) for r in part])
+        hits = body.select("id", F.explode(F.filter(listed, lambda q: F.contains(F.col("body"), q["quote"]))).alias("q"))
+        out = out.unionByName(hits.select("q.query_id", "id"))
+    return out.distinct()

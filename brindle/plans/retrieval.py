@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import excerpt, token_count
@@ -34,7 +34,10 @@ def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.scoped(docs, _collections(docs), OWNER)
 
 
-TOKENS_SQL = r"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))".replace("{{", "{").replace("}}", "}")
+_CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+_FOLDED = "strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss'))"
+TOKENS_SQL = rf"""(list_filter(regexp_extract_all(regexp_replace({_FOLDED}, '[{_CJK}]', ' ', 'g'), '\p{{L}}+|\p{{Nd}}+'), lambda t: length(t) > 1 OR regexp_matches(t, '^\p{{Nd}}$'))
+ || flatten(list_transform(regexp_extract_all({_FOLDED}, '[{_CJK}]+'), lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"""
 
 
 def _bm25_sql(docs: str, k: int, k1: float, idf: str) -> str:
@@ -155,10 +158,10 @@ def w15(spark, sf_dir):
 
 
 @query("W19_token_budget", f"""WITH {_bm25_sql('documents', 50, 1.5, PLAIN_IDF)},
-j AS (SELECT query_id, id, rank, least(ceil(length(coalesce(text, '')) / 4)::BIGINT, 1000) AS tokens FROM lex JOIN documents ON doc_id = id)
+j AS (SELECT query_id, id, rank, CASE WHEN rank = 1 THEN least(6000, n) ELSE n END AS tokens FROM lex JOIN (SELECT doc_id, ceil(length(coalesce(text, '')) / 4)::BIGINT AS n FROM documents) ON doc_id = id)
 SELECT query_id, id, rank, tokens FROM j QUALIFY sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) <= 6000""")
 def w19(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select("id", F.least(token_count(F.col("text")), F.lit(1000)).alias("tokens"))
+    docs = _docs(spark, sf_dir).select("id", token_count(F.col("text")).alias("tokens"))
     pool = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
     return R.within_budget(pool, 6000, ["query_id"]).select("query_id", "id", "rank", "tokens")
 
@@ -218,8 +221,12 @@ def r10(spark, sf_dir):
     return R.expand(turns, "conv_id").select("conv_id", "ord", F.md5("context").alias("context_md5"))
 
 
-@query("W13_adjacent_dedupe")
+@query("W13_adjacent_dedupe", """WITH r AS (SELECT conv_id, turn::INT AS ord, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC NULLS LAST, turn) AS rank FROM conversations),
+o AS (SELECT conv_id, ord, min(rank) AS rank FROM r GROUP BY ALL),
+f AS (SELECT *, coalesce(lag(ord) OVER a = ord - 1 AND lag(rank) OVER a < rank, false) AS up, coalesce(lead(ord) OVER a = ord + 1 AND lead(rank) OVER a < rank, false) AS down FROM o WINDOW a AS (PARTITION BY conv_id ORDER BY ord)),
+s AS (SELECT *, max(CASE WHEN NOT up THEN ord END) OVER (PARTITION BY conv_id ORDER BY ord) AS l, min(CASE WHEN NOT down THEN ord END) OVER (PARTITION BY conv_id ORDER BY ord DESC) AS r FROM f)
+SELECT conv_id, ord FROM s WHERE (ord - l) % 2 = 0 AND (r - ord) % 2 = 0""")
 def w13(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("id"), F.length("text").alias("score"))
-    pool = R.ranked(turns, R.LEG).select(F.col("query_id").alias("conv_id"), F.col("id").alias("ord"), "rank")
-    return R.dedupe_adjacent(pool, ["conv_id"])
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("ord"), F.length("text").alias("n"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("n").desc_nulls_last(), "ord")
+    return R.dedupe_adjacent(turns.withColumn("rank", F.row_number().over(order)), ["conv_id"])

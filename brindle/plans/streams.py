@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from brindle.operators.tables import shared_dir
 from brindle.plans.registry import query, table
 from brindle.streaming import runs
 
 
-def _shared(spark, name):
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset and Spark runs in this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), f"brindle-{os.getpid()}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _drained(spark, sf_dir, build, mode):
     events = table(spark, sf_dir, "events")
     log = runs.log_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
     result = build(log)
-    out = _shared(spark, "sink")
-    runs.drain(result, out, _shared(spark, "stream"), mode)
+    out = shared_dir(spark, "sink")
+    runs.drain(result, out, shared_dir(spark, "stream"), mode)
     return spark.read.schema(result.schema).parquet(out)
 
 

@@ -21,8 +21,9 @@ def _redact_sql() -> str:
 
 @query("X23_redaction", _redact_sql())
 def x23(spark, sf_dir):
-    text, found = T.redact(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text).alias("text_md5"), *[n.cast("long").alias(f"n_{k.lower()}") for k, n in found.items()])
+    out = T.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    counts = [f"n_{kind.lower()}" for kind, _ in T.REDACTIONS]
+    return out.select("doc_id", F.md5("redacted").alias("text_md5"), *[F.col(n).cast("long").alias(n) for n in counts])
 
 
 _STRIP = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"

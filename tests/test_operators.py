@@ -49,6 +49,17 @@ def test_single_list_keeps_its_scores(spark):
 def test_adjacent_chunks_follow_kept_ones_only(spark):
     ranked = spark.createDataFrame([(1, 5, 1), (1, 4, 2), (1, 6, 3), (1, 7, 4), (2, 4, 1), (2, 5, 2), (2, 6, 3)], "s long, ord int, rank int")
     assert rows(R.dedupe_adjacent(ranked, ["s"])) == [(1, 5), (1, 7), (2, 4), (2, 6)]
+    rng = random.Random(5)
+    data, want = [], []
+    for s in range(40):
+        places = rng.sample(range(30), rng.randint(1, 25))
+        kept = []
+        for rank, o in enumerate(places, 1):
+            data.append((s, o, rank))
+            if all(abs(o - x) > 1 for x in kept):
+                kept.append(o)
+        want += [(s, o) for o in kept]
+    assert rows(R.dedupe_adjacent(spark.createDataFrame(data, "s long, ord int, rank int"), ["s"])) == sorted(want, key=str)
 
 
 def test_sections_expand_up_to_the_limit(spark):
@@ -60,6 +71,7 @@ def test_sections_expand_up_to_the_limit(spark):
 def test_budget_stops_at_the_first_overflow(spark):
     ranked = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (1, 3, 1)], "q long, rank int, tokens long")
     assert rows(R.within_budget(ranked, 10, ["q"]), "rank") == [(1,)]
+    assert rows(R.within_budget(ranked, 3, ["q"]), "rank", "tokens") == [(1, 3)]
 
 
 def test_middle_out_is_a_permutation(spark):
@@ -76,6 +88,46 @@ def test_vector_topk_in_blocks_and_ties(spark):
     asked = vectors.where("id < 8").withColumnRenamed("id", "query_id")
     assert rows(R.vector_topk(vectors, asked, 5)) == rows(R.vector_topk(vectors.repartition(7), asked, 5, block=3))
     assert R.vector_topk(vectors, asked.limit(0), 5).count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 0.0, 1.0]), (4, [1.0, None])], "id long, vector array<float>")
+    got = {r.id: r.score for r in R.vector_topk(odd.where("id > 1").unionByName(odd.where("id = 1")), odd.where("id = 1").withColumnRenamed("id", "query_id"), 9).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0}
+
+
+def test_bm25_against_plain_scores(spark):
+    import math
+
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i)}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(50)] + [(90, None)]
+    asks = [(q, " ".join(rng.sample(words, 3)) + " unknown") for q in range(6)] + [(6, ""), (7, "unknown"), (2, "wa wb")]
+    toks = {d: (t or "").split() for d, t in docs}
+    avg = sum(map(len, toks.values())) / len(toks)
+    want = []
+    for q in sorted({q for q, _ in asks}):
+        terms = {w for p, t in asks if p == q for w in t.split()}
+        scores = []
+        for d, own in toks.items():
+            s = 0.0
+            for w in terms & set(own):
+                df, tf = sum(w in x for x in toks.values()), own.count(w)
+                s += math.log(1 + len(toks) / df) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(own) / avg))
+            if s:
+                scores.append((-round(s, 6), d))
+        want += [(q, d, -s, r) for r, (s, d) in enumerate(sorted(scores)[:4], 1)]
+    frame = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    asked = spark.createDataFrame(asks, "query_id long, text string")
+    for most in (20_000, 5):
+        got = sorted(tuple(r) for r in R.bm25(frame, asked, 4, most_words=most).select("query_id", "id", "score", "rank").collect())
+        assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in sorted(want)]
+        assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, sorted(want), strict=True))
+    assert R.bm25(frame.limit(0), asked, 4).count() == 0 and R.bm25(frame, asked.limit(0), 4).count() == 0
+
+
+def test_quotes_are_found_inside_words(spark):
+    docs = spark.createDataFrame([(1, "The bobcat sat  here"), (2, "a\nlong Quote of seven words in all"), (3, "no"), (4, None), (5, "xa long quote of seven words iny")], "id long, text string")
+    quotes = spark.createDataFrame([(1, "cat sat"), (2, "A long quote of seven words in"), (3, "o"), (4, ""), (5, None), (6, "seven words of quote long a b")], "query_id long, text string")
+    want = [(1, 1), (2, 2), (2, 5), (3, 1), (3, 2), (3, 3), (3, 5)]
+    assert rows(R.gold_passages(docs, quotes)) == want and rows(R.gold_passages(docs, quotes, most_short=1)) == want
 
 
 def test_spearman_edges(spark):
@@ -123,9 +175,9 @@ def test_upsert_claim_and_ready_batch(spark):
 
 
 def test_redaction_order_and_counts(spark):
-    text, found = T.redact(F.col("x"))
-    r = spark.createDataFrame([("mail a.b@c.org, password: abcdefghijklmnop1 and 1234-5678-9012-3456",)], "x string").select(text.alias("t"), *[n.alias(k) for k, n in found.items()]).first()
-    assert r.t == "mail [REDACTED:EMAIL], [REDACTED:SECRET] and [REDACTED:CREDIT_CARD]" and (r.EMAIL, r.SECRET, r.CREDIT_CARD, r.API_KEY) == (1, 1, 1, 0)
+    r = T.redact(spark.createDataFrame([("mail a.b@c.org, password: abcdefghijklmnop1 and 1234-5678-9012-3456",), (None,)], "x string"), "x").collect()
+    assert r[0].redacted == "mail [REDACTED:EMAIL], [REDACTED:SECRET] and [REDACTED:CREDIT_CARD]" and r[1].redacted == ""
+    assert (r[0].n_email, r[0].n_secret, r[0].n_credit_card, r[0].n_api_key, r[1].n_email) == (1, 1, 1, 0, 0)
 
 
 def test_injection_spans_end_with_the_paragraph(spark):
@@ -144,6 +196,12 @@ def test_declines(spark):
         "She married him in 1812 [1].": False,
         "No hay información sobre eso.": True,
         "資料に記載がありません": True,
+        "That is not précisément named in the sources": True,
+        "🙂 The sources do not say, but page 3 gives 12 kg.": False,
+        "The sources do not say.\n\"But it is in [2].": False,
+        "It is not in the text. He came. Yet the year is 1812.": False,
+        "It is not in the text, but neither is 1812.": True,
+        "It is not in the text. The year is 1812, but who knows.": True,
         "": False,
     }
     df = spark.createDataFrame([(k,) for k in cases], "x string")
@@ -152,7 +210,10 @@ def test_declines(spark):
 
 def test_small_text_functions(spark):
     assert one(spark, "see [3], [12], [3] and [123]", T.citation_markers) == [3, 12]
-    assert one(spark, "Été à 5 x 42, naïve", T.tokens) == ["été", "5", "42", "naïve"]
+    assert one(spark, "Été à 5 x 42, naïve", T.tokens) == ["ete", "5", "42", "naive"]
+    assert one(spark, "東京都は日本 a 髪 Straße ｱb12 ﬁn", T.tokens) == ["strasse", "12", "fin", "東京", "京都", "都は", "は日", "日本", "髪", "ア"]
+    assert one(spark, "e\u0301t\u00e9 \ud55c\uad6d \ud55c", T.tokens) == ["ete", "\ud55c\uad6d", "\ud55c"]
+    assert one(spark, None, T.tokens) == []
     assert one(spark, "a <Source id=1> </source> <sources", T.escape_source_tags) == "a &lt;Source id=1> &lt;/source> <sources"
     assert one(spark, "<p>a &amp;lt; b</p><script>x</script><br>c", T.html_to_text) == "a &lt; b\nc"
     assert one(spark, "|" * 30 + "x" * 300, T.page_flags) == ["table_heavy"]
