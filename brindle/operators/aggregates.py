@@ -77,12 +77,6 @@ def paired_outcomes(scores: DataFrame, item: str, a: str, b: str, tie: int = 2)
     return out.withColumn("tie", F.abs(F.col("wins") - F.col("losses")) < tie)
 
 
-def gate(run: DataFrame, baseline: DataFrame, tolerance: float) -> DataFrame:
-    """(metric, value, mean, failed): metrics of a run that lie more than ``tolerance`` under the baseline's mean."""
-    out = run.join(baseline, "metric", "left")
-    return out.select("metric", "value", "mean", F.coalesce(F.col("value") < F.col("mean") - tolerance, F.lit(False)).alias("failed"))
-
-
 def baseline_of(runs: DataFrame) -> DataFrame:
     """(metric, mean, spread, n) over (run, metric, value), by the runs that have the metric."""
     own = runs.where(F.col("value").isNotNull())

@@ -223,3 +223,9 @@ def offset_pages(pages: DataFrame, offsets: DataFrame) -> DataFrame:
     ends = pages.withColumn("_end", F.sum("length").over(Window.partitionBy("doc_id").orderBy("page")))
     hit = offsets.join(ends, "doc_id").where(F.col("_end") >= F.col("offset"))
     return hit.groupBy("doc_id", "offset").agg(F.min("page").alias("page"))
+
+
+def web_ingest(hits: DataFrame, held: DataFrame, now: Column) -> DataFrame:
+    """Hits (chat_id, url, ...) that the chat does not hold unexpired in ``held`` (chat_id, url, expires_at)."""
+    live = held.where(F.col("expires_at") > now).select("chat_id", "url")
+    return hits.join(live, ["chat_id", "url"], "left_anti")

@@ -201,10 +201,11 @@ def fuse(vector_leg: DataFrame, lexical_leg: DataFrame, weight: float, limit: in
 def multi_query_rrf(lists: DataFrame) -> DataFrame:
     """(query_id, id, fused) from (query_id, variant, id, rank, score): sum of 1 / (60 + rank) over the variants.
 
-    A query with a single list keeps that list's scores. The lists are dealt by query anew: a union of frames that are
-    dealt by query already passes for dealt, while adaptive execution may have merged their parts in different ways.
+    A query with a single list keeps that list's scores. The lists are dealt anew by query and row: a union of
+    frames that are each dealt by query passes for dealt, while adaptive execution may have merged their parts in different
+    ways, and groups would come apart.
     """
-    lists = lists.repartition("query_id")
+    lists = lists.repartition("query_id", "id")
     n = lists.groupBy("query_id").agg(F.count_distinct("variant").alias("n"))
     summed = lists.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("rrf"), F.min_by("score", "variant").alias("first_score"))
     return summed.join(n, "query_id").select("query_id", "id", F.when(F.col("n") == 1, F.col("first_score")).otherwise(F.col("rrf")).alias("fused"))

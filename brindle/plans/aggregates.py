@@ -74,14 +74,6 @@ def a13(spark, sf_dir):
     return A.baseline_of(_runs(spark, sf_dir)).select("metric", F.round("mean", 4).alias("mean"), F.round("spread", 4).alias("spread"), "n")
 
 
-@query("G6_regression_gate", f"""WITH {_RUNS}, b AS (SELECT metric, avg(value) AS mean FROM runs GROUP BY metric)
-SELECT metric, round(value, 4) AS value, round(mean, 4) AS mean, value < mean - 500 AS failed FROM runs JOIN b USING (metric) WHERE run = (SELECT max(run) FROM runs)""")
-def g6(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    last = runs.join(F.broadcast(runs.agg(F.max("run").alias("run"))), "run")
-    return A.gate(last, A.baseline_of(runs), 500.0).select("metric", F.round("value", 4).alias("value"), F.round("mean", 4).alias("mean"), "failed")
-
-
 @query("A15_category_passes", "SELECT lang AS category, sum((quality = 1)::INT)::BIGINT AS passed, count(*) AS total, ceil(count(*) * 90 / 100.0)::BIGINT AS bar FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def a15(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("lang").alias("category")).agg(F.sum((F.col("quality") == 1).cast("int")).cast("long").alias("passed"), F.count(F.lit(1)).alias("total"))

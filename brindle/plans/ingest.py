@@ -40,7 +40,7 @@ def s8(spark, sf_dir):
     return sequence(short, "source", ["doc_id"], "n").where("n <= 50").select("doc_id", "source")
 
 
-@query("G1_chunked_documents")
+@query("X6_chunked_documents")
 def g1(spark, sf_dir):
     return I.chunked(table(spark, sf_dir, "documents")).select("doc_id", "section", "heading_path", "ord", "tokens", F.md5("text").alias("text_md5"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("retrieval", "windows", "joins", "aggregates", "texts", "ingest", "streams")
+_PLANS = ("retrieval", "scopes", "rerank", "windows", "joins", "aggregates", "gates", "texts", "ingest", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -37,7 +37,7 @@ def _load() -> None:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["G2_hybrid_retrieval"](spark, sf_dir)
+    return queries()["J1_J3_hybrid_retrieval"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -117,7 +117,7 @@ def _hybrid(spark, sf_dir):
     return docs, R.fuse(nearest, lexical, WEIGHT)
 
 
-@query("G2_hybrid_retrieval", _HYBRID + """
+@query("J1_J3_hybrid_retrieval", _HYBRID + """
 SELECT query_id, id, source, substr(text, 1, 240) AS excerpt, round(vector_score, 6) AS vector_score, lexical_score, fused, place > 40 AS rescued
 FROM kept JOIN documents ON doc_id = id""")
 def g2(spark, sf_dir):
