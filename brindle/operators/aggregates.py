@@ -86,3 +86,10 @@ def baseline_of(runs: DataFrame) -> DataFrame:
 def bars(n: Column) -> tuple[Column, Column]:
     """Whole-number bars of an acceptance gate: at least nine tenths right (rounded up), at most a twentieth wrong."""
     return F.ceil(n * 90 / 100).cast("long"), F.floor(n * 5 / 100).cast("long")
+
+
+def top_overlap(pairs: DataFrame, query: str, item: str, a: str, b: str, k: int) -> DataFrame:
+    """(query, n): how many of the first ``k`` items by score ``a`` are also among the first ``k`` by score ``b``."""
+    rank = lambda c: F.row_number().over(Window.partitionBy(query).orderBy(F.col(c).desc(), item))
+    out = pairs.withColumn("_a", rank(a)).withColumn("_b", rank(b))
+    return out.groupBy(query).agg(F.count_if((F.col("_a") <= k) & (F.col("_b") <= k)).alias("n"))

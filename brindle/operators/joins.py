@@ -48,3 +48,11 @@ def ready_batch(tasks: DataFrame) -> DataFrame:
     needs = tasks.where(~F.col("answered")).select("plan", "id", F.explode("depends_on").alias("_dep"))
     open_ = needs.join(done, ["plan", "_dep"], "left_anti").select("plan", "id").distinct()
     return tasks.where(~F.col("answered")).select("plan", "id").join(open_, ["plan", "id"], "left_anti")
+
+
+def chosen(rows: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows of hand-picked ids; an id that is not there is an error, raised when the rows are read."""
+    wanted = rows.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], f"{key} {rows.schema[key].dataType.simpleString()}")
+    out = F.broadcast(wanted).join(rows.withColumn("_there", F.lit(True)), key, "left")
+    checked = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no row of id "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
+    return out.select(*[checked.alias(key) if c == key else F.col(c) for c in rows.columns])
