@@ -93,3 +93,11 @@ def top_overlap(pairs: DataFrame, query: str, item: str, a: str, b: str, k: int)
     rank = lambda c: F.row_number().over(Window.partitionBy(query).orderBy(F.col(c).desc(), item))
     out = pairs.withColumn("_a", rank(a)).withColumn("_b", rank(b))
     return out.groupBy(query).agg(F.count_if((F.col("_a") <= k) & (F.col("_b") <= k)).alias("n"))
+
+
+def calibration(rows: DataFrame, key: str, grade: str, tie: str, entity: Column, kind: str) -> DataFrame:
+    """(key, top, mean_top, entity_max, kinds): the best grade, the mean of the best three, the best entity grade, the kinds seen."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy(F.col(grade).desc_nulls_last(), tie))
+    return rows.withColumn("_n", n).groupBy(key).agg(
+        F.max(grade).alias("top"), F.avg(F.when(F.col("_n") <= 3, F.col(grade))).alias("mean_top"), F.max(F.when(entity, F.col(grade))).alias("entity_max"), F.array_sort(F.collect_set(kind)).alias("kinds")
+    )

@@ -229,3 +229,15 @@ def web_ingest(hits: DataFrame, held: DataFrame, now: Column) -> DataFrame:
     """Hits (chat_id, url, ...) that the chat does not hold unexpired in ``held`` (chat_id, url, expires_at)."""
     live = held.where(F.col("expires_at") > now).select("chat_id", "url")
     return hits.join(live, ["chat_id", "url"], "left_anti")
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, heading) of plain lines that stand for headings. Neighbours are looked at within the row's lines."""
+    from brindle.functions.language import promoted_heading
+
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("x"))
+    blank = lambda c: F.coalesce(F.btrim(c) == "", F.lit(True))
+    first = F.coalesce(F.array_min(F.filter(F.transform("x", lambda y, i: F.when(F.btrim(y) != "", i)), lambda i: i.isNotNull())), F.lit(0))
+    out = lines.withColumn("first", first)
+    found = F.transform("x", lambda y, i: F.struct(i.alias("line_no"), promoted_heading(y, (i == 0) | blank(F.get("x", i - 1)), blank(F.get("x", i + 1)), i <= F.col("first")).alias("heading")))
+    return out.select("doc_id", F.explode(F.filter(found, lambda h: h["heading"].isNotNull())).alias("h")).select("doc_id", "h.line_no", "h.heading")

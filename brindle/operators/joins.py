@@ -56,3 +56,36 @@ def chosen(rows: DataFrame, key: str, ids: list) -> DataFrame:
     out = F.broadcast(wanted).join(rows.withColumn("_there", F.lit(True)), key, "left")
     checked = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no row of id "), F.col(key).cast("string"))).cast(rows.schema[key].dataType))
     return out.select(*[checked.alias(key) if c == key else F.col(c) for c in rows.columns])
+
+
+def entity_grid(rows: DataFrame, key: str, item: str, entities: str, most: int) -> DataFrame:
+    """(key, question, item, entity): a question for each of a key's first ``most`` items and each of its entities."""
+    top = rows.withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy(item)) - 1).where(F.col("_p") < most)
+    out = top.select(key, item, "_p", F.posexplode(entities).alias("_e", "entity"))
+    return out.select(key, F.concat_ws("_", F.lit("entity"), "_p", "_e").alias("question"), item, "entity")
+
+
+def cited_contexts(answers: DataFrame, markers: str, contexts: str) -> DataFrame:
+    """``answers`` with ``n`` and ``context``: a row for each marker that names one of the answer's contexts, counted from 1."""
+    out = answers.withColumn("n", F.explode(markers)).where((F.col("n") >= 1) & (F.col("n") <= F.size(contexts)))
+    return out.withColumn("context", F.element_at(contexts, F.col("n").cast("int")))
+
+
+def versioned(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Versions of each key with what was there ``before`` and ``after``, and whether they are the ``active`` one, the last."""
+    w = Window.partitionBy(key)
+    last = F.max(F.struct(*order)).over(w)
+    return rows.withColumns({"before": F.lag(value).over(w.orderBy(*order)), "after": F.col(value), "active": F.struct(*order) == last})
+
+
+def parsed_plan(reply: Column, most: int = 5) -> Column:
+    """Tasks (id, depends_on) of a JSON list: at most ``most``, ids unique, dependencies on other tasks of the plan only."""
+    raw = F.coalesce(F.from_json(reply, "array<struct<id:string,depends_on:array<string>>>"), F.array().cast("array<struct<id:string,depends_on:array<string>>>"))
+
+    def cut(tasks: Column) -> Column:
+        ids = F.transform(tasks, lambda t: t["id"])
+        first = F.slice(F.filter(tasks, lambda t, i: t["id"].isNotNull() & (F.array_position(ids, t["id"]) == i + 1)), 1, most)
+        kept = F.transform(first, lambda t: t["id"])
+        return F.transform(first, lambda t: F.struct(t["id"], F.array_remove(F.array_intersect(F.coalesce(t["depends_on"], F.array().cast("array<string>")), kept), t["id"]).alias("depends_on")))
+
+    return F.element_at(F.transform(F.array(raw), cut), 1)

@@ -96,3 +96,48 @@ def circuit_states(df: DataFrame, key: str, at: str, tie: str, failed: Column, t
     own = df.select(key, at, tie, failed.alias("_failed"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, at, tie).schema)
     return own.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(scan, schema + ", state string")
+
+
+def longest_gaps(rows: DataFrame, key: str, at: str, tie: str, kind: str, first: str, opens: str) -> DataFrame:
+    """(key, before, after): the longest silence in microseconds up to and from a key's first row of kind ``first``.
+
+    A silence that a row of kind ``opens`` begins does not count.
+    """
+    w = Window.partitionBy(key).orderBy(at, tie)
+    token = F.min(F.when(F.col(kind) == first, F.col(at))).over(Window.partitionBy(key))
+    gap = F.expr(f"timestampdiff(MICROSECOND, _at, {at})")
+    out = rows.withColumns({"_at": F.lag(at).over(w), "_kind": F.lag(kind).over(w), "_token": token}).withColumn("_gap", F.when(F.col("_kind") != opens, gap))
+    early = F.col("_token").isNull() | (F.col(at) <= F.col("_token"))
+    return out.groupBy(key).agg(F.max(F.when(early, F.col("_gap"))).alias("before"), F.max(F.when(~early, F.col("_gap"))).alias("after"))
+
+
+def span_residuals(spans: DataFrame, rows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, total, attributed, residual) in microseconds: a key's whole time, what its spans (started, ended) cover, the rest."""
+    whole = rows.groupBy(key).agg(F.expr(f"timestampdiff(MICROSECOND, min({at}), max({at}))").alias("total"))
+    own = spans.where("ended >= started").groupBy(key).agg(F.sum(F.expr("timestampdiff(MICROSECOND, started, ended)")).alias("attributed"))
+    out = whole.join(own, key, "left").withColumn("attributed", F.coalesce("attributed", F.lit(0)))
+    return out.withColumn("residual", F.greatest(F.col("total") - F.col("attributed"), F.lit(0)))
+
+
+def packed_batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    """``rows`` (key, order, size) with ``batch`` from 0: rows go into a batch in order as long as they fit the budget.
+
+    Where a batch ends depends on where it began, so a key's rows stream in order through one task, which holds a sum.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, batch, used = object(), 0, 0
+        for frame in frames:
+            out = []
+            for k, n in zip(frame[key], frame[size], strict=True):
+                if k != current:
+                    current, batch, used = k, 0, 0
+                if used and used + n > budget:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield frame.assign(batch=out)
+
+    own = rows.select(key, order, size)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    return own.repartition(key).sortWithinPartitions(key, order).mapInPandas(scan, schema + ", batch int")

@@ -113,9 +113,9 @@ def a20(spark, sf_dir):
     return out.select("bucket", "cost", F.round(F.col("cost") / F.col("orders"), 4).alias("per_order"))
 
 
-@query("A22_error_tally", "SELECT lang, source, substr(text, 1, 10) AS head, count(*) AS n FROM documents GROUP BY ALL")
+@query("A22_error_tally", "SELECT lang, source, substr(text, 1, 110) AS head, count(*) AS n FROM documents GROUP BY ALL")
 def a22(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source", F.substring("text", 1, 10).alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").groupBy("lang", "source", F.substring("text", 1, 110).alias("head")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("A23_guard_fires", "SELECT l_orderkey, bool_and(l_discount < 0.05) AS fires, count(*) FILTER (WHERE l_discount < 0.05) AS low FROM lineitem GROUP BY 1")
@@ -190,10 +190,11 @@ def a40(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(percentile_cont("value", 0.5), 6).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 4).alias("spread"))
 
 
-@query("A43_calibration", "SELECT source, max(n_chars) AS top, list_sort(list(DISTINCT lang))::VARCHAR AS langs FROM documents GROUP BY source")
+@query("A43_calibration", """WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events)
+SELECT user_id, max(value) AS top, round(avg(value) FILTER (WHERE n <= 3), 9) AS mean_top, max(value) FILTER (WHERE event_type = 'view') AS entity_max, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM r GROUP BY user_id""")
 def a43(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").groupBy("source").agg(F.max("n_chars").alias("top"), F.array_sort(F.collect_set("lang")).alias("l"))
-    return out.select("source", "top", F.concat(F.lit("["), F.array_join("l", ", "), F.lit("]")).alias("langs"))
+    out = A.calibration(table(spark, sf_dir, "events"), "user_id", "value", "event_id", F.col("event_type") == "view", "event_type")
+    return out.select("user_id", "top", F.round("mean_top", 9).alias("mean_top"), "entity_max", F.array_join("kinds", ",").alias("kinds"))
 
 
 @query("A44_attribution", """SELECT o_orderkey, count(l_linenumber) AS found, count(*) FILTER (WHERE l_returnflag = 'R') AS unresolved, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') = 0 THEN coalesce(sum(l_quantity), 0) END AS overhead

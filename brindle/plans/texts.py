@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
+from brindle.functions.language import STOP_WORDS, content_terms
 from brindle.plans.registry import query, table
 from brindle.plans.retrieval import TOKENS_SQL
 
@@ -45,13 +46,13 @@ def x14(spark, sf_dir):
     return table(spark, sf_dir, "documents").withColumn("t", T.tokens(F.col("text"))).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
-@query("X15_content_terms", f"""WITH t AS (SELECT item_id, list_distinct(list_filter({TOKENS_SQL}, lambda t: t NOT IN ('the', 'of', 'and', 'in', 'to'))) AS t FROM benchmark),
+_STOP_WORDS = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+@query("X15_content_terms", f"""WITH t AS (SELECT item_id, list_distinct(list_filter({TOKENS_SQL}, lambda t: NOT list_contains({_STOP_WORDS}, t))) AS t FROM benchmark),
 u AS (SELECT item_id, unnest(t) AS w FROM t) SELECT item_id, string_agg(w, ' ' ORDER BY -length(w), w) AS terms FROM u GROUP BY item_id""")
 def x15(spark, sf_dir):
-    stop = F.array(*[F.lit(w) for w in ("the", "of", "and", "in", "to")])
-    found = F.array_except(T.tokens(F.col("text")), stop)
-    order = F.array_sort(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.transform(order, lambda x: x["w"]), " ").alias("terms")).where("terms <> ''")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(content_terms(F.col("text")), " ").alias("terms")).where("terms <> ''")
 
 
 @query("X19_forbidden_values", r"SELECT doc_id, regexp_matches(coalesce(text, ''), '(^|[^0-9A-Za-z_])(secret|password|AKIA[0-9A-Z]+)($|[^0-9A-Za-z_])') AS hit FROM documents")
@@ -69,7 +70,15 @@ def x21(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.says_not_in_sources(F.coalesce("text", F.lit(""))).alias("declines"))
 
 
-@query("X24_injection_spans")
+def _injection_sql() -> str:
+    cue = "(?is)(?:" + "|".join(T.INJECTION_CUES).replace("'", "''") + ")"
+    parts = r"string_split(regexp_replace(regexp_replace(regexp_replace(t, '\n#', chr(1) || chr(10) || '#', 'g'), '(\n[ \t]*\x01?\n)', chr(1) || '\1', 'g'), '(\n[ \t]*\x01?\n)', chr(1) || '\1', 'g'), chr(1))"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, t, {parts} AS p FROM d),
+r AS (SELECT doc_id, t, len(list_filter(p, lambda x: regexp_matches(x, '{cue}'))) AS n, array_to_string(list_transform(p, lambda x: regexp_replace(x, '{cue}.*$', '{T.INJECTION_MARK}')), '') AS r FROM p)
+SELECT doc_id, n AS spans, length({_STRIP.format(f"replace(r, '{T.INJECTION_MARK}', '')")}) >= length({_STRIP.format('t')}) * {T.LEAST_KEPT} AS kept, md5(CASE WHEN n > 0 THEN r ELSE t END) AS text_md5 FROM r"""
+
+
+@query("X24_injection_spans", _injection_sql())
 def x24(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     redacted, spans = T.redact_injections(text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brindle.operators import windows as W
@@ -46,12 +47,6 @@ def w6(spark, sf_dir):
     )
 
 
-@query("W7_rate_limit")
-def w7(spark, sf_dir):
-    out = W.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600 * 12)
-    return out.select("event_id", "user_id", "accepted")
-
-
 @query("W8_rolling_cap", """SELECT event_id, user_id, count(*) OVER w AS used, count(*) OVER w >= 4 AS capped,
   greatest(1, 86400 - floor(date_diff('microsecond', min(ts) OVER w, ts) / 1000000))::BIGINT AS retry_after FROM events
 WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)""")
@@ -62,12 +57,6 @@ def w8(spark, sf_dir):
     return out.select("event_id", "user_id", "used", (F.col("used") >= 4).alias("capped"), F.greatest(F.lit(1), 86400 - age).cast("long").alias("retry_after"))
 
 
-@query("W9_circuit_breaker")
-def w9(spark, sf_dir):
-    out = W.circuit_states(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 3600 * 24)
-    return out.select("event_id", "user_id", "state")
-
-
 @query("W11_time_to_first", """SELECT user_id, date_diff('microsecond', min(ts), min(ts) FILTER (WHERE event_type = 'purchase')) AS micros FROM events GROUP BY user_id""")
 def w11(spark, sf_dir):
     out = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.min(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("b"))
@@ -165,3 +154,102 @@ def k9(spark, sf_dir):
     status = F.when(F.col("event_type") == "click", "reserved").when(F.col("event_type") == "purchase", "settled").otherwise("metered")
     part = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.greatest(F.col("cents"), F.lit(0)) if s == "metered" else F.col("cents"))), F.lit(0)).cast("double").alias(s)
     return _events(spark, sf_dir).withColumn("status", status).groupBy("user_id").agg(part("reserved"), part("settled"), part("metered"))
+
+
+@query("W10_longest_gaps", """WITH l AS (SELECT *, lag(ts) OVER w AS a, lag(event_type) OVER w AS k, min(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, CASE WHEN k <> 'click' THEN date_diff('microsecond', a, ts) END AS gap FROM l) SELECT user_id, max(gap) FILTER (WHERE t IS NULL OR ts <= t) AS before, max(gap) FILTER (WHERE ts > t) AS after FROM g GROUP BY 1""")
+def w10(spark, sf_dir):
+    return W.longest_gaps(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", "event_type", "purchase", "click")
+
+
+@query("W12_span_residuals", """WITH a AS (SELECT user_id, ts AS started, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'click'),
+b AS (SELECT user_id, ts AS ended, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase'),
+s AS (SELECT user_id, sum(date_diff('microsecond', started, ended))::BIGINT AS x FROM a JOIN b USING (user_id, n) WHERE ended >= started GROUP BY 1), w AS (SELECT user_id, date_diff('microsecond', min(ts), max(ts)) AS total FROM events GROUP BY 1)
+SELECT user_id, total, coalesce(x, 0) AS attributed, greatest(total - coalesce(x, 0), 0) AS residual FROM w LEFT JOIN s USING (user_id)""")
+def w12(spark, sf_dir):
+    kind, events = F.col("event_type"), table(spark, sf_dir, "events")
+    spans = W.fifo_pairs(events, "user_id", ["ts", "event_id"], kind == "click", kind == "purchase", "ts")
+    return W.span_residuals(spans, events, "user_id", "ts")
+
+
+@query("W20_packed_batches", """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS n FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, q, n, 0 AS batch, q AS used FROM r WHERE n = 1 UNION ALL
+SELECT r.l_orderkey, r.l_linenumber, r.q, r.n, CASE WHEN used + r.q > 60 THEN batch + 1 ELSE batch END, CASE WHEN used + r.q > 60 THEN r.q ELSE used + r.q END FROM p JOIN r ON r.l_orderkey = p.l_orderkey AND r.n = p.n + 1)
+SELECT l_orderkey, n, batch FROM p""")
+def w20(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.col("l_quantity").cast("int").alias("q"))
+    return W.packed_batches(rows, "l_orderkey", "n", "q", 60).select("l_orderkey", "n", "batch")
+
+
+_LIMITED = """WITH RECURSIVE r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT event_id, user_id, ts, n, true AS accepted, [ts] AS taken FROM r WHERE n = 1 UNION ALL
+SELECT r.event_id, r.user_id, r.ts, r.n, len(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS)) < 3,
+  CASE WHEN len(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS)) < 3 THEN list_append(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS), r.ts) ELSE list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS) END
+FROM p JOIN r ON r.user_id = p.user_id AND r.n = p.n + 1)"""
+
+
+@query("W7_rate_limit", f"{_LIMITED} SELECT event_id, user_id, accepted FROM p")
+def w7(spark, sf_dir):
+    out = W.rate_limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600 * 12)
+    return out.select("event_id", "user_id", "accepted")
+
+
+_BREAKER = """WITH RECURSIVE r AS (SELECT event_id, user_id, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT event_id, user_id, ts, n, 'closed' AS state, bad::INT AS failures, NULL::TIMESTAMP AS opened FROM r WHERE n = 1 UNION ALL
+SELECT event_id, user_id, ts, n, state, CASE WHEN state = 'open' THEN failures WHEN bad THEN failures + 1 ELSE 0 END,
+  CASE WHEN state = 'open' THEN opened WHEN bad AND (failures + 1 >= 2 OR state = 'half_open') THEN ts WHEN bad THEN opened ELSE NULL END
+FROM (SELECT r.event_id, r.user_id, r.ts, r.n, r.bad, s.failures, s.opened, CASE WHEN s.opened IS NULL THEN 'closed' WHEN r.ts - s.opened >= INTERVAL 24 HOURS THEN 'half_open' ELSE 'open' END AS state FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))"""
+
+
+@query("W9_circuit_breaker", f"{_BREAKER} SELECT event_id, user_id, state FROM s")
+def w9(spark, sf_dir):
+    out = W.circuit_states(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 3600 * 24)
+    return out.select("event_id", "user_id", "state")
+
+
+@query("K13_limited_by_state", f"{_LIMITED} SELECT user_id, count(*) FILTER (WHERE accepted) AS accepted, count(*) FILTER (WHERE NOT accepted) AS rejected FROM p GROUP BY 1")
+def k13(spark, sf_dir):
+    return w7(spark, sf_dir).groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
+
+
+@query("W24_two_buckets", """WITH w AS (SELECT event_id, greatest(0, 3600 - floor(date_diff('microsecond', min(ts) OVER a, ts) / 1000000)) AS wu, count(*) OVER a AS nu, greatest(0, 3600 - floor(date_diff('microsecond', min(ts) OVER b, ts) / 1000000)) AS wt, count(*) OVER b AS nt FROM events
+WINDOW a AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), b AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
+SELECT event_id, greatest(CASE WHEN nu > 1 THEN wu ELSE 0 END, CASE WHEN nt > 4 THEN wt ELSE 0 END)::BIGINT AS wait FROM w""")
+def w24(spark, sf_dir):
+    cols = {}
+    for name, key in (("u", "user_id"), ("t", "event_type")):
+        cols |= {f"n{name}": W.rolling("count(1)", key, "ts", "1 HOURS"), f"o{name}": W.rolling("min(ts)", key, "ts", "1 HOURS")}
+    out = table(spark, sf_dir, "events").select("event_id", "ts", *[c.alias(n) for n, c in cols.items()])
+    wait = lambda name, most: F.when(F.col(f"n{name}") > most, F.greatest(F.lit(0), 3600 - F.floor(F.expr(f"timestampdiff(MICROSECOND, o{name}, ts)") / 1000000))).otherwise(F.lit(0))
+    return out.select("event_id", F.greatest(wait("u", 1), wait("t", 4)).cast("long").alias("wait"))
+
+
+@query("K2_followed_run", "SELECT event_id, seq FROM (SELECT event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events WHERE user_id = 3) WHERE seq > 2 AND seq <= coalesce((SELECT min(s) FROM (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS s FROM events WHERE user_id = 3) WHERE event_type = 'purchase' AND s > 2), 1000000)")
+def k2(spark, sf_dir):
+    mine = W.sequence(table(spark, sf_dir, "events").where("user_id = 3"), "user_id", ["ts", "event_id"]).where("seq > 2")
+    done = F.max((F.col("event_type") == "purchase").cast("int")).over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    return mine.withColumn("_done", done).where("coalesce(_done, 0) = 0").select("event_id", "seq")
+
+
+@query("K10_orphan_settlement", f"SELECT user_id, sum({_CENTS}) FILTER (WHERE event_type = 'click')::DOUBLE AS released FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'click') > 0 AND max(ts) < (SELECT max(ts) FROM events) - INTERVAL 5 MINUTES")
+def k10(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    now = events.agg(F.max("ts").alias("now"))  # one row
+    runs = events.groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("cents"))).cast("double").alias("released"), F.max("ts").alias("last"))
+    return runs.where("released is not null").join(F.broadcast(now)).where(F.col("last") < F.col("now") - F.expr("INTERVAL 5 MINUTES")).select("user_id", "released")
+
+
+@query("K16_document_states", """SELECT o_custkey, arg_max(o_orderstatus, (CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_orderkey)) AS state, count(*) AS changes FROM orders GROUP BY 1""")
+def k16(spark, sf_dir):
+    step = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct(step, "o_orderkey")).alias("state"), F.count(F.lit(1)).alias("changes"))
+
+
+@query("K19_finalised_runs", """SELECT user_id, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
+'{"n":' || count(*) || ',"kinds":' || count(DISTINCT event_type) || '}' AS metrics FROM events GROUP BY 1""")
+def k19(spark, sf_dir):
+    at = F.struct("ts", "event_id")
+    out = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", at).alias("k"), F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("kinds"))
+    status = F.when(F.col("k") == "purchase", "completed").when(F.col("k") == "error", "failed").otherwise("running")
+    return out.select("user_id", status.alias("status"), F.to_json(F.struct("n", "kinds")).alias("metrics"))
