@@ -207,3 +207,37 @@ def promoted_heading(line: Column, before_blank: Column, after_blank: Column, fi
     short = (F.length(s) <= 60) & (F.size(F.split(s, r"\s+")) <= 12) & ~line.rlike(r"^\s") & ~s.rlike(r"""^[-*>|~`\["'“”「『(〔]|["'”’」』)】〔.!?…:;,。！？；：]$|\||^\d+[.)]\s""") & (s != F.lower(s)) & s.rlike(r"[\p{L}\p{N}_]")
     ok = before_blank & after_blank & (s != "") & (F.length(s) <= 80) & ~meta & (chapter | (~first_content & short))
     return F.when(ok, s)
+
+
+def notes(texts: Column, most: int = 5, chars: int = 500) -> Column:
+    """The first texts of a list, cut and parted by blank lines."""
+    return F.array_join(F.transform(F.slice(texts, 1, most), lambda t: F.substring(t, 1, chars)), "\n\n")
+
+
+def abstain_summary(names: Column, locations: Column) -> Column:
+    """What a decline says it looked at: up to four names and three places in them, each once."""
+    return F.concat_ws("; ", F.array_join(F.slice(F.array_distinct(names), 1, 4), ", "), F.array_join(F.slice(F.array_distinct(locations), 1, 3), ", "))
+
+
+def longest_prefix(text: Column, tokens_most: int, per_token: int = 4) -> Column:
+    """The longest beginning of a text whose tokens, of ``per_token`` signs each, are within the limit."""
+    return F.substring(text, 1, tokens_most * per_token)
+
+
+def summary_reply(reply: Column, wanted: Column, most: int = 32, chars: int = 6000) -> Column:
+    """The summaries of a JSON reply by section, or null unless every wanted section is there; each is cut to ``chars``."""
+    got = F.from_json(reply, "map<string,string>")
+    whole = got.isNotNull() & (F.size(wanted) <= most) & F.forall(wanted, lambda k: F.coalesce(F.length(F.btrim(F.try_element_at(got, k))) > 0, F.lit(False)))
+    return F.when(whole, F.transform_values(got, lambda k, v: F.substring(v, 1, chars)))
+
+
+def starter_questions(reply: Column) -> Column:
+    """Three questions of a JSON list, none over 200 signs, or null."""
+    got = F.transform(F.from_json(reply, "array<string>"), lambda q: F.btrim(q))
+    return F.when((F.size(got) == 3) & F.forall(got, lambda q: (q != "") & (F.length(q) <= 200)), got)
+
+
+def without_frame(text: Column, start: str = r"\*\*\* ?START OF[^\n]*\*\*\*", end: str = r"\*\*\* ?END OF") -> Column:
+    """The part of a book between its start and end lines; the whole text where there are none."""
+    body = F.regexp_extract(text, f"(?s){start}\\s*(.*?)\\s*(?:{end}|$)", 1)
+    return F.when(text.rlike(start), body).otherwise(text)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import html_to_text, page_flags
+from brindle.functions.text import CJK, html_to_text, page_flags
 
 #: Accepted formats by extension, limits.
 FORMATS = {
@@ -73,11 +73,15 @@ def merged_ocr(layer: Column, ocr: Column) -> Column:
 
 
 def tsv_lines(tsv: DataFrame, least: float = 0.0) -> DataFrame:
-    """(id, text, confidence, n) from (id, block, par, line, word, conf, text): words of an OCR table, by line and in order."""
+    """(id, text, confidence, n) from (id, block, par, line, word, conf, text): words of an OCR table, by line and in order.
+
+    Between kana or Han there is no blank. ``confidence`` is the mean over all words, those left out included.
+    """
     words = tsv.where(F.length(F.btrim("text")) > 0)
     kept = words.where(F.col("conf") >= least)
     line = kept.groupBy("id", "block", "par", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ").alias("t"))
     text = line.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "par", "line", "t"))), lambda w: w["t"]), "\n").alias("text"))
+    text = text.withColumn("text", F.regexp_replace("text", f"(?<=[{CJK}]) (?=[{CJK}])", ""))
     stats = words.groupBy("id").agg(F.avg("conf").alias("confidence"), F.count(F.lit(1)).alias("n"))
     return stats.join(text, "id", "left").select("id", "text", "confidence", "n")
 
@@ -189,8 +193,14 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(cut, CHUNKS)
 
 
-def hashing_embedder(width: int = 64) -> Callable[[Column], Column]:
-    """The default of the embedding seam: signed feature hashing of words, of length 1. No model and no network."""
+Embedder = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+
+
+def hashing_embedder(width: int = 64) -> Embedder:
+    """The default of the embedding seam: signed feature hashing of words, of length 1. No model and no network.
+
+    An embedder is two functions: what of a text it reads, and the vector of that.
+    """
     from pyspark.sql.types import ArrayType, FloatType
 
     from brindle.functions.text import tokens
@@ -207,13 +217,15 @@ def hashing_embedder(width: int = 64) -> Callable[[Column], Column]:
 
         return hashes.map(one)
 
-    return lambda text: embed(F.transform(tokens(text), lambda t: F.xxhash64(t)))
+    return lambda text: F.transform(tokens(text), lambda t: F.xxhash64(t)), embed
 
 
-def embedded(texts: DataFrame, embed: Callable[[Column], Column], column: str = "text") -> DataFrame:
-    """``texts`` with ``embedding``; equal texts are embedded once."""
-    distinct = texts.select(F.col(column).alias("_t")).distinct().withColumn("embedding", embed(F.col("_t")))
-    return texts.join(distinct, F.col(column).eqNullSafe(F.col("_t")), "left").drop("_t")
+def embedded(texts: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
+    """``texts`` with ``embedding``; texts that are alike to the embedder are embedded once."""
+    features, embed = embedder
+    own = texts.withColumn("_f", features(F.col(column)))
+    distinct = own.select(F.col("_f").alias("_g")).distinct().withColumn("embedding", embed(F.col("_g")))
+    return own.join(distinct, F.col("_f").eqNullSafe(F.col("_g")), "left").drop("_f", "_g")
 
 
 def offset_pages(pages: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -241,3 +253,24 @@ def headings(docs: DataFrame) -> DataFrame:
     out = lines.withColumn("first", first)
     found = F.transform("x", lambda y, i: F.struct(i.alias("line_no"), promoted_heading(y, (i == 0) | blank(F.get("x", i - 1)), blank(F.get("x", i + 1)), i <= F.col("first")).alias("heading")))
     return out.select("doc_id", F.explode(F.filter(found, lambda h: h["heading"].isNotNull())).alias("h")).select("doc_id", "h.line_no", "h.heading")
+
+
+def within_size(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    return files.where(F.octet_length("content") <= most)
+
+
+def checked_uploads(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """``files`` with ``error``: why an upload is turned away, or null."""
+    return files.withColumn("error", F.when(sniff(F.col("name"), F.col("content")).isNull(), "unsupported type").when(F.octet_length("content") > most, "too large"))
+
+
+def merged_flags(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, flags): the distinct flags of all passes over a page, sorted."""
+    return pages.select(*keys, F.explode_outer("flags").alias("_f")).groupBy(*keys).agg(F.array_sort(F.collect_set("_f")).alias("flags"))
+
+
+def pinned(chunks: DataFrame, key: str) -> DataFrame:
+    """(key, text, tokens): the chunks (key, ord, text) of a web page as one document; a page's chunks are few."""
+    parts = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    own = chunks.where("text IS NOT NULL").groupBy(key).agg(parts.alias("p"), F.sum(F.floor(F.length("text") / 4)).cast("long").alias("tokens"))
+    return own.select(key, F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), "tokens")

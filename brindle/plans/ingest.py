@@ -26,7 +26,17 @@ def s5(spark, sf_dir):
     return I.acceptable(_files(spark, sf_dir)).select("collection", "name", "sha256")
 
 
-@query("S6_parsed_pages")
+_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+_MARKDOWN = r"regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g')"
+_MARKDOWN = rf"regexp_replace(regexp_replace({_MARKDOWN}, '(?i)<(?:br|/p|/div|/li|/h[1-6]|/tr|/title)\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
+for _old, _new in _ENTITIES:
+    _MARKDOWN = f"replace({_MARKDOWN}, '{_old}', '{_new}')"
+_MARKDOWN = rf"trim(regexp_replace(regexp_replace({_MARKDOWN}, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+_FLAGS = rf"""concat_ws(',', CASE WHEN length({_STRIP.format('m')}) < 200 THEN 'low_text' END,
+  CASE WHEN cells >= 12 OR (length(m) - length(replace(m, '|', ''))) / greatest(length({_STRIP.format('m')}), 1) * 1000 > 25 THEN 'table_heavy' END)"""
+
+
+@query("S6_parsed_pages", rf"WITH p AS (SELECT page_id, {_MARKDOWN} AS m, len(regexp_extract_all(coalesce(html, ''), '(?i)<t[dh]\b')) AS cells FROM pages) SELECT page_id, length(m) AS chars, md5(m) AS text_md5, {_FLAGS} AS flags FROM p")
 def s6(spark, sf_dir):
     out = I.parse_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", F.length("markdown").alias("chars"), F.md5("markdown").alias("text_md5"), F.array_join("flags", ",").alias("flags"))
@@ -45,12 +55,6 @@ def g1(spark, sf_dir):
     return I.chunked(table(spark, sf_dir, "documents")).select("doc_id", "section", "heading_path", "ord", "tokens", F.md5("text").alias("text_md5"))
 
 
-@query("E6_embedded_questions")
-def e6(spark, sf_dir):
-    out = I.embedded(table(spark, sf_dir, "benchmark").select("item_id", "text"), I.hashing_embedder())
-    return out.select("item_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
-
-
 @query("J30_offset_pages", """WITH p AS (SELECT conv_id AS doc_id, turn, sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) AS e FROM conversations),
 o AS (SELECT DISTINCT conv_id AS doc_id, unnest([10, 500, 1500]) AS o FROM conversations) SELECT doc_id, o AS "offset", min(turn)::BIGINT AS page FROM o JOIN p USING (doc_id) WHERE e >= o GROUP BY 1, 2""")
 def j30(spark, sf_dir):

@@ -15,15 +15,16 @@ def _drained(spark, sf_dir, build, mode):
     result = build(log)
     out = shared_dir(spark, "sink")
     runs.drain(result, out, shared_dir(spark, "stream"), mode)
-    return spark.read.schema(result.schema).parquet(out)
+    return out, result.schema
 
 
 @query("K14_stream_signal_counts", """SELECT event_type, strftime(time_bucket(INTERVAL 5 MINUTES, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY event_type, time_bucket(INTERVAL 5 MINUTES, ts)""")
 def k14_stream(spark, sf_dir):
-    out = _drained(spark, sf_dir, runs.signal_counts, "complete")
+    out = runs.latest(spark, *_drained(spark, sf_dir, runs.signal_counts, "update"), ["event_type", "start"], "n")
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 @query("K1_stream_sequence", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def k1_stream(spark, sf_dir):
-    return _drained(spark, sf_dir, runs.numbered, "append")
+    out, schema = _drained(spark, sf_dir, runs.numbered, "append")
+    return spark.read.schema(schema).parquet(out)

@@ -25,18 +25,34 @@ def markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
 
 
-def evaluation_items(spark: SparkSession, path: str) -> DataFrame:
+def evaluation_items(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(id, question, expect, should_abstain, corpus) of either shape of item: a question, or turns whose last one asks.
 
     Items of one question count once, the smallest id.
     """
     schema = "id string, question string, turns array<string>, expect string, should_abstain boolean, corpus string"
-    raw = spark.read.schema(schema).option("multiLine", "true").json(path)
+    raw = spark.read.schema(schema).option("multiLine", multi_line).json(path)
     items = raw.withColumn("question", F.coalesce("question", F.try_element_at("turns", F.lit(-1)))).where("question is not null").drop("turns")
     first = items.groupBy("question").agg(F.min("id").alias("id"))
     return items.join(first, ["question", "id"], "left_semi").select("id", "question", "expect", "should_abstain", "corpus")
 
 
+def specs(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """(question, fields): specifications of items, by the last of their turns."""
+    raw = spark.read.schema(f"turns array<string>, {fields}").json(path)
+    return raw.withColumn("question", F.element_at("turns", -1)).drop("turns")
+
+
+def failover(sources: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """The rows of the first source, in the order given, that has any for a key, with ``provider``."""
+    out = None
+    for n, (name, rows) in enumerate(sources):
+        part = rows.withColumns({"provider": F.lit(name), "_n": F.lit(n)})
+        out = part if out is None else out.unionByName(part)
+    first = out.groupBy(key).agg(F.min("_n").alias("_n"))
+    return out.join(first, [key, "_n"], "left_semi").drop("_n")
+
+
 def call_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CALLS).json(path)
 

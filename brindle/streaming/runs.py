@@ -20,13 +20,18 @@ def log_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1000)
 
 
 def signal_counts(log: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """(event_type, start, n) per tumbling window; the same expression serves stream and batch."""
+    """(event_type, start, n) per tumbling window; the same expression serves stream and batch.
+
+    As a stream it runs in update mode: the watermark ends a window's state, and ``latest`` reads the last count of each.
+    """
     source = log.withWatermark("ts", WATERMARK) if log.isStreaming else log
     return source.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
 
 
 def numbered(log: DataFrame) -> DataFrame:
-    """Each row of a run with the next number of that run; the state is the last number given.
+    """Each row of a run with the next number of that run, as it arrives; the state is the last number given, for ever.
+
+    Within a trigger a run's rows are numbered by time; a row that comes in a later trigger is numbered after them.
 
     Frames are only parts of a run's rows, of at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` each, so they
     are put together before the sort: a task holds what one run has in a trigger.
@@ -62,10 +67,17 @@ def stale_runs(log: DataFrame, idle_ms: int = 60_000, terminal: tuple[str, ...]
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over what is there and stops. In complete mode each trigger replaces the result."""
+    """Runs a stream over what is there and stops. In update mode each trigger adds its rows with its number, ``trigger``."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
-    if mode == "complete":
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    if mode == "update":
+        # A trigger that runs again replaces what it wrote before.
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/trigger={n}")).start()
     else:
         query = writer.format("parquet").option("path", out).start()
     query.awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, schema, keys: list[str], value: str) -> DataFrame:
+    """What a stream in update mode has come to: of each key the value of its last trigger."""
+    rows = spark.read.schema(schema).parquet(out + "/*").withColumn("_at", F.regexp_extract(F.input_file_name(), r"trigger=(\d+)", 1).cast("long"))
+    return rows.groupBy(*keys).agg(F.max_by(value, "_at").alias(value))
