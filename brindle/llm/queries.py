@@ -12,7 +12,7 @@ from .line_dedup import op9_line_dedup
 from .ngram_join import op10_ngram_jaccard
 from .packing import op8_sequence_packing
 from .quality import op1_quality_rules
-from .secrets import op5_secret_scan
+from .secrets import OP5_SQL, op5_secret_scan
 from .sharding import OP3_SQL, op3_jump_sharding
 from .toxicity import op2_toxicity
 from .warc import OP4_SQL, op4_warc_histories
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jump_sharding": OP3_SQL, "op4_warc_histories": OP4_SQL, "op7_license_scan": OP7_SQL}
+    return {"op3_jump_sharding": OP3_SQL, "op4_warc_histories": OP4_SQL, "op5_secret_scan": OP5_SQL, "op7_license_scan": OP7_SQL}

@@ -202,3 +202,23 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base, RULES), 256).alias("base_sha256"),
         _joined(F.col("found"), RULES).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same rows in DuckDB: pieces between matches and matches give offsets."""
+    parts = []
+    for n, r in enumerate(RULES):
+        pattern = r.pattern.replace("'", "''")
+        parts.append(
+            f"""r{n} AS (SELECT row, list_filter(list_transform(range(1, len(l) + 1), lambda i: {{'s': (coalesce(list_sum(list_slice(g, 1, i)), 0) + coalesce(list_sum(list_slice(l, 1, i - 1)), 0))::BIGINT, 'n': {n},
+  'e': (coalesce(list_sum(list_slice(g, 1, i)), 0) + coalesce(list_sum(list_slice(l, 1, i)), 0))::BIGINT, 'z': length(k[i])}}), lambda x: x.z >= {r.least}) AS f{n}
+  FROM (SELECT row, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS g, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS l, regexp_extract_all(t, '{pattern}', {r.group}) AS k FROM d))"""
+        )
+    joined = lambda n: "array_to_string(list_transform(list_sort(" + " || ".join(f"f{i}" for i in range(n)) + f"), lambda x: {[r.kind for r in RULES]}[x.n + 1] || ':' || x.s || ':' || x.e), ',')"
+    tables = " ".join(f"JOIN r{i} USING (row)" for i in range(len(RULES)))
+    counts = ", ".join(f"len(f{n}) AS n_{r.kind}" for n, r in enumerate(BASE))
+    return f"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents), {", ".join(parts)}
+SELECT doc_id, {counts}, sha256({joined(len(BASE))}) AS base_sha256, {joined(len(RULES))} AS spans FROM d {tables}"""
+
+
+OP5_SQL = _sql()
