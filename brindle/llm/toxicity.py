@@ -2,7 +2,8 @@
 
 A word is the bag of itself and its character n-grams, each an embedding row found by hashing, so unseen spellings
 share rows with known ones. A window of words is the mean of its words, and a linear softmax over that mean gives
-the window's odds; a document counts as its most toxic window, so that a few words in a long text are not diluted.
+the window's odds; a document counts as its most toxic window, so that a few words in a long text are not diluted (the
+mean over the whole document, ``window`` beyond its length, marks far more clean documents; README has the figures).
 Embeddings and softmax are trained jointly in numpy on a bounded sample of labelled rows.
 """
 
