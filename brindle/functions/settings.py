@@ -8,6 +8,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def merged(base: Mapping[str, Any], changes: Mapping[str, Any]) -> dict[str, Any]:
@@ -36,7 +37,7 @@ def between(low: float, high: float, null: bool = False) -> Callable[[Any], bool
     return lambda v: (null and v is None) or (isinstance(v, (int, float)) and not isinstance(v, bool) and low <= v <= high)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
     """The lines of a unified diff of two texts, without its head."""
     return pd.Series(["\n".join(list(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), lineterm=""))[2:]) for a, b in zip(before, after, strict=True)])
