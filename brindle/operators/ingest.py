@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import CJK, html_to_text, page_flags
+from brindle.functions.language import promoted_heading, sentences
+from brindle.functions.text import CJK, escape_source_tags, html_to_text, page_flags, paragraphs
 
 #: Accepted formats by extension, limits.
 FORMATS = {
@@ -86,96 +86,116 @@ def tsv_lines(tsv: DataFrame, least: float = 0.0) -> DataFrame:
     return stats.join(text, "id", "left").select("id", "text", "confidence", "n")
 
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
-_CUT = re.compile(r"""(?<=[.!?])["'”’»›）)\]】〕」』]*\s+|(?<=[。！？])""")
-
-
 def count_tokens(text: str) -> int:
     """A deterministic token count: four characters each."""
     return -(-len(text) // 4)
 
 
-def _blocks(markdown: str) -> Iterator[tuple[str, str]]:
-    """(heading path, body) in order."""
-    path: list[tuple[int, str]] = []
-    body: list[str] = []
-    for line in markdown.split("\n"):
-        if m := _HEADING.match(line):
-            if text := "\n".join(body).strip():
-                yield " > ".join(h for _, h in path), text
-            body = []
-            path = [*(x for x in path if x[0] < len(m[1])), (len(m[1]), m[2])]
-        else:
-            body.append(line)
-    if text := "\n".join(body).strip():
-        yield " > ".join(h for _, h in path), text
-
-
-def _units(text: str, limit: int, count: Callable[[str], int]) -> list[str]:
-    """Paragraphs, else sentences, else runs of words, else of characters, none over the limit."""
-    out: list[str] = []
-    for paragraph in filter(str.strip, re.split(r"\n[ \t]*\n", text)):
-        for part in [paragraph.strip()] if count(paragraph) <= limit else filter(str.strip, _CUT.split(paragraph)):
-            part = part.strip()
-            if count(part) <= limit:
-                out.append(part)
-                continue
-            run = ""
-            for word in part.split():
-                if run and count(f"{run} {word}") > limit:
-                    out.append(run)
-                    run = ""
-                run = f"{run} {word}" if run else word
-                while count(run) > limit:
-                    n = max(1, len(run) * limit // count(run))
-                    out.append(run[:n])
-                    run = run[n:]
-            if run:
-                out.append(run)
-    return out
+def _headed(lines: Column) -> Column:
+    """Of an array of lines, those that are headings: (at, level, title), level 0 for a plain line that stands for one."""
+    blank = lambda c: F.coalesce(F.btrim(c) == "", F.lit(True))
+    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda y, i: F.when(F.btrim(y) != "", i)), lambda i: i.isNotNull())), F.lit(0))
+
+    def of(y: Column, i: Column) -> Column:
+        mark = F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 1)
+        plain = promoted_heading(y, (i == 0) | blank(F.get(lines, i - 1)), blank(F.get(lines, i + 1)), i <= first)
+        title = F.when(mark != "", F.btrim(F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 2))).otherwise(plain)
+        return F.struct(i.alias("at"), F.length(mark).alias("level"), title.alias("title"))
+
+    return F.filter(F.transform(lines, of), lambda h: h["title"].isNotNull())
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """(doc_id, line_no, heading) of plain lines that stand for headings. Neighbours are looked at within the row's lines."""
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("x"))
+    found = lines.select("doc_id", F.explode(F.filter(_headed(F.col("x")), lambda h: h["level"] == 0)).alias("h"))
+    return found.select("doc_id", F.col("h.at").alias("line_no"), F.col("h.title").alias("heading"))
+
+
+def heading_path(heads: Column, k: Column) -> Column:
+    """The path of the k-th heading (from 1): a heading of level n stands behind the first n - 1 parts of the path before it."""
+    none = F.array().cast("array<string>")
+    below = lambda a, h: F.concat(F.slice(a, F.lit(1), F.least(F.size(a), F.greatest(h["level"] - 1, F.lit(0)))), F.array(h["title"]))
+    return F.array_join(F.aggregate(F.slice(heads, F.lit(1), k), none, below), " > ")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, sections): the bodies under the headings of each text, in order: (path, paragraphs: (text, sentences))."""
+    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("x"))
+    heads = lines.select("doc_id", "x", _headed(F.col("x")).alias("h"))
 
+    def section(k: Column) -> Column:
+        start = F.when(k == 0, 0).otherwise(F.get("h", k - 1)["at"] + 1)
+        end = F.coalesce(F.get("h", k)["at"], F.size("x"))
+        body = escape_source_tags(F.array_join(F.slice("x", start + 1, end - start), "\n"))
+        parts = F.transform(paragraphs(body), lambda p: F.struct(p.alias("text"), sentences(p).alias("sentences")))
+        return F.struct(heading_path(F.col("h"), k).alias("path"), parts.alias("paragraphs"))
 
-def _windows(units: list[str], limit: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """Runs of units that fit the limit, as many units as possible each."""
+    whole = F.transform(F.sequence(F.lit(0), F.size("h")), section)
+    return heads.select("doc_id", F.filter(whole, lambda s: F.size(s["paragraphs"]) > 0).alias("sections"))
+
+
+def _fitting(text: str, parts: list[str], limit: int, count: Callable[[str], int]) -> list[str]:
+    """A paragraph if it fits, else its sentences, and of a sentence that does not fit runs of its words, or of their signs."""
+    if count(text) <= limit:
+        return [text]
+    out: list[str] = []
+    for sentence in parts:
+        run: list[str] = []
+        for word in [sentence] if count(sentence) <= limit else sentence.split():
+            while count(word) > limit:
+                cut = max(1, len(word) * limit // count(word))
+                out += [" ".join(run)] * bool(run) + [word[:cut]]
+                run, word = [], word[cut:]
+            if run and count(" ".join([*run, word])) > limit:
+                out.append(" ".join(run))
+                run = []
+            run.append(word)
+        out += [" ".join(run)] * bool(run)
+    return [x for x in out if x]
+
+
+def _filled(sizes: list[int], limit: int) -> list[slice]:
+    """The longest runs of neighbours that fit the limit; one over it stands alone."""
     out, start, used = [], 0, 0
-    for i, u in enumerate(units):
-        n = count(u)
-        if i > start and used + n > limit:
-            out.append((start, i))
+    for i, n in enumerate(sizes):
+        if used and used + n > limit:
+            out.append(slice(start, i))
             start, used = i, 0
         used += n
-    return [*out, (start, len(units))] if units else out
-
-
-def _tail(units: list[str], start: int, end: int, budget: int, count: Callable[[str], int]) -> int:
-    """First of the last whole units that fit the budget together, never all units of the run."""
-    first, total = end, 0
-    while first - 1 > start and total + count(units[first - 1]) <= budget:
-        first -= 1
-        total += count(units[first])
-    return first
-
-
-def chunk_text(markdown: str, count: Callable[[str], int] = count_tokens, section: int = SECTION_TOKENS, child: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, str, int, str]]:
-    """(section, heading path, ord, text) of a document: sections under one heading, cut into overlapping children."""
-    sections: list[tuple[str, str]] = []
-    for path, body in _blocks(markdown):
-        units = _units(body, section, count)
-        for a, b in _windows(units, section, count):
-            piece = "\n\n".join(units[a:b])
-            if sections and sections[-1][0] == path and count(sections[-1][1] + "\n\n" + piece) <= section:
-                sections[-1] = (path, sections[-1][1] + "\n\n" + piece)
-            else:
-                sections.append((path, piece))
-    out, before = [], ""
-    for n, (path, text) in enumerate(sections):
-        units = _units(text, child, count)
-        for k, (a, b) in enumerate(windows := _windows(units, child, count)):
-            start = _tail(units, *windows[k - 1], overlap, count) if k else a
-            lead = before + "\n" if not k and before else ""
-            out.append((n, path, k, lead + "\n".join(units[start:b])))
-        first = _tail(units, 0, len(units), overlap, count)
-        before = "\n".join(units[first:])
+    return [*out, slice(start, len(sizes))] if sizes else []
+
+
+def _overlap(sizes: list[int], budget: int) -> int:
+    """How many of the last neighbours fit the budget together, never all of them."""
+    n, used = 0, 0
+    while n + 1 < len(sizes) and used + sizes[-1 - n] <= budget:
+        used += sizes[-1 - n]
+        n += 1
+    return n
+
+
+def chunks_of(parts: list[tuple[str, list[tuple[str, list[str]]]]], count: Callable[[str], int] = count_tokens, section: int = SECTION_TOKENS, child: int = CHILD_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[int, str, int, str]]:
+    """(section, heading path, ord, text) of a document's sections (path, paragraphs): overlapping children of bounded size.
+
+    A body over ``section`` tokens makes several sections. A child begins with the last whole pieces of the one before it
+    that fit ``overlap``, also over the border of sections.
+    """
+    out: list[tuple[int, str, int, str]] = []
+    n, before = 0, ""
+    for path, paragraphs_ in parts:
+        pieces = [p for text, own in paragraphs_ for p in _fitting(text, own, child, count)]
+        sizes = [count(p) for p in pieces]
+        for whole in _filled(sizes, section):
+            own, own_sizes = pieces[whole], sizes[whole]
+            runs = _filled(own_sizes, child)
+            for k, run in enumerate(runs):
+                lead = _overlap(own_sizes[runs[k - 1]], overlap) if k else 0
+                text = "\n".join(own[run.start - lead : run.stop])
+                out.append((n, path, k, f"{before}\n{text}" if not k and before else text))
+            last = _overlap(own_sizes, overlap)
+            before = "\n".join(own[len(own) - last :]) if last else ""
+            n += 1
     return out
 
 
@@ -183,14 +203,18 @@ CHUNKS = "doc_id long, section int, heading_path string, ord int, text string, t
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """Chunks of (doc_id, text). Cutting depends on what was cut before, so it runs in Python, a document at a time."""
+    """Chunks of (doc_id, text). Headings, paragraphs and sentences are found by Spark; only the filling of chunks, where
+    each depends on the one before, runs in Python, a document at a time."""
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, s, p, o, t, count_tokens(t)) for d, text in zip(frame["doc_id"], frame["text"], strict=True) for s, p, o, t in chunk_text(text or "")]
+            rows = []
+            for d, parts in zip(frame["doc_id"], frame["sections"], strict=True):
+                plain = [(s["path"], [(p["text"], list(p["sentences"])) for p in s["paragraphs"]]) for s in parts]
+                rows += [(d, n, path, o, t, count_tokens(t)) for n, path, o, t in chunks_of(plain)]
             yield pd.DataFrame(rows, columns=["doc_id", "section", "heading_path", "ord", "text", "tokens"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(cut, CHUNKS)
+    return sections(docs).mapInPandas(cut, CHUNKS)
 
 
 Embedder = tuple[Callable[[Column], Column], Callable[[Column], Column]]
@@ -243,18 +267,6 @@ def web_ingest(hits: DataFrame, held: DataFrame, now: Column) -> DataFrame:
     return hits.join(live, ["chat_id", "url"], "left_anti")
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, heading) of plain lines that stand for headings. Neighbours are looked at within the row's lines."""
-    from brindle.functions.language import promoted_heading
-
-    lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("x"))
-    blank = lambda c: F.coalesce(F.btrim(c) == "", F.lit(True))
-    first = F.coalesce(F.array_min(F.filter(F.transform("x", lambda y, i: F.when(F.btrim(y) != "", i)), lambda i: i.isNotNull())), F.lit(0))
-    out = lines.withColumn("first", first)
-    found = F.transform("x", lambda y, i: F.struct(i.alias("line_no"), promoted_heading(y, (i == 0) | blank(F.get("x", i - 1)), blank(F.get("x", i + 1)), i <= F.col("first")).alias("heading")))
-    return out.select("doc_id", F.explode(F.filter(found, lambda h: h["heading"].isNotNull())).alias("h")).select("doc_id", "h.line_no", "h.heading")
-
-
 def within_size(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return files.where(F.octet_length("content") <= most)
 

@@ -50,7 +50,25 @@ def s8(spark, sf_dir):
     return sequence(short, "source", ["doc_id"], "n").where("n <= 50").select("doc_id", "source")
 
 
-@query("X6_chunked_documents")
+_MARKED = """m AS (SELECT conv_id, turn, role, CASE role WHEN 'user' THEN '#' WHEN 'assistant' THEN '##' ELSE '####' END || ' Turn ' || turn || chr(10) || CASE WHEN turn % 3 = 0 THEN '' ELSE 'Text of ' || turn || '. More.' END AS part FROM (SELECT DISTINCT conv_id, turn, role FROM conversations))"""
+
+
+@query("X1_heading_paths", f"""WITH RECURSIVE {_MARKED}, h AS (SELECT conv_id, turn, part, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 4 END AS level FROM m),
+p AS (SELECT conv_id, turn, part, n, ['Turn ' || turn] AS path FROM h WHERE n = 1 UNION ALL SELECT h.conv_id, h.turn, h.part, h.n, path[1:h.level - 1] || ['Turn ' || h.turn] FROM p JOIN h ON h.conv_id = p.conv_id AND h.n = p.n + 1)
+SELECT conv_id, turn, array_to_string(path, ' > ') AS path FROM p WHERE turn % 3 <> 0""")
+def x1(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").distinct()
+    mark = F.when(F.col("role") == "user", "#").when(F.col("role") == "assistant", "##").otherwise("####")
+    body = F.when(F.col("turn") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Text of "), F.col("turn").cast("string"), F.lit(". More.")))
+    part = F.concat(mark, F.lit(" Turn "), F.col("turn").cast("string"), F.lit("\n"), body)
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", part.alias("part"))))
+    docs = turns.groupBy("conv_id").agg(parts.alias("p")).select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("p", lambda x: x["part"]), "\n").alias("text"))
+    out = I.sections(docs).select("doc_id", F.explode("sections").alias("s"))
+    turn = F.regexp_extract(F.col("s.path"), "Turn ([0-9]+)$", 1).cast("long")
+    return out.select(F.col("doc_id").alias("conv_id"), turn.alias("turn"), F.col("s.path").alias("path"))
+
+
+@query("X6_E8_chunked_documents")
 def g1(spark, sf_dir):
     return I.chunked(table(spark, sf_dir, "documents")).select("doc_id", "section", "heading_path", "ord", "tokens", F.md5("text").alias("text_md5"))
 

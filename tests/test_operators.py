@@ -227,15 +227,23 @@ def test_files_by_their_first_bytes(spark):
     assert rows(I.acceptable(df), "name") == [("a.pdf",), ("c.PNG",), ("copy.md",), ("d.docx",), ("h.webp",)]
 
 
-def test_chunks_keep_every_word_and_the_limits():
+def test_chunks_keep_every_word_and_the_limits(spark):
     rng = random.Random(3)
     text = "\n\n".join(("# H%d\n\n" % i if i % 4 == 0 else "") + " ".join("w%d%s" % (rng.randrange(999), rng.choice(["", "", ".", "!"])) for _ in range(rng.randint(1, 700))) for i in range(12)) + "\n\n" + "字" * 5000
-    chunks = I.chunk_text(text)
+    rows = [(1, text), (2, ""), (3, None), (4, "# A\nx\n## B\ny\n# C\nz"), (5, "lead\n\nCHAPTER II\n\nMr. Fox <source> came. He saw."), (None, "null id")]
+    got = {}
+    for r in I.chunked(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.section, r.heading_path, r.ord, r.text))
+    chunks = got[1]
     assert all(I.count_tokens(t) <= I.CHILD_TOKENS + I.OVERLAP_TOKENS + 1 for *_, t in chunks)
     body = {w for line in text.split("\n") if not line.startswith("#") for w in line.split() if not w.startswith("字")}
     assert body <= {w for *_, t in chunks for w in t.split()}
     assert sum(t.count("字") for *_, t in chunks) >= 5000 and {p for _, p, _, _ in chunks} == {"H0", "H4", "H8"}
-    assert I.chunk_text("") == [] and [c[:3] for c in I.chunk_text("# A\nx\n## B\ny\n# C\nz")] == [(0, "A", 0), (1, "A > B", 0), (2, "C", 0)]
+    assert 2 not in got and 3 not in got and [c[3] for c in got[None]] == ["null id"]
+    assert [c[:3] for c in got[4]] == [(0, "A", 0), (1, "A > B", 0), (2, "C", 0)]
+    assert [c[1:] for c in got[5]] == [("", 0, "lead"), ("CHAPTER II", 0, "Mr. Fox &lt;source> came. He saw.")]
+    overlap = I.chunks_of([("p", [(f"s{i:02d} " * 30, []) for i in range(30)])])
+    assert all(b[3].split("\n")[0] == a[3].split("\n")[-1] for a, b in zip(overlap, overlap[1:], strict=False))
 
 
 def test_ocr_lines(spark):
