@@ -22,7 +22,7 @@ from .common import crc32_text, read
 #: Production parameters. The documented bound of what is fitted: of each class the labelled rows whose hashed id is
 #: smallest, at most ``TRAIN_ROWS`` of them and as many as have ``TRAIN_BYTES`` of text together. Each is fitted whole.
 TRAIN_ROWS = 3000
-TRAIN_BYTES = 16 << 20
+TRAIN_BYTES = 6 << 20
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (3, 4, 5)
@@ -42,8 +42,14 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(_TABLE).split() if text else []
 
 
-def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all words' bags, one after the other, and where each word's bag begins."""
+def subwords(vocab: list[bytes], buckets: int = BUCKETS, step: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all words' bags, one after the other, and where each word's bag begins; worked out for ``step`` words at a time."""
+    parts = [_subwords(vocab[lo : lo + step], buckets) for lo in range(0, max(1, len(vocab)), step)]
+    shift = np.cumsum([0, *[len(row) for row, _ in parts]])
+    return np.concatenate([row for row, _ in parts]), np.concatenate([start + at for (_, start), at in zip(parts, shift, strict=False)])
+
+
+def _subwords(vocab: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(b"<" + w + b">" for w in vocab), dtype=np.uint8).astype(np.uint64)
     sizes = np.array([len(w) + 2 for w in vocab], dtype=np.int64)
     ends = np.cumsum(sizes)
@@ -65,7 +71,7 @@ def subwords(vocab: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
             whole[live] = (whole[live] * np.uint64(1_000_003)) ^ data[starts[live] + k]
         rows.append(((whole * _MIX) >> np.uint64(40)) % np.uint64(buckets))
         owners.append(np.arange(len(vocab)))
-    row, own = np.concatenate(rows).astype(np.int64), np.concatenate(owners)
+    row, own = np.concatenate(rows).astype(np.int32), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
     counts = np.bincount(own, minlength=len(vocab))
     return row[order], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) if len(vocab) else np.zeros(0, np.int64)
@@ -103,57 +109,76 @@ def fit(texts: list[bytes], labels: list[int], buckets: int = BUCKETS, dim: int
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(buckets), -2.0 if len(y) == 0 or y.max() == 0 else 2.0, window)
     index: dict[bytes, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)] or [index.setdefault(b"", len(index))], dtype=np.int64) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words(t)] or [index.setdefault(b"", len(index))], dtype=np.int32) for t in texts]
+    seen = np.zeros(len(index))
+    for d in docs:
+        seen[np.unique(d)] += 1
     flat = np.concatenate(docs)
     sizes = np.array([len(d) for d in docs])
+    del docs
     begin = np.cumsum(sizes) - sizes
     # Window starts at each half window; a window never leaves its document.
     step = max(1, window // 2)
-    lo = np.concatenate([b + np.minimum(np.arange(0, max(1, n - window + step), step), max(0, n - window)) for b, n in zip(begin, sizes, strict=True)])
-    owner = np.repeat(np.arange(len(docs)), [len(range(0, max(1, n - window + step), step)) for n in sizes])
-    hi = np.minimum(lo + window, (begin + sizes)[owner])
-    first = np.searchsorted(owner, np.arange(len(docs)))
+    lo = np.concatenate([(b + np.minimum(np.arange(0, max(1, n - window + step), step), max(0, n - window))).astype(np.int32) for b, n in zip(begin, sizes, strict=True)])
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(range(0, max(1, n - window + step), step)) for n in sizes])
+    hi = np.minimum(lo + window, (begin + sizes)[owner]).astype(np.int32)
+    width = (hi - lo).astype(np.float32)
+    first = np.searchsorted(owner, np.arange(len(sizes), dtype=np.int32))
+    alike = (1.0 / np.bincount(owner))[owner].astype(np.float32)
     row, start = subwords(list(index), buckets)
     bag = np.diff(np.concatenate([start, [len(row)]]))
-    word_of = np.repeat(np.arange(len(index)), bag)
+    # Words in stretches, so that no array of all rows of all bags is made besides ``row`` itself.
+    stretches = [(lo, min(lo + 50_000, len(index))) for lo in range(0, len(index), 50_000)]
+    rows_of = lambda lo, hi: slice(int(start[lo]), int(start[hi]) if hi < len(index) else len(row))
+
+    def by_bucket(of_word: np.ndarray) -> np.ndarray:
+        """The sum over all bags of what each word gives to each of its rows."""
+        out = np.zeros(buckets)
+        for a, b in stretches:
+            out += np.bincount(row[rows_of(a, b)], weights=np.repeat(of_word[a:b], bag[a:b]), minlength=buckets)
+        return out
 
     # Rows that fewer than LEAST_DOCS documents can have reached say nothing about other documents and stay zero.
-    seen = np.zeros(len(index))
-    for d in docs:
-        seen[np.unique(d)] += 1
-    live = np.bincount(row, weights=seen[word_of], minlength=buckets) >= LEAST_DOCS
+    live = by_bucket(seen) >= LEAST_DOCS
     rng = np.random.default_rng(seed)
     emb = np.zeros((buckets, dim))
     out = rng.normal(0, 0.3, dim)
     bias = 0.0
-    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()).astype(np.float32)
+    y = y.astype(np.float32)
     pace_emb, pace_out, pace_bias = np.zeros_like(emb), np.zeros(dim), 0.0
     for t in range(1, steps + 1):
         part = emb @ out
-        logit = np.add.reduceat(part[row], start) / bag
-        sums = np.concatenate([[0.0], np.cumsum(logit[flat])])
-        score = (sums[hi] - sums[lo]) / (hi - lo)
+        logit = np.concatenate([np.add.reduceat(part[row[rows_of(a, b)]], start[a:b] - start[a]) for a, b in stretches]) / bag
+        sums = np.zeros(len(flat) + 1)
+        np.cumsum(logit[flat], out=sums[1:])
+        score = (sums[hi] - sums[lo]).astype(np.float32)
+        del sums
+        score /= width
         if t <= steps // 6:  # at first all windows of a document count alike
-            picked, share = np.arange(len(lo)), 1.0 / np.bincount(owner)[owner]
+            picked, share = slice(None), alike
         else:
             best = np.maximum.reduceat(score, first)
             at = np.flatnonzero(score == best[owner])
             picked = at[np.unique(owner[at], return_index=True)[1]]
-            share = np.ones(len(picked))
+            share = np.ones(len(picked), dtype=np.float32)
         own = owner[picked]
-        p = 1 / (1 + np.exp(-np.clip(score[picked] + bias, -40, 40)))
-        grad = weight[own] * share * (p - y[own])
-        edge = np.zeros(len(flat) + 1)
-        per = grad / (hi - lo)[picked]
-        np.add.at(edge, lo[picked], per)
-        np.add.at(edge, hi[picked], -per)
+        per = 1 / (1 + np.exp(-np.clip(score[picked] + np.float32(bias), -40, 40)))
+        per -= y[own]
+        per *= weight[own]
+        per *= share
+        pull = float(per.sum())
+        per /= width[picked]
+        edge = np.bincount(lo[picked], weights=per, minlength=len(flat) + 1)
+        edge -= np.bincount(hi[picked], weights=per, minlength=len(flat) + 1)
+        del score, per
         g_word = np.bincount(flat, weights=np.cumsum(edge)[:-1], minlength=len(index))
-        g_part = np.where(live, np.bincount(row, weights=(g_word / bag)[word_of], minlength=buckets), 0.0)
+        g_part = np.where(live, by_bucket(g_word / bag), 0.0)
         # Momentum; each tensor's step has the scale of its largest gradient, so rare rows move little.
         g_out = emb.T @ g_part
         pace_emb = 0.9 * pace_emb + 0.1 * np.outer(g_part, out)
         pace_out = 0.9 * pace_out + 0.1 * g_out
-        pace_bias = 0.9 * pace_bias + 0.1 * float(grad.sum())
+        pace_bias = 0.9 * pace_bias + 0.1 * pull
         emb -= RATE * pace_emb / (np.abs(pace_emb).max() + 1e-12) + DECAY * emb
         out -= 0.02 * pace_out / (np.abs(pace_out).max() + 1e-12)
         bias -= 2.0 * pace_bias
