@@ -48,7 +48,9 @@ def postings(docs: DataFrame, words: list[str]) -> DataFrame:
     frequencies and for scores.
     """
     own = docs.select("id", tokens(F.col("text")).alias("_t"))
-    hits = F.filter("_t", lambda t: t.isin(words)) if words else F.array().cast("array<string>")
+    # As text, since words are letters and figures only: a column for each literal would take longer to plan than to run.
+    listed = ", ".join(f"'{w}'" for w in words)
+    hits = F.expr(f"filter(_t, t -> t IN ({listed}))") if words else F.array().cast("array<string>")
     return written(own.select(F.col("id").cast("long").alias("id"), F.size("_t").alias("dl"), hits.alias("hits")), "postings")
 
 
