@@ -30,6 +30,10 @@ END_ID = 0
 #: The cut of byte-level vocabularies of this kind into words, which the vocabulary's file names but does not spell out.
 WORD = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Runs of white space that the faster library may meet.
+LONGEST_RUN = 20_000
+LONG_RUN = re.compile(r"\s{%d}" % LONGEST_RUN)
+
 
 def _byte_signs() -> dict[str, int]:
     """The printable sign that stands for each byte in such a file: itself if it is printable, else one from 256 on."""
@@ -39,20 +43,31 @@ def _byte_signs() -> dict[str, int]:
 
 
 class TextEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, from a tokenizers file, as its own library gives them.
+    """Ids of whole texts from a tokenizers file, as its own library gives them.
 
     A byte-level vocabulary whose merges stand in the order of their ids is encoded by the faster of two equal
     libraries; any other file by its own. A string of a special token in a text is that token: it parts the text, and
-    both sides are encoded for themselves.
+    both sides are encoded for themselves. With ``plain`` such strings are ordinary text.
+
+    The faster library looks ahead from each sign of a run of white space and ends the process on very long runs
+    (700,000 blanks), so a text with a run beyond ``LONGEST_RUN`` goes to the file's own library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        self.path, self.plain = path, plain
+        self.own = None
         self.ranked = self._ranked(path)
-        if self.ranked is None:
+
+    @property
+    def tokenizer(self):
+        """The file's own library, read when it is first needed."""
+        if self.own is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            self.tokenizer = Tokenizer.from_file(path)
+            self.own = Tokenizer.from_file(self.path)
+            self.own.encode_special_tokens = self.plain
+        return self.own
 
     def _ranked(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,8 +80,8 @@ class TextEncoder:
         if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
             return None
         self.special = {t["content"]: int(t["id"]) for t in added}
-        self.parts = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + ")") if added else None
-        vocab = {k: v for k, v in model["vocab"].items() if k not in self.special}
+        self.parts = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.special, key=len, reverse=True)) + ")") if added and not self.plain else None
+        vocab = self.vocab = {k: v for k, v in model["vocab"].items() if k not in self.special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         merged = [vocab.get(a + b) for a, b in pairs]
         if len(vocab) != 256 + len(merged) or any(m is None for m in merged) or merged != sorted(merged) or max(vocab[s] for s in _byte_signs()) >= merged[0]:
@@ -78,6 +93,8 @@ class TextEncoder:
         return tiktoken.Encoding("ranked", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> list[int]:
+        if len(text) >= LONGEST_RUN and LONG_RUN.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
         if self.parts is None or not self.parts.search(text):
             return self.ranked.encode_ordinary(text)
         ids: list[int] = []
@@ -85,20 +102,30 @@ class TextEncoder:
             ids += [self.special[part]] if part in self.special else self.ranked.encode_ordinary(part)
         return ids
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str]) -> list[list[int]]:
         if self.ranked is not None:
-            return [np.array(self._ids(t), dtype="<u4").tobytes() for t in texts]
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return [self._ids(t) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        return [np.array(i, dtype="<u4").tobytes() for i in self.ids(texts)]
+
+    def token_bytes(self) -> dict[int, bytes]:
+        """The bytes of each id of a byte-level file."""
+        signs = _byte_signs()
+        vocab = json.loads(self.tokenizer.to_str())["model"]["vocab"] if self.ranked is None else self.vocab
+        return {v: bytes(signs[c] for c in k) for k, v in vocab.items() if all(c in signs for c in k)}
 
 
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, plain: bool = False) -> TextEncoder:
     """The encoder of a file, one for each Python worker."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = TextEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])

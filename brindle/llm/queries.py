@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_tokenizer_alignment
 from .decontamination import op6_benchmark_decontamination
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .licenses import OP7_SQL, op7_license_scan
@@ -21,7 +22,7 @@ from .warc import OP4_SQL, op4_warc_histories
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op6_benchmark_decontamination, op7_license_scan, op8_sequence_packing, op9_line_dedup, op10_ngram_jaccard, op11_pivot_topk, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_jump_sharding, op4_warc_histories, op5_secret_scan, op6_benchmark_decontamination, op7_license_scan, op8_sequence_packing, op9_line_dedup, op10_ngram_jaccard, op11_pivot_topk, op12_tokenizer_alignment, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

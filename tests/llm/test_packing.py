@@ -31,10 +31,22 @@ def test_ids_are_those_of_the_tokenizers_library(tokenizer):
     assert encode.ranked is not None
     want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert encode(texts) == want
-    encode.ranked, encode.tokenizer = None, tokenizer
+    encode.ranked, encode.own = None, tokenizer
     assert encode(texts) == want
 
 
+@pytest.mark.parametrize("sign", [" ", "\n", "a", "!", "7", "\u3000", "漢"])
+def test_very_long_runs(tokenizer, sign):
+    texts = [sign * 1_000_000, "x" + sign * 999_999 + "y", sign * 19_999 + "a", sign * 20_001]
+    assert TextEncoder(PATH)(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_text_of_ten_million_blanks_is_packed(spark):
+    text = " " * 10_000_000
+    out = sequence_packing(spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")).where("doc_id = 1").agg({"length": "sum", "doc_tokens": "max"}).first()
+    assert tuple(out) == (10_000_001, 10_000_001)
+
+
 def rule(sizes, length):
     """The sum-of-squares rule, written down plainly."""
     levels, places = [], []
