@@ -15,6 +15,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import discard, read, written
 from .packing import encoder
 
-#: Production parameters: the files of both sides; bytes of texts in a bundle; stretches that a worker remembers.
+#: Production parameters: the files of both sides; bytes of texts in a bundle; stretches
+#: that a worker remembers, and signs of stretches that are encoded together.
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BUNDLE_BYTES = 8 << 20
-REMEMBERED, LONGEST = 150_000, 48
+REMEMBERED, TOGETHER = 400_000, 1 << 17
 
 #: A stretch: white space from a blank on, then anything up to the next blank that follows a sign.
 STRETCH = re.compile(r"\s++(?:\S++(?:[^\S ]\s*+\S++)*+(?:[^\S ]\s*+)?)?")
@@ -37,65 +40,110 @@ STRETCH = re.compile(r"\s++(?:\S++(?:[^\S ]\s*+\S++)*+(?:[^\S ]\s*+)?)?")
 SIDE = 32
 
 
-def link(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[int, str, list[int]]:
-    """Groups (their number and their text) and links (packed pairs, one for each occurrence) of two token sequences."""
-    groups: list[str] = []
-    pairs: list[int] = []
-    i = j = i0 = j0 = 0
-    while i < len(a):
-        pairs.append(a[i] << SIDE | b[j])
-        if a_ends[i] < b_ends[j]:
-            i += 1
-        elif a_ends[i] > b_ends[j]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-            i0, j0 = i, j
-    return len(groups), ";".join(groups), pairs
+@dataclass
+class Links:
+    """Some stretches, aligned: a row of ``counts`` (tokens of A and B, groups, links) and a groups' text for each, and
+    the packed pairs of all links, in order; ``fine`` is false where a side does not give the bytes back."""
 
+    fine: np.ndarray
+    counts: np.ndarray
+    groups: list[str]
+    pairs: np.ndarray
 
-#: What is known of a stretch: tokens of A and B, groups, links, the groups' text, packed pairs; None: its bytes differ.
-Known = tuple[int, int, int, int, str, np.ndarray]
+
+NONE = Links(np.zeros(0, bool), np.zeros((0, 4), np.int64), [], np.zeros(0, np.int64))
+
+
+def joined(parts: list[Links]) -> Links:
+    return Links(np.concatenate([p.fine for p in parts]), np.concatenate([p.counts for p in parts]), [g for p in parts for g in p.groups], np.concatenate([p.pairs for p in parts]))
+
+
+def merge(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, ends: np.ndarray, a_names: list[str], b_names: list[str]) -> Links:
+    """Aligns the tokens of consecutive stretches, given the ends of tokens of both sides and of the stretches.
+
+    The two sorted lists of ends are merged. At each end of the merged list a pointer on either side stands at the
+    token that covers what lies before it: these two are linked, and where both end a group does.
+    """
+    steps = np.union1d(a_ends, b_ends)
+    i, j = np.searchsorted(a_ends, steps), np.searchsorted(b_ends, steps)
+    both = (a_ends[i] == steps) & (b_ends[j] == steps)
+    shut = steps[both]
+    before = [np.searchsorted(x, ends, "right") for x in (a_ends, b_ends, shut, steps)]
+    counts = np.stack([np.diff(x, prepend=0) for x in before], axis=1)
+    left, right = [a_names[t] for t in a.tolist()], [b_names[t] for t in b.tolist()]
+    texts: list[str] = []
+    i0 = j0 = 0
+    for i1, j1 in zip((i[both] + 1).tolist(), (j[both] + 1).tolist(), strict=True):
+        texts.append((left[i0] if i1 - i0 == 1 else ",".join(left[i0:i1])) + "|" + (right[j0] if j1 - j0 == 1 else ",".join(right[j0:j1])))
+        i0, j0 = i1, j1
+    at = [0, *before[2].tolist()]
+    return Links(np.ones(len(ends), bool), counts, [";".join(texts[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], a[i] << SIDE | b[j])
+
+
+class Places(dict):
+    """Numbers of stretches, in the order in which they are first asked for."""
+
+    def __missing__(self, stretch: str) -> int:
+        self[stretch] = n = len(self)
+        return n
 
 
 class Aligner:
-    """Both tokenizers, and the stretches that were aligned before (``REMEMBERED`` at most)."""
+    """Both tokenizers, and the stretches aligned since the last time that they were more than ``REMEMBERED``."""
 
     def __init__(self, byte_level: str, pieces: str):
         self.a = encoder(byte_level, plain=True)
-        self.a_bytes = self.a.token_bytes()
+        named = self.a.token_bytes()
+        self.a_bytes = [named.get(i, b"") for i in range(max(named) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
         # The cuts hold only if no piece has its blank after another sign.
         self.cut = not any(" " in t.lstrip(b" ").decode("utf-8", "replace") for t in self.b_bytes)
-        self.known: dict[str, Known | None] = {}
+        self.places, self.links, self.starts = Places(), NONE, np.zeros(1, np.int64)
 
     def stretches(self, text: str) -> list[str]:
         """The stretches of blank + text, each with a blank in front."""
         return STRETCH.findall(" " + text) if self.cut else [" " + text]
 
-    def _aligned(self, stretch: str, a: list[int], b: list[int]) -> Known | None:
-        raw = stretch.encode()
-        ta, tb = [self.a_bytes[t] for t in a], [self.b_bytes[t] for t in b]
-        if b"".join(ta) != raw or b"".join(tb) != raw:
-            return None
-        n, text, pairs = link(a, b, np.cumsum([len(t) for t in ta]).tolist(), np.cumsum([len(t) for t in tb]).tolist())
-        return len(a), len(b), n, len(pairs), text, np.array(pairs, dtype=np.int64)
-
-    def __call__(self, stretches: list[str]) -> list[Known | None]:
-        new = [s for s in stretches if s not in self.known]
-        fresh: dict[str, Known | None] = {}
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            left = self.a.ids(part)
-            right = self.b.encode([s[1:] for s in part], num_threads=1)  # it puts the blank in front itself, but of nothing
-            right = [r if s != " " else [self.b.piece_to_id("▁")] for s, r in zip(part, right, strict=True)]
-            fresh |= {s: self._aligned(s, a, b) for s, a, b in zip(part, left, right, strict=True)}
-        out = [fresh[s] if s in fresh else self.known[s] for s in stretches]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-        self.known |= {s: k for s, k in list(fresh.items())[:REMEMBERED] if len(s) <= LONGEST}
+    def _together(self, stretches: list[str]) -> Links:
+        """Aligns stretches as one text; where that does not give the bytes back, in halves."""
+        text = "".join(stretches)
+        raw = text.encode()
+        a = self.a.ids([text])[0]
+        # It puts the blank in front itself, but of nothing.
+        b = self.b.encode(text[1:], num_threads=1) if text != " " else [self.b.piece_to_id("▁")]
+        if b"".join([self.a_bytes[t] for t in a]) == raw and b"".join([self.b_bytes[t] for t in b]) == raw:
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+            ends = np.cumsum([len(raw)] if len(stretches) == 1 else [len(s.encode()) for s in stretches])
+            return merge(a, a_ends, b, b_ends, ends, self.a_names, self.b_names)
+        if len(stretches) == 1:
+            return Links(np.zeros(1, bool), np.zeros((1, 4), np.int64), [""], np.zeros(0, np.int64))
+        half = len(stretches) // 2
+        return joined([self._together(stretches[:half]), self._together(stretches[half:])])
+
+    def align(self, stretches: list[str]) -> Links:
+        """Aligns stretches, in texts of some length. One that ends in white space may only be the last of its text."""
+        parts, some, size = [NONE], [], 0
+        for n, s in enumerate(stretches, 1):
+            some.append(s)
+            size += len(s)
+            if n == len(stretches) or size > TOGETHER or s[-1].isspace() or len(stretches[n]) > TOGETHER:
+                parts.append(self._together(some))
+                some, size = [], 0
+        return joined(parts)
+
+    def numbered(self, texts: list[str]) -> list[list[int]]:
+        """The stretches of each text by their numbers; ``links`` and ``starts`` (of their pairs) hold all numbers."""
+        if len(self.places) > REMEMBERED:
+            self.places, self.links = Places(), NONE
+        old = len(self.places)
+        out = [list(map(self.places.__getitem__, self.stretches(t))) if t else [] for t in texts]
+        if len(self.places) > old:
+            self.links = joined([self.links, self.align(list(islice(self.places, old, None)))])
+            self.starts = np.concatenate([[0], np.cumsum(self.links.counts[:, 3])])
         return out
 
 
@@ -121,33 +169,32 @@ BUNDLES = (
 
 def bundle(align: Aligner, number: int, ids: list, texts: list[str]) -> dict:
     """One bundle: its documents' counts; the stretches of each; the links of each stretch; its pairs and their totals."""
-    place: dict[str, int] = {}
-    cut = [[place.setdefault(s, len(place)) for s in (align.stretches(t) if t else ())] for t in texts]
-    known = align(list(place))
-    fine = np.array([k is not None for k in known], dtype=bool)
-    counts = np.array([k[:4] if k else (0, 0, 0, 0) for k in known], dtype=np.int64).reshape(-1, 4)
-    strings = [k[4] if k else "" for k in known]
+    cut = align.numbered(texts)
+    links = align.links
     rows: list[np.ndarray] = []
     totals: list[np.ndarray] = []
     shas: list[str] = []
     for own in cut:
-        at = np.array(own, dtype=np.uint32)
-        if not fine[at].all():
-            at = at[:0]
+        at = np.array(own, dtype=np.int64)
+        if not links.fine[at].all():
+            own, at = [], at[:0]
         rows.append(at)
-        totals.append(counts[at].sum(axis=0))
-        shas.append(hashlib.sha256(";".join(map(strings.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
-    words = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    often = np.bincount(words, minlength=len(known))
-    used = [k[5] if k and n else np.zeros(0, np.int64) for k, n in zip(known, often.tolist(), strict=True)]
-    sizes = np.array([len(u) for u in used], dtype=np.int64)
-    flat = np.concatenate(used) if used else np.zeros(0, np.int64)
-    pairs, at = np.unique(flat, return_inverse=True)
-    weight = np.bincount(at, weights=np.repeat(often, sizes), minlength=len(pairs)).astype(np.int64)
+        totals.append(links.counts[at].sum(axis=0))
+        shas.append(hashlib.sha256(";".join(map(links.groups.__getitem__, own)).encode()).hexdigest() if own else "")
+    words = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    often = np.bincount(words, minlength=len(links.fine))
+    used = np.nonzero(often)[0]
+    new_place = np.zeros(len(often), np.uint32)
+    new_place[used] = np.arange(len(used))
+    sizes = links.counts[used, 3]
+    # The places of the used stretches' pairs: runs from each start.
+    run = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(align.starts[used], sizes)
+    pairs, at = np.unique(links.pairs[run], return_inverse=True)
+    weight = np.bincount(at, weights=np.repeat(often[used], sizes), minlength=len(pairs)).astype(np.int64)
     table = np.array(totals, dtype=np.int64).reshape(-1, 4)
     return {
         "bundle": number, "doc_id": ids, "n_a": table[:, 0], "n_b": table[:, 1], "n_groups": table[:, 2], "n_links": table[:, 3], "groups_sha256": shas,
-        "words": words.tobytes(), "n_words": [len(r) for r in rows], "links": at.astype(np.uint32).tobytes(), "n_pairs": sizes.astype(np.uint32).tobytes(), "pairs": pairs, "totals": weight,
+        "words": new_place[words].tobytes(), "n_words": [len(r) for r in rows], "links": at.astype(np.uint32).tobytes(), "n_pairs": sizes.astype(np.uint32).tobytes(), "pairs": pairs, "totals": weight,
     }
 
 

@@ -118,7 +118,17 @@ def test_very_long_texts(spark, text):
 def test_memory_of_stretches_is_bounded(monkeypatch):
     monkeypatch.setattr("brindle.llm.alignment.REMEMBERED", 5)
     align = Aligner(A, B)
-    words = [f" w{i}" for i in range(40)]
-    first = align(words)
-    assert len(align.known) <= 10
-    assert [k[:5] for k in align(words)] == [k[:5] for k in first]
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for _ in range(3):
+        rows.append([[align.links.groups[i] for i in own] for own in align.numbered(words)])
+        assert len(align.places) == len(align.links.groups) <= 40
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_stretches_that_do_not_give_their_bytes_back():
+    align = Aligner(A, B)
+    stretches = [" one", " ▁two", " three", " f▁ur ", " five"]
+    out = align.align(stretches)
+    assert out.fine.tolist() == [True, False, True, False, True]
+    assert [c[0] > 0 for c in out.counts.tolist()] == out.fine.tolist()
