@@ -9,13 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stats import dcg_weight, ideal_dcg
-from brindle.functions.text import tokens
-from brindle.operators.tables import written
+from brindle.operators.tables import shared_dir, written
+from brindle.operators.text_index import MOST_WORDS, TextIndex, build, search
 
 #: Constant of the reciprocal ranks, leg size, fused size, reserve.
 RRF, LEG, FUSED, RESERVE = 60, 50, 40, 8
@@ -33,84 +32,15 @@ def ranked(scores: DataFrame, k: int, by: str = "score", query: str = "query_id"
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def document_frequency(docs: DataFrame, item: str = "id", text: str = "text") -> DataFrame:
-    """(term, df, idf): documents with a term, and ln(1 + N / df)."""
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))  # one row
-    found = docs.select(item, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.join(F.broadcast(n)).select("term", "df", F.log(1 + F.col("n_docs") / F.col("df")).alias("idf"))
-
-
-def postings(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(id, dl, hits): each document's length in words, and those of its words that are among ``words``.
-
-    The filter sits in the row, so nothing but hits leaves the scan of the texts; the table is written once and read for
-    frequencies and for scores.
-    """
-    own = docs.select("id", tokens(F.col("text")).alias("_t"))
-    # As text, since words are letters and figures only: a column for each literal would take longer to plan than to run.
-    listed = ", ".join(f"'{w}'" for w in words)
-    hits = F.expr(f"filter(_t, t -> t IN ({listed}))") if words else F.array().cast("array<string>")
-    return written(own.select(F.col("id").cast("long").alias("id"), F.size("_t").alias("dl"), hits.alias("hits")), "postings")
-
-
-#: Words of queries that one pass over the postings takes: the bound of what is sent to the executors.
-MOST_WORDS = 20_000
+def document_frequency(index: TextIndex) -> DataFrame:
+    """(term, df, idf): documents with a term, and ln(1 + N / df), as the index holds them."""
+    n = index.size[0]
+    return index.terms.select("term", "df", F.log(1 + F.lit(n) / F.col("df")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, probabilistic: bool = False, most_words: int = MOST_WORDS) -> DataFrame:
-    """(query_id, id, score, rank): the best ``k`` documents of each query.
-
-    ``docs``: (id, text); ``queries``: (query_id, text). idf is ln(1 + N / df), or ln(1 + (N - df + 0.5) / (df + 0.5)) if
-    ``probabilistic``. The stated queries are set against all documents in blocks of about ``most_words`` query words:
-    each task scores its documents against the block and keeps the best ``k`` of each query, so a word that every
-    document has makes no pairs to shuffle.
-    """
-    spark = docs.sparkSession
-    empty = spark.createDataFrame([], "query_id long, id long, score double")
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))).over(Window.partitionBy("query_id")))).alias("t"))
-    asked = asked.dropDuplicates(["query_id"]).withColumn("n", F.size("t"))
-    blocks = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // most_words))
-    out = None
-    for block in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = sorted((r.query_id, r.t) for r in part.select("query_id", "t").collect())
-        words = sorted({w for _, t in rows for w in t})
-        index = postings(docs, words)
-        n, avgdl = index.agg(F.count(F.lit(1)), F.avg("dl")).first()
-        counted = index.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").count()
-        df = {r.term: r["count"] for r in counted.collect()}  # at most as many rows as words are asked for
-        idf = np.array([np.log(1 + ((n - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5) if probabilistic else n / max(1, df.get(w, 0)))) for w in words])
-        place = {w: i for i, w in enumerate(words)}
-        score = _bm25_scores(words, idf, [[place[w] for w in t] for _, t in rows], avgdl or 1.0, k1, b)
-        found = index.where(F.size("hits") > 0).mapInArrow(_best([q for q, _ in rows], score, k, positive=True), "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out if out is not None else empty, k)
-
-
-def _bm25_scores(words: list[str], idf: np.ndarray, terms: list[list[int]], avgdl: float, k1: float, b: float):
-    """For a batch (id, dl, hits): the scores of some of its rows for all queries, in slices of bounded size."""
-    flat = np.array([t for own in terms for t in own], dtype=np.int64)
-    begin = np.cumsum([0, *map(len, terms)])[:-1]
-    some = np.array([len(t) > 0 for t in terms])
-    step = max(1, 4_000_000 // max(1, len(flat) + len(words)))
-    vocabulary = pa.array(words, pa.string())
-
-    def scores(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, dl = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo in range(0, batch.num_rows, step):
-            hits = batch.column(2).slice(lo, step)
-            at = pc.index_in(hits.flatten(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = pc.list_parent_indices(hits).to_numpy(zero_copy_only=False)
-            tf = np.zeros((len(hits), len(words)))
-            np.add.at(tf, (row, at), 1.0)
-            weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[lo : lo + step, None] / avgdl))
-            out = np.zeros((len(terms), len(hits)))
-            if len(flat):
-                out[some] = np.add.reduceat(weight[:, flat], begin[some], axis=1).T
-            yield ids[lo : lo + step], np.round(out, 6)
-
-    return scores
+    """(query_id, id, score, rank): the best ``k`` of ``docs`` (id, text) for each query, by an index made for this search."""
+    return search(build(docs, shared_dir(docs.sparkSession, "text-index")), queries, k, k1, b, probabilistic, most_words)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:

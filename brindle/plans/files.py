@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import language as L
 from brindle.functions import settings as Q
 from brindle.operators import ingest as I
+from brindle.operators import text_index as X
 from brindle.operators.tables import shared_dir
 from brindle.plans.ingest import _files
 from brindle.plans.registry import query, table
@@ -58,10 +59,8 @@ _PAGES = "(SELECT page_id AS doc_id, regexp_replace(coalesce(html, ''), '<[^>]*>
 
 @query("S13_E3_web_hits", f"WITH {_bm25_sql(_PAGES, 5, 1.5, PLAIN_IDF)} SELECT query_id, id, rank FROM lex")
 def s13(spark, sf_dir):
-    from brindle.operators import retrieval as R
-
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " ").alias("text"))
-    return R.bm25(pages, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5).select("query_id", "id", "rank")
+    return X.search(X.kept(pages, "pages without tags"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 5).select("query_id", "id", "rank")
 
 
 @query("S15_failover", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'b' ELSE 'a' END AS provider, k AS rank FROM customer, range(2) t(k) WHERE c_nationkey % 9 <> 0")

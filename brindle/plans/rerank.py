@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from brindle.operators import rerank as K
 from brindle.operators import retrieval as R
+from brindle.operators import text_index as X
 from brindle.plans.registry import query, table
-from brindle.plans.retrieval import PLAIN_IDF, PROB_IDF, _bm25_sql, _docs, _questions
+from brindle.plans.retrieval import PLAIN_IDF, PROB_IDF, _bm25_sql, _docs, _questions, documents_index
 
 _LEVELS = list(K.LEVELS)
 _P = "map {" + ", ".join(f"'{name}': {p}" for name, p in zip(_LEVELS, ("l_discount", "l_tax", "l_quantity / 100", "CASE WHEN l_linenumber = 2 THEN 0 ELSE l_discount * 2 END"), strict=True)) + "}"
@@ -41,7 +42,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score D
 
 
 def _reranked(spark, sf_dir, kept):
-    pool = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), 20).select("query_id", "id", (F.col("rank") - 1).alias("position"))
+    pool = X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), 20).select("query_id", "id", (F.col("rank") - 1).alias("position"))
     grade = F.when(F.col("id") % 3 == 0, 1.0).otherwise(0.5)
     scores = pool.where("query_id % 4 <> 0 AND id % 3 <> 2").select("query_id", "id", grade.alias("score"))
     return K.apply_rerank(pool, scores, kept)
@@ -64,7 +65,7 @@ su AS (SELECT query_id, id, round(0.5::DOUBLE / (60 + rank), 12) AS fused, row_n
 def _summaries(spark, sf_dir):
     """Documents of even ids stand for summaries; there is no vector leg for them here."""
     own = _docs(spark, sf_dir).where("id % 2 = 0")
-    lexical = R.bm25(own, _questions(spark, sf_dir), R.LEG, k1=1.2, probabilistic=True)
+    lexical = X.search(X.kept(own, "documents of even doc_id"), _questions(spark, sf_dir), R.LEG, k1=1.2, probabilistic=True)
     fused = R.fuse(lexical.where("false"), lexical, 0.5, limit=6, reserve=0)
     return fused.select("query_id", "id", "fused")
 

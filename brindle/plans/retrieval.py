@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import excerpt, token_count
 from brindle.operators import retrieval as R
+from brindle.operators import text_index as X
 from brindle.plans.registry import query, table
 
 OWNER = "u1"
 
 
+def documents_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
+    """The lasting index of all documents."""
+    return X.kept(_docs(spark, sf_dir), "documents by doc_id")
+
+
+def scoped_index(spark: SparkSession, sf_dir: str) -> X.TextIndex:
+    """The lasting index of what ``OWNER`` may see."""
+    return X.kept(_scoped(spark, sf_dir), f"documents in the scope of {OWNER}")
+
+
 def _collections(docs: DataFrame) -> DataFrame:
     """Sources as collections: four owners in turn, every fifth source shared."""
     n = F.regexp_extract("source", "[0-9]+", 0).cast("int")
@@ -60,17 +71,17 @@ PLAIN_IDF, PROB_IDF = "ln(1 + n_docs / df)", "ln(1 + (n_docs - df + 0.5) / (df +
 WITH d AS (SELECT doc_id, unnest(list_distinct({TOKENS_SQL})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents)
 SELECT term, count(*) AS df, round(ln(1 + any_value(n.n) / count(*)), 6) AS idf FROM d, n GROUP BY term""")
 def a41(spark, sf_dir):
-    return R.document_frequency(table(spark, sf_dir, "documents"), "doc_id").withColumn("idf", F.round("idf", 6))
+    return R.document_frequency(documents_index(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 @query("R3_audit_bm25", f"WITH {_bm25_sql('documents', 3, 1.5, PLAIN_IDF)} SELECT query_id, id, score, rank FROM lex")
 def r3(spark, sf_dir):
-    return R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), 3)
+    return X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), 3)
 
 
 @query("R2_scoped_bm25_top50", f"WITH {_bm25_sql(_SCOPE, 50, 1.2, PROB_IDF)} SELECT query_id, id, score, rank FROM lex")
 def r2(spark, sf_dir):
-    return R.bm25(_scoped(spark, sf_dir), _questions(spark, sf_dir), R.LEG, k1=1.2, probabilistic=True)
+    return X.search(scoped_index(spark, sf_dir), _questions(spark, sf_dir), R.LEG, k1=1.2, probabilistic=True)
 
 
 @query("F1_ownership_scope", f"SELECT doc_id AS id, source FROM {_SCOPE}")
@@ -112,7 +123,7 @@ def _hybrid(spark, sf_dir):
     questions = _questions(spark, sf_dir)
     vectors = _vectors(spark, sf_dir)
     asked = questions.select("query_id").distinct().join(vectors.withColumnRenamed("id", "query_id"), "query_id")
-    lexical = R.bm25(docs, questions, R.LEG, k1=1.2, probabilistic=True)
+    lexical = X.search(scoped_index(spark, sf_dir), questions, R.LEG, k1=1.2, probabilistic=True)
     nearest = R.vector_topk(vectors.join(docs.select("id"), "id", "left_semi"), asked, R.LEG)
     return docs, R.fuse(nearest, lexical, WEIGHT)
 
@@ -143,7 +154,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DE
 SELECT query_id, id, lang, score FROM r JOIN n USING (query_id) WHERE r.n <= ceil(8 / g)""")
 def w16(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    pool = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
+    pool = X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
     return R.group_share(pool, 8, "lang").select("query_id", "id", "lang", "score")
 
 
@@ -153,7 +164,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DE
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY lead DESC, score DESC, id) AS position FROM l""")
 def w15(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    pool = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
+    pool = X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
     return R.guaranteed_first(pool, "lang").select("query_id", "id", "position")
 
 
@@ -162,7 +173,7 @@ j AS (SELECT query_id, id, rank, CASE WHEN rank = 1 THEN least(6000, n) ELSE n E
 SELECT query_id, id, rank, tokens FROM j QUALIFY sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) <= 6000""")
 def w19(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("id", token_count(F.col("text")).alias("tokens"))
-    pool = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
+    pool = X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), R.LEG).join(docs, "id")
     return R.within_budget(pool, 6000, ["query_id"]).select("query_id", "id", "rank", "tokens")
 
 
@@ -170,7 +181,7 @@ def w19(spark, sf_dir):
 n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM lex)
 SELECT query_id, id, rank, CASE WHEN n < 4 THEN rank WHEN rank % 2 = 1 THEN (rank + 1) // 2 ELSE n - rank // 2 + 1 END::INT AS position FROM n""")
 def w21(spark, sf_dir):
-    top = R.bm25(_docs(spark, sf_dir), _questions(spark, sf_dir), 8)
+    top = X.search(documents_index(spark, sf_dir), _questions(spark, sf_dir), 8)
     n = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return top.join(n, "query_id").select("query_id", "id", "rank", R.middle_out(F.col("rank"), F.col("n")).alias("position"))
 
@@ -191,7 +202,7 @@ SELECT query_id, coalesce(n_gold, 0) AS n_gold, coalesce(hit, 0) AS recall, roun
 FROM (SELECT DISTINCT query_id FROM lex) LEFT JOIN n USING (query_id) LEFT JOIN hh USING (query_id)""")
 def a24(spark, sf_dir):
     docs, questions = _docs(spark, sf_dir), _questions(spark, sf_dir)
-    out = R.ranking_metrics(R.bm25(docs, questions, 10), R.gold_passages(docs, questions))
+    out = R.ranking_metrics(X.search(documents_index(spark, sf_dir), questions, 10), R.gold_passages(docs, questions))
     return out.withColumn("ndcg", F.round("ndcg", 6))
 
 
@@ -204,7 +215,7 @@ SELECT query_id, id, round(CASE WHEN any_value(n) = 1 THEN min_by(score, variant
 def r6(spark, sf_dir):
     questions, vectors = _questions(spark, sf_dir), _vectors(spark, sf_dir)
     asked = questions.select("query_id").distinct().join(vectors.withColumnRenamed("id", "query_id"), "query_id")
-    one = R.bm25(_docs(spark, sf_dir), questions, R.LEG).withColumn("variant", F.lit(0))
+    one = X.search(documents_index(spark, sf_dir), questions, R.LEG).withColumn("variant", F.lit(0))
     two = R.vector_topk(vectors, asked, R.LEG).withColumn("variant", F.lit(1))
     return R.multi_query_rrf(one.unionByName(two)).withColumn("fused", F.round("fused", 9))
 
