@@ -22,6 +22,8 @@ FILTERS = "ABCDE"
 REPEAT = 1 << FILTERS.index("E")
 #: Production parameter: bytes of texts that a task holds to fold repeats before it sends texts on.
 HELD_BYTES = 32 << 20
+#: Production parameter: bytes of texts that a task on the other side of the routing gets, about.
+ROUTED_BYTES = 64 << 20
 UPPER, SIGNS = bytes(range(65, 91)), b"#$%&*|"
 
 
@@ -109,9 +111,10 @@ def settled(entries: Iterable[tuple[int, Entry]]) -> Iterator[tuple[int | None,
 def masks(docs: DataFrame, part: str = "lang") -> DataFrame:
     """(doc_id, part, mask, rows): the filters that each document fails; equal rows may be put together."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part")).rdd
-    n = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.mapPartitions(routed).repartitionAndSortWithinPartitions(n, lambda key: key).mapPartitions(settled)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED_BYTES))
+    found = texts.rdd.mapPartitions(routed).repartitionAndSortWithinPartitions(n, lambda key: key).mapPartitions(settled)
     return spark.createDataFrame(found, "doc_id long, part string, mask int, rows long", verifySchema=False)
 
 
