@@ -1,8 +1,9 @@
 """A lasting inverted index over texts, and block-max pruned BM25 on it.
 
 Documents are numbered within shards of bounded size, in the tasks that read them, so texts are never shuffled. A row of
-the index holds one term's postings in one shard, and for each block of 128 documents the largest frequency and the
-smallest length in it, which bound the score that the term can give there for any parameters. Rows lie in folders by a
+the index holds one term's postings in one shard, and for each block of 32 documents the largest frequency and the smallest
+length in it, which bound the score that the term can give there for any parameters; documents of a shard lie in the
+order of their lengths, which keeps these bounds close. Rows lie in folders by a
 hash of the term: a search reads the folders of its words only. Each shard is searched by itself: blocks are scored in
 the order of the sum of their bounds until no block can beat the k-th best score.
 """
@@ -24,7 +25,7 @@ from brindle.functions.text import tokens
 from brindle.operators.tables import shared_dir
 
 #: A shard ends at so many documents (whose numbers fit 16 bits) or words; documents of a block; folders of terms.
-SHARD_DOCS, SHARD_WORDS, BLOCK, BUCKETS = 65_536, 4_000_000, 128, 16
+SHARD_DOCS, SHARD_WORDS, BLOCK, BUCKETS = 65_536, 4_000_000, 32, 16
 #: Groups of shards whose rows of one folder stay together.
 LANES = 64
 #: Words of queries that one pass over the index takes: the bound of what is sent to the executors.
@@ -46,13 +47,18 @@ def _slices(data: np.ndarray, starts: np.ndarray, kind: str) -> pa.Array:
 
 def _inverted(shard: int, ids: np.ndarray, sizes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
     """The rows of one shard: that of its documents (without a term: ids and lengths), then one for each term."""
+    order = np.argsort(sizes, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    owner = np.repeat(place, sizes)
+    ids, sizes = ids[order], sizes[order]
     yield pa.RecordBatch.from_arrays(
         [pa.array([shard]), pa.array([None], pa.string()), pa.array([len(ids)]), pa.array([int(sizes.sum())]), pa.array([ids.astype("<i8").tobytes()]), pa.array([sizes.astype("<u4").tobytes()]), *[pa.array([b""]) for _ in range(4)]], schema=ROWS
     )
     if not len(words):
         return
     coded = words.dictionary_encode()
-    key = coded.indices.to_numpy().astype(np.int64) * SHARD_DOCS + np.repeat(np.arange(len(ids)), sizes)
+    key = coded.indices.to_numpy().astype(np.int64) * SHARD_DOCS + owner
     key, freq = np.unique(key, return_counts=True)
     term, doc = key // SHARD_DOCS, key % SHARD_DOCS
     first = np.nonzero(np.diff(term, prepend=-1))[0]
@@ -131,12 +137,32 @@ def _bucket(term: str):
     return F.when(F.col(term).isNull(), -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS))).cast("int")
 
 
+def _files(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
+    """Places, sizes and times of files as they are now."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for f in sorted(files):
+        at = jvm.org.apache.hadoop.fs.Path(f)
+        s = at.getFileSystem(conf).getFileStatus(at)
+        out.append((f, s.getLen(), s.getModificationTime()))
+    return out
+
+
+def _spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt to all cores where its files are too small to be read by all of them."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = sum(n for _, n, _ in _files(spark, docs.inputFiles()))
+    few = size < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return docs.repartition(cores) if few else docs
+
+
 def build(docs: DataFrame, path: str) -> TextIndex:
     """Writes an index of ``docs`` (id, text). Rows without an id take no part; each other row is a document.
 
     A folder's rows are dealt to tasks by groups of shards, so that no task writes all rows of a common word.
     """
-    own = docs.where("id is not null").select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t"))
+    own = _spread(docs.where("id is not null")).select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t"))
     rows = own.mapInArrow(_shards, STORED).withColumn("bucket", _bucket("term"))
     # Sorted, so that the statistics of a file's parts tell which words they have.
     rows.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(LANES))).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/rows")
@@ -145,17 +171,6 @@ def build(docs: DataFrame, path: str) -> TextIndex:
     return index
 
 
-def _state(spark: SparkSession, files: list[str]) -> str:
-    """What the files of a table are now: their places, sizes and times."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = []
-    for f in sorted(files):
-        at = jvm.org.apache.hadoop.fs.Path(f)
-        s = at.getFileSystem(conf).getFileStatus(at)
-        out.append(f"{f} {s.getLen()} {s.getModificationTime()}")
-    return "\n".join(out)
-
-
 def kept(docs: DataFrame, name: str) -> TextIndex:
     """The index of ``docs`` (id, text) that is kept under ``spark.checkpoint.dir``; it is written where there is none.
 
@@ -163,7 +178,7 @@ def kept(docs: DataFrame, name: str) -> TextIndex:
     one of them makes another index. A new one is written aside and then renamed, so that an index is whole or absent.
     """
     spark = docs.sparkSession
-    key = hashlib.sha256(f"{VERSION} {name}\n{_state(spark, docs.inputFiles())}".encode()).hexdigest()[:24]
+    key = hashlib.sha256(f"{VERSION} {name} {_files(spark, docs.inputFiles())}".encode()).hexdigest()[:24]
     aside = shared_dir(spark, "index-parts")
     path = f"{aside.rsplit('/', 1)[0]}/text-index-{key}"
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
