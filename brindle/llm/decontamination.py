@@ -36,7 +36,8 @@ PLACES = 12
 RUN = 12
 BLOCK_ITEMS = 20_000
 SEED = 11
-#: Bytes of a shared run that counts; diagonals that count together; the part of an item (and the bytes at least) that
+#: Bytes of a shared run that counts; diagonals that count together at least (an item's allowed edits, where these are
+#: more); the part of an item (and the bytes at least) that
 #: runs must cover.
 GRAM = 8
 DRIFT = 24
@@ -149,10 +150,11 @@ class Grams:
     item: np.ndarray
     inside: np.ndarray
     cover: np.ndarray
+    drift: np.ndarray
     mask: np.ndarray
 
     @staticmethod
-    def of(items: list[tuple[int | None, bytes]], own: list[int], size: int, cover: list[int]) -> Grams:
+    def of(items: list[tuple[int | None, bytes]], own: list[int], size: int, cover: list[int], max_rate: float) -> Grams:
         whole, data, offsets = padded([items[i][1] for i in own])
         at = np.concatenate([np.arange(lo, hi - size + 1) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)])
         found = _gram_hashes(whole, size)[at + PAD]
@@ -163,7 +165,9 @@ class Grams:
         mask[hashes >> _U(42)] = True
         wanted = np.zeros(len(items), dtype=np.int64)
         wanted[own] = cover
-        return Grams(size, hashes, np.append(begin, len(at)), np.array(own)[owner], at[order] - offsets[owner], wanted, mask)
+        # Edits of one kind move the diagonal by as many bytes as there are edits.
+        drift = np.array([max(DRIFT, int(len(t) * max_rate)) for _, t in items], dtype=np.int64)
+        return Grams(size, hashes, np.append(begin, len(at)), np.array(own)[owner], at[order] - offsets[owner], wanted, drift, mask)
 
     def places(self, whole: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, start) where runs cover enough of the item on diagonals near each other."""
@@ -191,14 +195,14 @@ class Grams:
         # Rows of a text and item side by side, by diagonal and (as the sort is stable) place.
         diagonal = pos - self.inside[places]
         low, first = int(diagonal.min()), int(doc[0])
-        lane = (item * (int(doc[-1]) - first + 1) + doc - first) * (int(diagonal.max()) - low + DRIFT + 1) + diagonal - low
+        lane = (item * (int(doc[-1]) - first + 1) + doc - first) * (int(diagonal.max()) - low + int(self.drift.max()) + 1) + diagonal - low
         order = np.argsort(lane, kind="stable")
         item, doc, diagonal, pos, lane = item[order], doc[order], diagonal[order], pos[order], lane[order]
         gap = np.full(len(pos), self.size)
         more = np.flatnonzero(lane[1:] == lane[:-1])
         gap[more + 1] = np.minimum(self.size, pos[more + 1] - pos[more])
         covered = np.concatenate([[0], np.cumsum(gap)])
-        end = np.searchsorted(lane, lane + DRIFT, side="right")
+        end = np.searchsorted(lane, lane + self.drift[item], side="right")
         # The first row of a diagonal counts all that later ones do. As a text may repeat a part of the item on several
         # diagonals, the item's bytes are then counted once each.
         first_of = np.append(True, lane[1:] != lane[:-1])
@@ -261,14 +265,14 @@ def build_index(items: list[tuple[int | None, bytes]], run: int = RUN, max_rate:
     inside, size = at - offsets[owner], np.diff(offsets)[owner]
     long = [i for i, (_, t) in enumerate(items) if len(t) >= SHORT]
     if long:
-        index.grams.append(Grams.of(items, long, GRAM, [max(COVER_LEAST, int(len(items[i][1]) * COVER)) for i in long]))
+        index.grams.append(Grams.of(items, long, GRAM, [max(COVER_LEAST, int(len(items[i][1]) * COVER)) for i in long], max_rate))
     # Of the e + 1 equal parts of an item, e edits leave one whole: any run of its length is enough.
     short: dict[int, list[int]] = defaultdict(list)
     for i, (_, t) in enumerate(items):
         if len(t) < SHORT:
             short[min(GRAM, len(t) // (int(len(t) * max_rate) + 1))].append(i)
     for width, own in short.items():
-        index.grams.append(Grams.of(items, own, width, [width] * len(own)))
+        index.grams.append(Grams.of(items, own, width, [width] * len(own), max_rate))
     for walk in range(len(keys.bits)):
         # A window must lie in the item; where neither side has the room, both are kept.
         need = reach(walk, keys)

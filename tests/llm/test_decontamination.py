@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from brindle.llm.decontamination import build_index, contaminated, edit_distance_within, normal, search, without_contaminated
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
@@ -11,11 +13,11 @@ def words(rng, n):
     return ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(n)]
 
 
-def edited(rng, text, edits):
+def edited(rng, text, edits, kinds=(0, 1, 2)):
     out = list(text)
     for _ in range(edits):
         p = rng.randrange(len(out))
-        kind = rng.randrange(3)
+        kind = rng.choice(kinds)
         if kind == 0:
             out[p] = rng.choice("xyz")
         elif kind == 1:
@@ -84,6 +86,19 @@ def test_recall_up_to_the_allowed_edits():
         assert all(edit_distance_within(items[i][1], docs[d])[0] <= int(len(items[i][1]) * 0.2) for d, i in found)
 
 
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,)], ids=["substitutions", "insertions", "deletions"])
+@pytest.mark.parametrize("size", [100, 200, 400, 1000, 2000])
+def test_recall_for_edits_of_one_kind(kinds, size):
+    rng = random.Random(size)
+    items = [(i, normal(" ".join(words(rng, size // 5))[:size].encode())) for i in range(40)]
+    index = build_index(items)
+    for rate in (0.05, 0.1, 0.15, 0.19):
+        docs = [normal(" ".join([*words(rng, 40), edited(rng, t.decode(), int(len(t) * rate), kinds), *words(rng, 40)]).encode()) for _, t in items]
+        within = {d for d, (_, t) in enumerate(items) if edit_distance_within(t, docs[d])[0] <= int(len(t) * 0.2)}
+        found = {(d, i) for d, i, _ in search(docs, index)}
+        assert len(within) > 30 and sum((d, d) in found for d in within) >= 0.9 * len(within), (rate, sum((d, d) in found for d in within), len(within))
+
+
 def test_short_items_are_all_found():
     rng = random.Random(4)
     sizes = [1, 3, 5, 9, 12, 16, 20, 25, 30, 40, 50, 60, 70, 79] * 4

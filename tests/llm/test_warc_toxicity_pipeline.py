@@ -138,6 +138,10 @@ def test_training_rows_are_bounded_and_told_by_rule(spark):
     assert set(own) == {d for d in [*range(60), 61] if zlib.crc32(str(d).encode()) % 5}
     some = training_rows(docs, labels, most_bytes=200).collect()
     assert all(0 < sum(len(r.text or b"") for r in some if r.toxic == y) <= 200 for y in (0, 1)) and {r.doc_id for r in some} < set(own)
+    assert all(len(r.text or b"") <= 25 for r in some)
+    long = docs.unionByName(spark.createDataFrame([(100 + i, "long " * 200) for i in range(40)], docs.schema))
+    more = training_rows(long, labels.unionByName(spark.createDataFrame([(100 + i, i % 2) for i in range(40)], labels.schema)), most_bytes=200).collect()
+    assert sorted(more) == sorted(some)  # texts that cannot fit take no place and end no class
     assert training_rows(docs.limit(0), labels).count() == 0 and training_rows(docs, labels.limit(0)).count() == 0
 
 
