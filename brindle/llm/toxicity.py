@@ -189,15 +189,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mo
     """(doc_id, text, toxic) of the bounded sample, whole texts. Ids whose CRC-32 is 0 modulo 5 are held out and never read.
 
     An id labelled more than once counts as toxic if any label says so, and of several texts of one id the least one
-    is taken. Labelled ids without a document take a place of the sample and give nothing. In the order of hashed ids
-    a class ends before the first text that does not fit ``most_bytes`` any more.
+    is taken. Labelled ids without a document take no place of the sample. A text of more than an eighth of ``most_bytes``
+    is left out, so that no single text fills a class; in the order of hashed ids a class then ends before the first
+    text that does not fit ``most_bytes`` any more.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(crc32_text(F.col("doc_id").cast("string")) % 5 != 0)
+    fits = F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 8
+    known = known.join(docs.where(fits).select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.where("toxic = 1").orderBy(*order).limit(rows).unionByName(known.where("toxic = 0").orderBy(*order).limit(rows))
     # At most 2 * rows ids, so the sample may be broadcast, and the window below has that many rows.
-    own = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    own = docs.where(fits).select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
     own = own.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("toxic").orderBy(*order))
     return own.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "text", "toxic")
