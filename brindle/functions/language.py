@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,20 @@ ENTITY_STOP = (
 MODEL_CODE = r"\b[A-Z]{1,4}-?\d{1,4}(?:[-/]\d{1,4})*\b"
 CAPITALISED = r"\b[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|the))*(?=\b)"
 #: Greetings that need no retrieval.
-GREETINGS = ("hi", "hello", "hey", "thanks", "thank you", "good morning", "good evening", "bonjour", "hola", "hallo", "merci", "gracias", "danke")
+GREETINGS = (
+    "hi", "hello", "hey", "thanks", "thank you", "thanks a lot", "bye", "goodbye", "good morning", "good afternoon", "good evening", "ok", "okay", "cool", "great",
+)
+GREETING_CHARS, GREETING_WORDS = 40, 4
+
+
+def _compatible() -> tuple[str, str]:
+    """Signs whose compatible form (NFKC) is one other letter, and these letters, from the Unicode tables."""
+    forms = [(c, unicodedata.normalize("NFKC", c)) for c in map(chr, range(0xA0, 0x1F200)) if not 0xD800 <= ord(c) < 0xE000]
+    kept = [(c, f) for c, f in forms if f != c and len(f) == 1 and f.isascii() and f.isalpha()]
+    return "".join(c for c, _ in kept), "".join(f for _, f in kept)
+
+
+_FORMS, _LETTERS = _compatible()
 
 
 def sentences(text: Column) -> Column:
@@ -61,10 +76,15 @@ def names_subject(message: Column) -> Column:
     return (F.size(named_entities(message)) > 0) | F.coalesce(~last.isin(stop), F.lit(False))
 
 
+def greeting(message: Column) -> Column:
+    """The greeting that a short message is, or null. Signs in compatible forms count as the letters they stand for; what
+    is no letter parts words, so that letters with dashes between them do not join to a greeting."""
+    bare = F.regexp_replace(F.lower(F.translate(message, _FORMS, _LETTERS)), r"[^\p{L}]+", " ")
+    return F.when((F.length(message) <= GREETING_CHARS) & F.btrim(bare).isin(*GREETINGS), F.btrim(bare))
+
+
 def is_greeting(message: Column) -> Column:
-    """Short messages that are a greeting once folded and freed of marks."""
-    bare = collapsed(F.regexp_replace(folded(message), r"[^\p{L}\p{N}\s]", ""))
-    return (F.length(message) <= 40) & (F.size(F.split(bare, " ")) <= 4) & bare.isin(*GREETINGS)
+    return F.coalesce(greeting(message).isNotNull(), F.lit(False))
 
 
 def contains_sequence(text_tokens: Column, wanted: Column) -> Column:
@@ -160,9 +180,19 @@ def variants(reply: Column, most: int = 3) -> Column:
 
 
 def first_json(reply: Column, schema: str) -> Column:
-    """The first object in a reply that is fenced or has prose around it, read field by field; null where none can be read."""
-    bare = F.regexp_replace(reply, r"(?s)```(?:json)?", "")
-    return F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), schema)
+    """The first object that can be read anywhere in a reply, field by field; null where there is none.
+
+    Each opening brace is tried in turn until an object can be read from there; what stands behind it does not matter. A
+    field that is missing, or of another kind than ``schema`` says, is null and spoils no other.
+    """
+
+    def of(parts: Column) -> Column:
+        rest = lambda k: F.concat(F.lit("{"), F.array_join(F.slice(parts, k, F.size(parts)), "{"))
+        reads = lambda k: F.from_json(rest(k), "map<string,string>").isNotNull()
+        at = F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), F.lit(0), lambda found, k: F.when(found > 0, found).when((k <= F.size(parts)) & reads(k), k).otherwise(0))
+        return F.element_at(F.transform(F.array(at), lambda k: F.when(k > 0, F.from_json(rest(k), schema))), 1)
+
+    return F.element_at(F.transform(F.array(F.split(reply, r"\{")), of), 1)
 
 
 #: Wordings that claim that something is absent.

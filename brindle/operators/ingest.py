@@ -94,15 +94,19 @@ def count_tokens(text: str) -> int:
 def _headed(lines: Column) -> Column:
     """Of an array of lines, those that are headings: (at, level, title), level 0 for a plain line that stands for one."""
     blank = lambda c: F.coalesce(F.btrim(c) == "", F.lit(True))
-    first = F.coalesce(F.array_min(F.filter(F.transform(lines, lambda y, i: F.when(F.btrim(y) != "", i)), lambda i: i.isNotNull())), F.lit(0))
+    first = F.coalesce(F.array_position(F.transform(lines, lambda y: F.btrim(y) != ""), True) - 1, F.lit(0))
 
-    def of(y: Column, i: Column) -> Column:
-        mark = F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 1)
-        plain = promoted_heading(y, (i == 0) | blank(F.get(lines, i - 1)), blank(F.get(lines, i + 1)), i <= first)
-        title = F.when(mark != "", F.btrim(F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 2))).otherwise(plain)
-        return F.struct(i.alias("at"), F.length(mark).alias("level"), title.alias("title"))
+    def found(first: Column) -> Column:
+        def of(y: Column, i: Column) -> Column:
+            mark = F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 1)
+            plain = promoted_heading(y, (i == 0) | blank(F.get(lines, i - 1)), blank(F.get(lines, i + 1)), i <= first)
+            title = F.when(mark != "", F.btrim(F.regexp_extract(y, r"^(#{1,6})\s+(.+?)\s*#*\s*$", 2))).otherwise(plain)
+            return F.struct(i.alias("at"), F.length(mark).alias("level"), title.alias("title"))
 
-    return F.filter(F.transform(lines, of), lambda h: h["title"].isNotNull())
+        return F.filter(F.transform(lines, of), lambda h: h["title"].isNotNull())
+
+    # The place of the first line with content is worked out once a text, not once a line.
+    return F.element_at(F.transform(F.array(first), found), 1)
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -112,24 +116,34 @@ def headings(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("h.at").alias("line_no"), F.col("h.title").alias("heading"))
 
 
-def heading_path(heads: Column, k: Column) -> Column:
-    """The path of the k-th heading (from 1): a heading of level n stands behind the first n - 1 parts of the path before it."""
+def heading_paths(heads: Column) -> Column:
+    """The path before each heading and behind the last: a heading of level n stands behind the first n - 1 parts of the path before it.
+
+    Paths at every sqrt(n)-th heading come first, and those between go on from there, so n headings cost n^1.5 steps.
+    """
     none = F.array().cast("array<string>")
     below = lambda a, h: F.concat(F.slice(a, F.lit(1), F.least(F.size(a), F.greatest(h["level"] - 1, F.lit(0)))), F.array(h["title"]))
-    return F.array_join(F.aggregate(F.slice(heads, F.lit(1), k), none, below), " > ")
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(heads))).cast("int"))
+
+    def of(w: Column) -> Column:
+        marks = F.transform(F.sequence(F.lit(0), F.size(heads), w), lambda s: F.aggregate(F.slice(heads, F.lit(1), s), none, below))
+        path = lambda marks: F.transform(F.sequence(F.lit(0), F.size(heads)), lambda k: F.array_join(F.aggregate(F.slice(heads, k - k % w + 1, k % w), F.get(marks, (k / w).cast("int")), below), " > "))
+        return F.element_at(F.transform(F.array(marks), path), 1)
+
+    return F.element_at(F.transform(F.array(width), of), 1)
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """(doc_id, sections): the bodies under the headings of each text, in order: (path, paragraphs: (text, sentences))."""
     lines = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("x"))
-    heads = lines.select("doc_id", "x", _headed(F.col("x")).alias("h"))
+    heads = lines.select("doc_id", "x", _headed(F.col("x")).alias("h")).withColumn("paths", heading_paths(F.col("h")))
 
     def section(k: Column) -> Column:
         start = F.when(k == 0, 0).otherwise(F.get("h", k - 1)["at"] + 1)
         end = F.coalesce(F.get("h", k)["at"], F.size("x"))
         body = escape_source_tags(F.array_join(F.slice("x", start + 1, end - start), "\n"))
         parts = F.transform(paragraphs(body), lambda p: F.struct(p.alias("text"), sentences(p).alias("sentences")))
-        return F.struct(heading_path(F.col("h"), k).alias("path"), parts.alias("paragraphs"))
+        return F.struct(F.get("paths", k).alias("path"), parts.alias("paragraphs"))
 
     whole = F.transform(F.sequence(F.lit(0), F.size("h")), section)
     return heads.select("doc_id", F.filter(whole, lambda s: F.size(s["paragraphs"]) > 0).alias("sections"))

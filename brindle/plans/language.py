@@ -80,9 +80,11 @@ def x25(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.absence_claim(F.coalesce("text", F.lit(""))).alias("absent"))
 
 
-@query("X26_first_json", "SELECT event_id, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+@query("X26_first_json", "SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN (props::JSON ->> '$.k')::BIGINT END AS k FROM events")
 def x26(spark, sf_dir):
-    reply = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    """Replies with braces in the prose before an object, an object behind it, and every seventh without any."""
+    broken = F.col("event_id") % 7 == 3
+    reply = F.concat(F.lit('As {asked}, see {"k": } or {k}:\n```json\n'), F.when(broken, F.replace("props", F.lit("}"), F.lit(""))).otherwise(F.col("props")), F.lit('\n```\nDone'), F.when(broken, F.lit(".")).otherwise(F.lit(' {"k": -1}.')))
     return table(spark, sf_dir, "events").select("event_id", L.first_json(reply, "k long")["k"].alias("k"))
 
 
@@ -106,10 +108,17 @@ def f29(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", L.names_subject(message).alias("named"))
 
 
-@query("X29_greetings", "SELECT c_custkey, c_nationkey % 3 <> 2 AS greeting FROM customer")
+_GREETINGS = "[" + ", ".join(f"'{g}'" for g in L.GREETINGS) + "]"
+
+
+@query("X29_greetings", f"""WITH m AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN '  ' || upper({_GREETINGS}[conv_id % {len(L.GREETINGS)} + 1]) || '!! ' ELSE {_GREETINGS}[conv_id % {len(L.GREETINGS)} + 1] || ' ' || split_part(text, ' ', 1) END AS t FROM conversations),
+b AS (SELECT *, trim(regexp_replace(lower(t), '[^\\p{{L}}]+', ' ', 'g')) AS bare FROM m)
+SELECT conv_id, turn, role, CASE WHEN length(t) <= 40 AND list_contains({_GREETINGS}, bare) THEN bare END AS greeting FROM b""")
 def x29(spark, sf_dir):
-    message = F.when(F.col("c_nationkey") % 3 == 0, "  Héllo!! ").when(F.col("c_nationkey") % 3 == 1, "Good   Morning").otherwise("hello, what is the price?")
-    return table(spark, sf_dir, "customer").select("c_custkey", L.is_greeting(message).alias("greeting"))
+    """Turns, greetings in capitals with marks around them, and greetings with the first word of a turn."""
+    known = F.get(F.array(*[F.lit(g) for g in L.GREETINGS]), F.col("conv_id") % len(L.GREETINGS))
+    message = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("  "), F.upper(known), F.lit("!! "))).otherwise(F.concat(known, F.lit(" "), F.split_part("text", F.lit(" "), F.lit(1))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", L.greeting(message).alias("greeting"))
 
 
 @query("X31_query_variants", "SELECT p_partkey, p_name || ' price|cost of ' || p_name AS variants FROM part")

@@ -25,7 +25,11 @@ def test_sentences_and_names(spark):
     assert got == [["He is Mr. Fox.", "\"Yes!\"", "3.14 is it?", "东京。", "大阪！", "end"], [], ["one"], ["A.B.", "c.", "d"]]
     names = values(spark, L.named_entities, ["Kestrel or AW-2000, said Ann Lee of Kestrel?", "What is the Ridgeline?", "none here", "Tell me What this is"])
     assert names == [["AW-2000", "Ann Lee", "Kestrel"], ["Ridgeline"], [], []]
+    assert values(spark, L.greeting, ["Thanks a LOT!", "ｈｅｌｌｏ", "𝓱𝓲", "g-o-o-d morning", "héllo", "okay...", "hi there", "good\u200bmorning", "hey" + " " * 40, None, "good afternoon", "h\u00e9y"]) == ["thanks a lot", "hello", "hi", None, None, "okay", None, "good morning", None, None, "good afternoon", None]
     assert values(spark, L.is_greeting, ["Hi!", "hello there", "THANK YOU", "hi " * 30]) == [True, False, True, False]
+    replies = ['use {braces} so: {"k": 1}', '{"k": "no", "j": 2} {"k": 3}', "{ { {", 'x {"a": {"k": 9}, "k": 4} y }', '["k", {"k": 5}]', '{"k": "with { in it", "j": 7}', "", None, '{"k": 1', '{} {"k": 6}']
+    assert values(spark, lambda x: L.first_json(x, "k int, j int")["k"], replies) == [1, None, None, 4, 5, None, None, None, None, None]
+    assert values(spark, lambda x: L.first_json(x, "k int, j int")["j"], replies)[1] == 2
 
 
 def test_languages(spark):
