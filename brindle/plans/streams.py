@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from brindle.operators.tables import shared_dir
 from brindle.plans.registry import query, table
-from brindle.streaming import runs
+from brindle.streaming import runs, settled
 
 
-def _drained(spark, sf_dir, build, mode):
+def _drained(spark, sf_dir, build, mode, rocksdb=False):
     events = table(spark, sf_dir, "events")
     log = runs.log_stream(spark, f"{sf_dir}/events.parquet*", events.schema)
     result = build(log)
     out = shared_dir(spark, "sink")
-    runs.drain(result, out, shared_dir(spark, "stream"), mode)
+    runs.drain(result, out, shared_dir(spark, "stream"), mode, rocksdb)
     return out, result.schema
 
 
@@ -24,7 +24,45 @@ def k14_stream(spark, sf_dir):
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-@query("K1_stream_sequence", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+_SEQ = "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events"
+#: Runs with gaps, and the time that the stream's watermark ends at. What is not over by then is no row of a stream.
+_RUNS = """WITH l AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM l),
+r AS (SELECT user_id, epoch_us(min(ts)) AS started, count(*) AS n, max(ts) AS last, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status,
+  coalesce(sum(round(value::DECIMAL(20, 2) * 100)) FILTER (WHERE event_type = 'click'), 0)::BIGINT AS cents FROM s GROUP BY user_id, run),
+f AS (SELECT * FROM r WHERE last + INTERVAL 6 HOURS < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES)"""
+
+
+@query("K1_stream_sequence", _SEQ)
 def k1_stream(spark, sf_dir):
-    out, schema = _drained(spark, sf_dir, runs.numbered, "append")
+    """Numbers come from the stream for what its watermark has passed, and are counted on for the last minutes."""
+    out, schema = _drained(spark, sf_dir, lambda log: settled.processed(log, settled.Sequence()), "append", rocksdb=True)
+    return settled.with_tail(spark.read.schema(schema).parquet(out), table(spark, sf_dir, "events"))
+
+
+def _runs(spark, sf_dir):
+    out, schema = _drained(spark, sf_dir, lambda log: settled.processed(log, settled.Runs(6 * 3600 * 1000)), "append", rocksdb=True)
+    return spark.read.schema(schema).parquet(out)
+
+
+@query("K6_stream_stale_runs", f"{_RUNS} SELECT user_id, started, n FROM f WHERE status = 'failed'")
+def k6_stream(spark, sf_dir):
+    return _runs(spark, sf_dir).where("status = 'failed'").select("user_id", "started", "n")
+
+
+@query("K10_stream_orphan_settlement", f"{_RUNS} SELECT user_id, started, cents AS released FROM f WHERE status = 'failed' AND cents > 0")
+def k10_stream(spark, sf_dir):
+    return _runs(spark, sf_dir).where("released > 0").select("user_id", "started", "released")
+
+
+@query("K4_stream_coalesced", """SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, string_agg(event_type, '' ORDER BY ts, event_id) AS deltas FROM events
+GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts) HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def k4_stream(spark, sf_dir):
+    out, schema = _drained(spark, sf_dir, settled.coalesced, "append")
+    return spark.read.schema(schema).parquet(out).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "deltas")
+
+
+@query("J8_stream_clicks_to_purchases", "SELECT a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b USING (user_id) WHERE a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR")
+def j8_stream(spark, sf_dir):
+    out, schema = _drained(spark, sf_dir, lambda log: settled.followed(log, "click", "purchase"), "append")
     return spark.read.schema(schema).parquet(out)

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Event time is the row's own time; rows later than this are left to the batch twin.
 WATERMARK = "10 minutes"
@@ -28,53 +24,31 @@ def signal_counts(log: DataFrame, width: str = "5 minutes") -> DataFrame:
     return source.groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
 
 
-def numbered(log: DataFrame) -> DataFrame:
-    """Each row of a run with the next number of that run, as it arrives; the state is the last number given, for ever.
-
-    Within a trigger a run's rows are numbered by time; a row that comes in a later trigger is numbered after them.
-
-    Frames are only parts of a run's rows, of at most ``spark.sql.execution.arrow.maxRecordsPerBatch`` each, so they
-    are put together before the sort: a task holds what one run has in a trigger.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        rows["seq"] = range(last + 1, last + 1 + len(rows))
-        state.update((last + len(rows),))
-        yield rows[["event_id", "user_id", "seq"]]
-
-    return log.select("event_id", "user_id", "ts").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, seq long", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def stale_runs(log: DataFrame, idle_ms: int = 60_000, terminal: tuple[str, ...] = ("purchase",)) -> DataFrame:
-    """Runs that fell silent for ``idle_ms`` of processing time before a terminal event."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            ended = state.get[0]
-            state.remove()
-            if not ended:
-                yield pd.DataFrame({"user_id": [key[0]], "state": ["failed"]})
-            return
-        ended = state.get[0] if state.exists else False
-        for frame in frames:
-            ended = ended or bool(frame["event_type"].isin(terminal).any())
-        state.update((ended,))
-        state.setTimeoutDuration(idle_ms)
 
-    return log.select("user_id", "event_type").groupBy("user_id").applyInPandasWithState(step, "user_id long, state string", "ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", rocksdb: bool = False) -> list[dict]:
+    """Runs a stream over what is there and stops; gives the state operators' last progress.
 
-
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Runs a stream over what is there and stops. In update mode each trigger adds its rows with its number, ``trigger``."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
-    if mode == "update":
-        # A trigger that runs again replaces what it wrote before.
-        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/trigger={n}")).start()
-    else:
-        query = writer.format("parquet").option("path", out).start()
-    query.awaitTermination()
+    In update mode each trigger adds its rows with its number, ``trigger``. Processors with timers need ``rocksdb``.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    if rocksdb:
+        spark.conf.set(STORE, ROCKSDB)
+    try:
+        writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+        if mode == "update":
+            # A trigger that runs again replaces what it wrote before.
+            query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/trigger={n}")).start()
+        else:
+            query = writer.format("parquet").option("path", out).start()
+        query.awaitTermination()
+    finally:
+        if rocksdb:
+            spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+    return [dict(o) for o in (query.lastProgress or {}).get("stateOperators", [])]
 
 
 def latest(spark: SparkSession, out: str, schema, keys: list[str], value: str) -> DataFrame:

@@ -259,18 +259,19 @@ def test_equal_texts_are_embedded_once_and_alike(spark):
 
 
 def test_stream_numbers_follow_time_beyond_a_frame(spark, tmp_path):
-    from brindle.streaming import runs
+    from brindle.streaming import runs, settled
 
     rows = [(i, 1 if i % 4 else 2, f"2024-01-01 00:{(i * 37) % 60:02d}:00") for i in range(200)]
-    log = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts")
+    log = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts AS timestamp) AS ts", "'view' AS event_type", "1D AS value")
     log.coalesce(1).write.parquet(f"{tmp_path}/log")
     kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
     try:
-        runs.drain(runs.numbered(runs.log_stream(spark, f"{tmp_path}/log", log.schema)), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+        stream = settled.processed(runs.log_stream(spark, f"{tmp_path}/log", log.schema), settled.Sequence())
+        runs.drain(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", rocksdb=True)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
-    got = {(r.user_id, r.seq): r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    got = {(r.user_id, r.seq): r.event_id for r in settled.with_tail(spark.read.schema(stream.schema).parquet(f"{tmp_path}/out"), log).collect()}
     want = {}
     for user in (1, 2):
         own = sorted((ts, i) for i, u, ts in rows if u == user)
