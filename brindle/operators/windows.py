@@ -68,36 +68,6 @@ def rate_limited(df: DataFrame, key: str, at: str, tie: str, limit: int, seconds
     return df.select(key, at, tie).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(scan, schema + ", accepted boolean")
 
 
-def circuit_states(df: DataFrame, key: str, at: str, tie: str, failed: Column, threshold: int, cooldown: float) -> DataFrame:
-    """``df`` (key, at, tie) with ``state`` before each row: closed, open or half_open.
-
-    ``threshold`` failures in a row open the circuit; after ``cooldown`` seconds one trial decides. Rows that meet an open
-    circuit are not tried.
-    """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, failures, opened = object(), 0, None
-        for frame in frames:
-            states = []
-            for k, t, bad in zip(frame[key], frame[at], frame["_failed"], strict=True):
-                if k != current:
-                    current, failures, opened = k, 0, None
-                state = "closed" if opened is None else ("half_open" if (t - opened).total_seconds() >= cooldown else "open")
-                states.append(state)
-                if state == "open":
-                    continue
-                failures = failures + 1 if bad else 0
-                if failures >= threshold or (state == "half_open" and bad):
-                    opened = t
-                elif not bad:
-                    opened = None
-            yield frame.drop(columns="_failed").assign(state=states)
-
-    own = df.select(key, at, tie, failed.alias("_failed"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, at, tie).schema)
-    return own.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(scan, schema + ", state string")
-
-
 def longest_gaps(rows: DataFrame, key: str, at: str, tie: str, kind: str, first: str, opens: str) -> DataFrame:
     """(key, before, after): the longest silence in microseconds up to and from a key's first row of kind ``first``.
 
@@ -117,27 +87,3 @@ def span_residuals(spans: DataFrame, rows: DataFrame, key: str, at: str) -> Data
     own = spans.where("ended >= started").groupBy(key).agg(F.sum(F.expr("timestampdiff(MICROSECOND, started, ended)")).alias("attributed"))
     out = whole.join(own, key, "left").withColumn("attributed", F.coalesce("attributed", F.lit(0)))
     return out.withColumn("residual", F.greatest(F.col("total") - F.col("attributed"), F.lit(0)))
-
-
-def packed_batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """``rows`` (key, order, size) with ``batch`` from 0: rows go into a batch in order as long as they fit the budget.
-
-    Where a batch ends depends on where it began, so a key's rows stream in order through one task, which holds a sum.
-    """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, batch, used = object(), 0, 0
-        for frame in frames:
-            out = []
-            for k, n in zip(frame[key], frame[size], strict=True):
-                if k != current:
-                    current, batch, used = k, 0, 0
-                if used and used + n > budget:
-                    batch, used = batch + 1, 0
-                used += n
-                out.append(batch)
-            yield frame.assign(batch=out)
-
-    own = rows.select(key, order, size)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
-    return own.repartition(key).sortWithinPartitions(key, order).mapInPandas(scan, schema + ", batch int")

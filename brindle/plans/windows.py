@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.operators import chains as C
 from brindle.operators import windows as W
 from brindle.plans.registry import query, table
 
@@ -179,7 +180,7 @@ SELECT l_orderkey, n, batch FROM p""")
 def w20(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.col("l_quantity").cast("int").alias("q"))
-    return W.packed_batches(rows, "l_orderkey", "n", "q", 60).select("l_orderkey", "n", "batch")
+    return C.packed_batches(rows, "l_orderkey", "n", "q", 60).select("l_orderkey", "n", "batch")
 
 
 _LIMITED = """WITH RECURSIVE r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -204,7 +205,7 @@ FROM (SELECT r.event_id, r.user_id, r.ts, r.n, r.bad, s.failures, s.opened, CASE
 
 @query("W9_circuit_breaker", f"{_BREAKER} SELECT event_id, user_id, state FROM s")
 def w9(spark, sf_dir):
-    out = W.circuit_states(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 3600 * 24)
+    out = C.circuit_states(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("event_type") == "error", 2, 3600 * 24)
     return out.select("event_id", "user_id", "state")
 
 

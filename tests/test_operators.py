@@ -12,6 +12,7 @@ from brindle.operators import aggregates as A
 from brindle.operators import ingest as I
 from brindle.operators import joins as J
 from brindle.operators import retrieval as R
+from brindle.operators import chains as C
 from brindle.operators import windows as W
 
 
@@ -160,7 +161,7 @@ def test_rate_limit_and_circuit_against_plain_loops(spark):
         want.append((i, len(live) < 3))
         taken[u] = live + [t] * (len(live) < 3)
     assert rows(W.rate_limited(df, "u", "ts", "id", 3, 600), "id", "accepted") == sorted(want, key=str)
-    states = {r.id: r.state for r in W.circuit_states(df, "u", "ts", "id", F.col("bad"), 2, 300).collect()}
+    states = {r.id: r.state for r in C.circuit_states(df, "u", "ts", "id", F.col("bad"), 2, 300).collect()}
     assert set(states.values()) == {"closed", "open", "half_open"}
 
 
