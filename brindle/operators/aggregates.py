@@ -101,3 +101,16 @@ def calibration(rows: DataFrame, key: str, grade: str, tie: str, entity: Column,
     return rows.withColumn("_n", n).groupBy(key).agg(
         F.max(grade).alias("top"), F.avg(F.when(F.col("_n") <= 3, F.col(grade))).alias("mean_top"), F.max(F.when(entity, F.col(grade))).alias("entity_max"), F.array_sort(F.collect_set(kind)).alias("kinds")
     )
+
+
+def call_key(call: Column, run: Column, seq: Column) -> Column:
+    """The id of a call, or one made of its run and place where it has none or an empty one."""
+    return F.coalesce(F.nullif(call, F.lit("")), F.concat_ws(":", run.cast("string"), seq.cast("string")))
+
+
+def family(kind: Column, names: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first prefix that a kind begins with, in the given order; else the kind itself."""
+    out = F.when(F.lit(False), F.lit(""))
+    for prefix, name in names:
+        out = out.when(kind.startswith(prefix), name)
+    return out.otherwise(kind)

@@ -190,6 +190,18 @@ def expand(chunks: DataFrame, section: str, limit: int = 1200) -> DataFrame:
     return out.select(section, "ord", F.coalesce("whole", "nearby").alias("context"))
 
 
+def neighbours(rows: DataFrame, section: str, ord: str, reach: int = 1) -> DataFrame:
+    """(section, ord, near): the places of a section within ``reach`` of each place, itself included, by an equi-join."""
+    asked = rows.select(section, ord, F.explode(F.sequence(F.col(ord) - reach, F.col(ord) + reach)).alias("near"))
+    return asked.join(rows.select(section, F.col(ord).alias("near")), [section, "near"])
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors of one width; null where one has length 0."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
 def within_budget(rows: DataFrame, budget: int, keys: list[str], rank: str = "rank", tokens_col: str = "tokens") -> DataFrame:
     """The leading rows of each ranking whose tokens fit the budget together; the first that does not fit ends it.
 

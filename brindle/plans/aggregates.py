@@ -18,7 +18,7 @@ def a1(spark, sf_dir):
 @query("A2_two_level_latency", """WITH c AS (SELECT event_type, user_id, coalesce(nullif(json_extract_string(props, '$.k'), '0'), 'id:' || event_id) AS call, max(value) AS v, bool_or(value > 100) AS slow FROM events GROUP BY ALL)
 SELECT event_type, count(*) AS calls, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.5) FILTER (WHERE slow), 6) AS p50_slow FROM c GROUP BY event_type""")
 def a2(spark, sf_dir):
-    key = F.coalesce(F.nullif(F.get_json_object("props", "$.k"), F.lit("0")), F.concat(F.lit("id:"), F.col("event_id").cast("string")))
+    key = A.call_key(F.nullif(F.get_json_object("props", "$.k"), F.lit("0")), F.lit("id"), F.col("event_id"))
     calls = table(spark, sf_dir, "events").groupBy("event_type", "user_id", key.alias("call")).agg(F.max("value").alias("v"), F.bool_or(F.col("value") > 100).alias("slow"))
     return calls.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("calls"), F.round(percentile_cont("v", 0.5), 6).alias("p50"), F.round(percentile_cont("v", 0.95), 6).alias("p95"), F.round(percentile_cont("v", 0.5, "slow"), 6).alias("p50_slow")
@@ -27,8 +27,7 @@ def a2(spark, sf_dir):
 
 @query("A4_family_counts", """SELECT CASE WHEN p_type LIKE 'PROMO%' THEN 'promo' WHEN p_type LIKE 'STANDARD%' THEN 'standard' ELSE p_type END AS family, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS large FROM part GROUP BY 1""")
 def a4(spark, sf_dir):
-    kind = F.col("p_type")
-    fam = F.when(kind.startswith("PROMO"), "promo").when(kind.startswith("STANDARD"), "standard").otherwise(kind)
+    fam = A.family(F.col("p_type"), (("PROMO", "promo"), ("STANDARD", "standard")))
     return table(spark, sf_dir, "part").groupBy(fam.alias("family")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") > 25).alias("large"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("retrieval", "scopes", "rerank", "windows", "joins", "aggregates", "gates", "decisions", "texts", "language", "guards", "files", "ingest", "streams")
+_PLANS = ("retrieval", "scopes", "rerank", "windows", "joins", "aggregates", "gates", "decisions", "texts", "language", "guards", "files", "ingest", "streams", "parts")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
