@@ -68,17 +68,15 @@ def visited(pointers: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
     """
     ends = written(pointers.where("next is not null").select(key, "pos", "next"), "pointers")
     found = written(firsts.where("pos is not null").select(key, "pos"), "visited")
-    while True:
-        more = found.join(ends, [key, "pos"]).select(key, F.col("next").alias("pos"))
+    while not ends.isEmpty():
         # Pointers that are longer than the chain so far lead to rows that no shorter one has found.
-        more = written(more, "visited")
-        if more.isEmpty():
-            return found
+        more = found.join(ends, [key, "pos"]).select(key, F.col("next").alias("pos"))
         grown = written(found.unionByName(more), "visited")
         behind = ends.select(key, F.col("pos").alias("next"), F.col("next").alias("_far"))
         longer = written(ends.join(behind, [key, "next"]).select(key, "pos", F.col("_far").alias("next")), "pointers")
-        discard(found, more, ends)
+        discard(found, ends)
         found, ends = grown, longer
+    return found
 
 
 def packed_batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:

@@ -36,11 +36,12 @@ def s2(spark, sf_dir):
     return I.checked_uploads(files, 3000).select("page_id", "error")
 
 
-@query("S9_merged_ocr", "SELECT doc_id, md5(CASE WHEN length(trim(substr(coalesce(text, ''), 1, 50 + doc_id % 100))) > length(trim(substr(coalesce(text, ''), 1, 100))) THEN substr(coalesce(text, ''), 1, 50 + doc_id % 100) ELSE substr(coalesce(text, ''), 1, 100) END) AS text_md5 FROM documents")
+@query("S9_merged_ocr", "SELECT a.doc_id, md5(CASE WHEN length(trim(coalesce(b.text, ''))) > length(trim(coalesce(a.text, ''))) THEN b.text ELSE coalesce(a.text, '') END) AS text_md5 FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1")
 def s9(spark, sf_dir):
-    text = F.coalesce("text", F.lit(""))
-    out = I.merged_ocr(F.substring(text, 1, 100), F.substring(text, F.lit(1), (50 + F.col("doc_id") % 100).cast("int")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(out).alias("text_md5"))
+    """Whole texts: each document's own is the layer, that of the next id what was recognised."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("ocr")), "doc_id", "left")
+    return both.select("doc_id", F.md5(I.merged_ocr(F.coalesce("text", F.lit("")), F.coalesce("ocr", F.lit("")))).alias("text_md5"))
 
 
 @query("S10_ocr_lines", """WITH w AS (SELECT l_suppkey AS id, l_linenumber AS block, 1 AS par, l_orderkey AS line, l_partkey * 100 + l_quantity AS word, l_discount * 1000 AS conf, 'w' || l_partkey AS t FROM lineitem),
@@ -95,10 +96,10 @@ def s22(spark, sf_dir):
     return S.specs(spark, path, "cite long").select("question", "cite")
 
 
-@query("S20_markdown_corpus", "SELECT item_id, md5(text || chr(10)) AS text_md5 FROM benchmark WHERE item_id < 12")
+@query("S20_markdown_corpus", "SELECT item_id, md5(text || chr(10)) AS text_md5 FROM benchmark")
 def s20(spark, sf_dir):
     path = shared_dir(spark, "corpus")
-    table(spark, sf_dir, "benchmark").where("item_id < 12").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
+    table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").text(path)
     return spark.read.text(path, wholetext=True).select(F.col("item_id").cast("long").alias("item_id"), F.md5("value").alias("text_md5"))
 
 
@@ -175,15 +176,16 @@ def s33(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", n.alias("n"), F.when(F.col("l_suppkey") % 3 == 0, "summary").otherwise("chunk").alias("kind"), F.substring(text, 1, 240).alias("snapshot"))
 
 
-@query("S34_audit_corpus", "SELECT 'db' AS origin, doc_id AS id FROM documents WHERE source IN ('src1', 'src5') UNION ALL SELECT 'files', item_id FROM benchmark WHERE item_id < 12")
+@query("S34_audit_corpus", "SELECT 'db' AS origin, doc_id AS id FROM documents WHERE source IN ('src1', 'src5') UNION ALL SELECT 'files', item_id FROM benchmark")
 def s34(spark, sf_dir):
     stored = table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src5")).select(F.lit("db").alias("origin"), F.col("doc_id").alias("id"))
     return stored.unionByName(s20(spark, sf_dir).select(F.lit("files").alias("origin"), F.col("item_id").alias("id")))
 
 
-@query("S35_unframed_books", "SELECT doc_id, md5(trim(coalesce(lang, '') || chr(10) || doc_id)) AS body_md5 FROM documents")
+@query("S35_unframed_books", r"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN regexp_replace(coalesce(text, ''), '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') ELSE coalesce(text, '') END) AS body_md5 FROM documents")
 def s35(spark, sf_dir):
-    body = F.concat("lang", F.lit("\n"), F.col("doc_id").cast("string"))
+    """Whole texts, of which every second stands in a frame."""
+    body = F.coalesce("text", F.lit(""))
     book = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("By someone\n*** START OF THE BOOK ***\n\n"), body, F.lit("\n\n*** END OF THE BOOK ***\nlicense"))).otherwise(body)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(L.without_frame(book)).alias("body_md5"))
 

@@ -135,7 +135,7 @@ def x50(spark, sf_dir):
 
 @query("X56_caveats")
 def x56(spark, sf_dir):
-    reply = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 400), F.lit(". The sources do not say more."))
+    reply = F.concat(F.coalesce("text", F.lit("")), F.lit(". The sources do not say more."))
     return _turns(spark, sf_dir).select("conv_id", "turn", "role", L.caveat_only(reply, T.says_not_in_sources, F.col("turn") % 2 == 1).alias("caveat"))
 
 
@@ -152,10 +152,11 @@ def x60(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.language_name(F.col("lang")).alias("name"))
 
 
-@query("X8_escaped_sources", r"SELECT doc_id, regexp_replace('<Source id=' || doc_id || '>' || lang || '</source> <sources>', '(?i)<(/?source\b)', '&lt;\1', 'g') AS escaped FROM documents")
+@query("X8_escaped_sources", r"SELECT page_id, md5(regexp_replace('<Source id=' || page_id || '>' || replace(coalesce(html, ''), '<p', '<source') || '</source> <sources>', '(?i)<(/?source\b)', '&lt;\1', 'g')) AS escaped_md5 FROM pages")
 def x8(spark, sf_dir):
-    text = F.concat(F.lit("<Source id="), F.col("doc_id").cast("string"), F.lit(">"), "lang", F.lit("</source> <sources>"))
-    return table(spark, sf_dir, "documents").select("doc_id", T.escape_source_tags(text).alias("escaped"))
+    """Whole pages whose paragraphs pass for sources."""
+    text = F.concat(F.lit("<Source id="), F.col("page_id").cast("string"), F.lit(">"), F.replace(F.coalesce("html", F.lit("")), F.lit("<p"), F.lit("<source")), F.lit("</source> <sources>"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.escape_source_tags(text)).alias("escaped_md5"))
 
 
 @query("X7_token_counts", "SELECT doc_id, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens FROM documents")

@@ -9,9 +9,12 @@ from brindle.functions.stats import dcg_weight, ideal_dcg, spearman
 from brindle.operators import aggregates as A
 from brindle.operators import retrieval as R
 from brindle.operators import text_index as X
+from brindle.operators import units as U
 from brindle.operators import windows as W
 from brindle.plans import retrieval as P
+from brindle.plans.language import _SENT
 from brindle.plans.registry import query, table
+from brindle.plans.texts import _STRIP
 
 
 @query("F10_call_keys", "SELECT event_id, coalesce(nullif(json_extract_string(props, '$.k'), '0'), user_id || ':' || seq) AS call FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events)")
@@ -137,3 +140,39 @@ def e9(spark, sf_dir):
     gold = rows.groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n_gold"))
     ndcg = F.when(F.col("n_gold") > 0, F.col("dcg") / ideal_dcg(F.col("n_gold"), 10)).otherwise(F.lit(0.0))
     return rho.join(top, "l_suppkey").join(gold, "l_suppkey").select("l_suppkey", "n", F.round("rho", 6).alias("rho"), F.round("mean_top3", 4).alias("mean_top3"), F.round(ndcg, 6).alias("ndcg"))
+
+
+_UNIT, _WINDOW, _TAIL = 20, 300, 45
+_PARAGRAPHS = rf"list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n[ \t]*\n'), lambda p: {_STRIP.format('p')}), lambda p: p <> '')"
+_UNITS = rf"""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) AS par FROM (SELECT doc_id, {_PARAGRAPHS} AS l FROM documents)),
+s AS (SELECT doc_id, par, unnest(l) AS s, generate_subscripts(l, 1) AS sent FROM (SELECT doc_id, par, CASE WHEN length(text) <= {4 * _UNIT} THEN [text] ELSE {_SENT} END AS l FROM p)),
+w AS (SELECT doc_id, par, sent, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, par, sent, list_filter(string_split_regex(s, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS l FROM s WHERE length(s) > {4 * _UNIT})),
+c AS (SELECT doc_id, par, sent, i, w, unnest(range(0, length(w), {4 * _UNIT})) AS o FROM w),
+q AS (SELECT doc_id, par, sent, substr(w, o + 1, {4 * _UNIT}) AS t, length(substr(w, o + 1, {4 * _UNIT})) + 1 AS size, row_number() OVER (PARTITION BY doc_id, par, sent ORDER BY i, o) AS k FROM c),
+r AS (SELECT doc_id, par, sent, t, k, 0 AS run, size AS used FROM q WHERE k = 1 UNION ALL
+SELECT q.doc_id, q.par, q.sent, q.t, q.k, CASE WHEN used + size > {4 * _UNIT + 1} THEN run + 1 ELSE run END, CASE WHEN used + size > {4 * _UNIT + 1} THEN size ELSE used + size END
+FROM r JOIN q ON q.doc_id = r.doc_id AND q.par = r.par AND q.sent = r.sent AND q.k = r.k + 1),
+a AS (SELECT doc_id, par, sent, 0 AS run, s AS text FROM s WHERE length(s) <= {4 * _UNIT} UNION ALL SELECT doc_id, par, sent, run, string_agg(t, ' ' ORDER BY k) FROM r GROUP BY ALL),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY par, sent, run) AS n, text, ceil(length(text) / 4)::BIGINT AS tokens FROM a),
+v AS (SELECT doc_id, n, tokens, 0 AS wdw, tokens AS used FROM u WHERE n = 1 UNION ALL
+SELECT u.doc_id, u.n, u.tokens, CASE WHEN used + u.tokens > {_WINDOW} THEN wdw + 1 ELSE wdw END, CASE WHEN used + u.tokens > {_WINDOW} THEN u.tokens ELSE used + u.tokens END FROM v JOIN u ON u.doc_id = v.doc_id AND u.n = v.n + 1)"""
+
+
+def _units(spark, sf_dir):
+    return U.text_units(table(spark, sf_dir, "documents").select("doc_id", "text"), _UNIT)
+
+
+@query("X5_text_units", f"{_UNITS} SELECT doc_id, n, tokens, md5(text) AS text_md5 FROM u")
+def x5(spark, sf_dir):
+    return _units(spark, sf_dir).select("doc_id", "n", "tokens", F.md5("text").alias("text_md5"))
+
+
+@query("W17_token_windows", f'{_UNITS} SELECT doc_id, n, wdw AS "window" FROM v')
+def w17(spark, sf_dir):
+    return U.token_windows(_units(spark, sf_dir), _WINDOW).select("doc_id", "n", "window")
+
+
+@query("W18_tail_overlaps", f"""{_UNITS}, b AS (SELECT *, sum(tokens) OVER (PARTITION BY doc_id, wdw ORDER BY n DESC) AS upto, n = min(n) OVER (PARTITION BY doc_id, wdw) AS head FROM v)
+SELECT doc_id, wdw AS "window", count(*) FILTER (WHERE upto <= {_TAIL} AND NOT head) AS repeated, coalesce(max(upto) FILTER (WHERE upto <= {_TAIL} AND NOT head), 0)::BIGINT AS tokens FROM b GROUP BY 1, 2""")
+def w18(spark, sf_dir):
+    return U.tail_overlaps(U.token_windows(_units(spark, sf_dir), _WINDOW), _TAIL).select("doc_id", "window", "repeated", "tokens")
