@@ -183,3 +183,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["packing"] == seen["benchmark decontamination"]
     rows_out = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, rows_out.collect())) == sorted(map(tuple, kept.collect()))
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, own(1)), (1, own(1)), (2, None), (3, ""), (None, own(2)), (None, None), (4, "x" * 300_000), (5, "long text " * 50_000), (6, own(6))]
+    docs = [(d, t, None if d == 6 else "en", None, None, "more") for d, t in rows]
+    labels = [(1, 1, 0), (6, 1, 1), (6, 1, None), (None, 1, 1), (99, 1, 0)]
+    items = [(1, "a benchmark item of words that no text of this corpus holds anywhere"), (2, None), (None, "another item of words that nobody has written down so far")]
+    for name, parts in (("odd", (docs, labels, items)), ("empty", ([], [], []))):
+        schemas = ("doc_id long, text string, lang string, source string, n_chars long, kept string", "doc_id long, quality int, toxic int", "item_id long, text string")
+        for table, part, schema in zip(("documents", "labels", "benchmark"), parts, schemas, strict=True):
+            spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in out} == ({1, None, 6} if name == "odd" else set())
+        assert len({(r.doc_id, r.start, r.sequence_id, r.offset) for r in out}) == len(out)
