@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; ``run`` writes each as Parquet and
 reads it again as the next one's documents.
+
+A null text counts as empty, which the quality rules reject, as they do any text of fewer than ten words. A null ``doc_id``
+is an id of its own; other columns may be null and go along. Rows of one id stay or go together where a stage decides by
+id (near duplicates, decontamination), and by their own text in the quality rules. Empty tables give empty results, also
+without labels or benchmark items. Very long texts are read whole. Columns beyond those of ``documents`` are left behind.
 """
 
 from __future__ import annotations
