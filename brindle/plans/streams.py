@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.operators import windows as W
 from brindle.operators.tables import shared_dir
 from brindle.plans.registry import query, table
+from brindle.sources.run_log import RunLog
 from brindle.streaming import runs, settled
 
 
@@ -66,3 +68,27 @@ def k4_stream(spark, sf_dir):
 def j8_stream(spark, sf_dir):
     out, schema = _drained(spark, sf_dir, lambda log: settled.followed(log, "click", "purchase"), "append")
     return spark.read.schema(schema).parquet(out)
+
+
+@query("K2_K8_stream_followed", """WITH s AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+top AS (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 20),
+e AS (SELECT user_id, min(seq) AS last FROM s WHERE event_type = 'purchase' AND seq > 2 GROUP BY user_id)
+SELECT user_id, event_id, seq FROM s JOIN top USING (user_id) LEFT JOIN e USING (user_id) WHERE seq > 2 AND seq <= coalesce(last, seq)""")
+def k2_stream(spark, sf_dir):
+    """The twenty longest runs behind their second row until a purchase: the log arrives in two parts, with gaps between
+    them, and the stream is stopped after the first and goes on from its checkpoint."""
+    events = table(spark, sf_dir, "events")
+    numbered = W.sequence(events, "user_id", ["ts", "event_id"])
+    rows = numbered.select(
+        F.col("user_id").cast("string").alias("run_id"), F.col("seq").cast("int").alias("seq"), F.col("event_type").alias("type"),
+        F.col("event_id").cast("string").alias("payload"), F.col("ts").cast("timestamp").alias("created_at"))
+    longest = events.groupBy("user_id").count().orderBy(F.col("count").desc(), "user_id").limit(20)
+    spark.dataSource.register(RunLog)
+    log, out, checkpoint = (shared_dir(spark, n) for n in ("log", "sink", "stream"))
+    followed = spark.readStream.format("run_log").option("path", log).option("runs", ",".join(str(r.user_id) for r in longest.collect()))
+    followed = followed.option("after", 2).option("until", "purchase").option("rows", 1000).load()
+    for later in (False, True):
+        part = rows.where((F.col("seq") % 3 == 0) == F.lit(later))
+        part.repartitionByRange("run_id", "seq").sortWithinPartitions("run_id", "seq").write.mode("append").parquet(log)
+        runs.drain(followed, out, checkpoint)
+    return spark.read.schema(followed.schema).parquet(out).select(F.col("run_id").cast("long").alias("user_id"), F.col("payload").cast("long").alias("event_id"), "seq")
