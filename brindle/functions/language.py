@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.text import collapsed, folded, tokens
+from brindle.functions.text import _let, collapsed, folded, tokens
 
 #: Signs that close a sentence behind its end mark, and abbreviations that do not end one.
 CLOSERS = "\"'”’»›）)】〕]」』"
@@ -118,44 +118,113 @@ def marker_hit(text: Column, words: Column, marker: str) -> Column:
     return F.exists(words, lambda w: w.startswith(marker))
 
 
-#: Small words by language, and marks that count three times; more of either only sharpen the score.
+#: Small words by language, one point a word of the text. A fuller table is a parameter of ``detected_language``.
 STOPS = {
-    "en": "the of and to in is was that it for with as his he on be at by had not are but from have they which you were her she there".split(),
-    "de": "der die und den das ist nicht ein eine dem des mit sich auf für von sie im auch als an es werden aus er hat dass wird bei".split(),
-    "fr": "le la les des est une dans pour que qui pas sur par plus avec au ce il sont elle mais ou cette nous vous été aux du et un de en".split(),
+    "en": "the of and to in is was that it for with as his he on be at by had not are but from have they which you were her she there hi hello hey thanks".split(),
+    "de": "der die und den das ist nicht ein eine dem des mit sich auf für von sie im in was auch als an es werden aus er hat dass wird bei".split(),
+    "fr": "le la les des est une dans pour que qui pas sur par plus avec au ce il sont elle mais ou cette nous vous été aux du et un de en comment".split(),
     "es": "el los las una por con para del que no se su al lo como más pero sus le ya este sí porque esta entre cuando muy un en de la y es".split(),
+    "it": "come con cui della gli hanno nella quando questo tutto".split(),
+    "pt": "ao com como da em não os para pelo que uma você".split(),
+    "nl": "aan de een en het hij in is niet van voor wie zijn".split(),
+    "pl": "do na nie przez w z".split(),
+    "tr": "bir bu da için ile ne ve".split(),
+    "tl": "ang ano hindi ito mga na ng sa si".split(),
 }
-MARKS = {"de": ["ß", "ü", "ö", "ä"], "fr": ["ê", "ç", "œ", "è", "à"], "es": ["ñ", "¿", "¡", "ó", "í"]}
-#: Scripts that name a language by themselves where they hold most letters of a text.
-SCRIPTS = {"ru": r"\p{IsCyrillic}", "el": r"\p{IsGreek}", "ko": r"\p{IsHangul}", "zh": r"\p{IsHan}", "ar": r"\p{IsArabic}", "he": r"\p{IsHebrew}"}
+#: Signs and words of one language alone, ``MARK`` points for each that a text holds.
+MARKS = {
+    "en": ["the", "what", "who", "how", "why", "which"],
+    "es": ["ñ", "¿", "¡", "cómo", "qué", "quién", "también", "está"],
+    "fr": ["ç", "œ", "ë", "ï", "û", "ê", "â", "peux", "pourquoi", "quelle", "très", "même", "être", "résum"],
+    "de": ["ß", "ä", "ö", "ü", "warum", "welche", "zusammen", "wurde"],
+    "it": ["chi", "cosa", "quale", "sono", "perché", "dove"],
+    "pt": ["ã", "õ", "quem", "escreveu", "livro", "são", "foi"],
+    "nl": ["waarom", "wordt", "heeft", "welke", "vrouw", "verhaal"],
+    "pl": ["ą", "ę", "ł", "ź", "ż", "który", "dlaczego", "kto", "jest", "się"],
+    "tr": ["ı", "ğ", "ş", "nedir", "nasıl", "hangi", "değil"],
+    "tl": ["sino", "ano", "paano", "bakit", "mga", "ang"],
+}
+MARK = 3
+#: Letters of scripts that name a language by themselves where they are most letters of a text; the classes read alike in
+#: Java's patterns and in RE2's with ``Is`` left out.
+SCRIPTS = {
+    "ko": r"\p{IsHangul}",
+    "zh": r"\p{IsHan}",
+    "ru": r"\p{IsCyrillic}",
+    "el": r"\p{IsGreek}",
+    "ar": r"\p{IsArabic}",
+    "he": r"\p{IsHebrew}",
+    "th": r"\x{0E01}-\x{0E30}\x{0E32}\x{0E33}\x{0E40}-\x{0E46}",
+    "hi": r"\x{0904}-\x{0939}\x{093D}\x{0950}\x{0958}-\x{0961}\x{0971}-\x{097F}",
+}
+KANA = r"\x{3040}-\x{30FF}"
+#: A dictionary goes into the plan as literals; a table over this many entries is refused.
+DICTIONARY_MOST = 20_000
+
+
+def dictionary(table: DataFrame) -> tuple[dict[str, list[str]], dict[str, list[str]]]:
+    """Small words and marks by language from a table (lang, word, mark): ``detected_language``'s parameters.
+
+    Words are lower-cased; nulls, empty words and repeated rows count nothing. A table of over ``DICTIONARY_MOST`` entries
+    is refused, not cut.
+    """
+    clean = table.select("lang", F.lower(F.btrim("word")).alias("word"), F.coalesce("mark", F.lit(False)).alias("mark")).where("lang is not null and word <> ''").distinct()
+    rows = clean.orderBy("lang", "word").limit(DICTIONARY_MOST + 1).collect()
+    if len(rows) > DICTIONARY_MOST:
+        raise ValueError(f"a dictionary of over {DICTIONARY_MOST} entries")
+    of = lambda mark: {k: [r.word for r in rows if r.lang == k and r.mark == mark] for k in sorted({r.lang for r in rows})}
+    return of(False), of(True)
+
+
+def _mark_count(text: Column, line: Column, marks: list[str]) -> Column:
+    """How many marks a text holds: of one sign anywhere, of up to three as a word, of more as the beginning of one.
+    ``line``: the text's words, each between blanks."""
+    hits = [F.contains(text, F.lit(m)) if len(m) == 1 else F.contains(line, F.lit(f" {m} " if len(m) < 4 else f" {m}")) for m in marks]
+    return sum((h.cast("int") for h in hits), F.lit(0))
+
+
+def latin_scores(text: Column, words: Column, stops: dict[str, list[str]] = STOPS, marks: dict[str, list[str]] = MARKS) -> Column:
+    """An array of (lang, score): small words count each time, marks once each and ``MARK`` times as much."""
+    line = F.concat(F.lit(" "), F.array_join(F.array_distinct(words), " "), F.lit(" "))
+    small = lambda k: F.size(F.filter(words, lambda w: w.isin(stops[k]))) if stops.get(k) else F.lit(0)
+    score = lambda k, x: small(k) + (MARK * _mark_count(text, x, marks[k]) if marks.get(k) else F.lit(0))
+    return _let(line, lambda x: F.array(*[F.struct(F.lit(k).alias("lang"), score(k, x).alias("score")) for k in sorted(stops.keys() | marks.keys())]))
+
+
+def _winner(scores: Column) -> Column:
+    """The one language with the highest score: English where it has as much as any other, null where others tie."""
+    best = F.array_max(F.transform(scores, lambda s: s["score"]))
+    first = F.transform(F.filter(scores, lambda s: s["score"] == best), lambda s: s["lang"])
+    return _let(first, lambda f: F.when(best > 0, F.when(F.array_contains(f, "en"), "en").when(F.size(f) == 1, f[0])))
 
 
-def detected_language(text: Column) -> Column:
+def detected_language(text: Column, stops: dict[str, list[str]] = STOPS, marks: dict[str, list[str]] = MARKS) -> Column:
     """The language of a text, or null where nothing tells.
 
     Kana mean Japanese; a script that holds more than half of the letters names its language; else small words and
-    marks of Latin languages are scored, English winning ties and any other tie telling nothing.
+    marks of Latin languages are scored, English winning ties and any other tie telling nothing. Null and empty texts,
+    figures and codes have none. ``dictionary`` reads other tables of words.
     """
 
     def of(t: Column) -> Column:
         letters = F.regexp_count(t, F.lit(r"\p{L}"))
-        words = F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}+"), 0)
-        small = lambda known: F.size(F.filter(words, lambda w: w.isin(known)))
-        marks = lambda known: 3 * sum((F.contains(F.lower(t), F.lit(m)).cast("int") for m in known), F.lit(0))
-        scores = {k: small(known) + marks(MARKS.get(k, [])) for k, known in STOPS.items()}
-        ranked = F.sort_array(F.array(*[F.struct(s.alias("score"), F.lit(k == "en").alias("en"), F.lit(k).alias("lang")) for k, s in scores.items()]), asc=False)
-        best, second = ranked[0], ranked[1]
-        latin = F.when((best["score"] > 0) & (best["en"] | (best["score"] > second["score"])), best["lang"])
-        out = F.when(t.rlike(r"[\x{3040}-\x{30FF}]"), "ja")
-        for lang, script in SCRIPTS.items():
-            out = out.when(F.regexp_count(t, F.lit(script)) * 2 > letters, lang)
-        return out.otherwise(latin)
+        script = F.when(t.rlike(f"[{KANA}]"), "ja")
+        for lang, signs in SCRIPTS.items():
+            script = script.when(F.regexp_count(t, F.lit(f"[{signs}]")) * 2 > letters, lang)
+        low = F.lower(t)
+        words = F.regexp_extract_all(low, F.lit(r"\p{L}+"), 0)
+        latin = _let(F.struct(low.alias("t"), words.alias("w")), lambda x: _let(latin_scores(x["t"], x["w"], stops, marks), _winner))
+        # One pass spares texts without any such sign the count of each script.
+        return F.coalesce(F.when(t.rlike(f"[{KANA}{''.join(SCRIPTS.values())}]"), script), latin)
 
-    return F.element_at(F.transform(F.array(F.coalesce(text, F.lit(""))), of), 1)
+    return _let(F.coalesce(text, F.lit("")), of)
 
 
 #: Names of languages, for prompts.
-LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "ru": "Russian"}
+LANGUAGES = {
+    "ar": "Arabic", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fr": "French", "he": "Hebrew", "hi": "Hindi", "it": "Italian", "ja": "Japanese",
+    "ko": "Korean", "nl": "Dutch", "pl": "Polish", "pt": "Portuguese", "ru": "Russian", "th": "Thai", "tl": "Tagalog", "tr": "Turkish", "zh": "Chinese",
+}
 
 
 def language_name(code: Column) -> Column:

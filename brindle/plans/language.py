@@ -25,17 +25,32 @@ def x4(spark, sf_dir):
     return out.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\x1f")).alias("sentences_md5"))
 
 
-_STOP_SQL = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in L.STOPS.items()}
-_MARK_SQL = {k: " + ".join(f"contains(l, '{m}')::INT" for m in v) for k, v in L.MARKS.items()}
-_SCORES = ", ".join(f"len(list_filter(w, lambda x: list_contains({_STOP_SQL[k]}, x))) + {f'3 * ({_MARK_SQL[k]})' if k in _MARK_SQL else '0'} AS {k}" for k in L.STOPS)
+def _sql_list(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@query("X11_languages", rf"""WITH t AS (SELECT doc_id, lower({_T}) AS l, regexp_extract_all(lower({_T}), '\p{{L}}+') AS w FROM documents), s AS (SELECT doc_id, {_SCORES} FROM t)
-SELECT doc_id, CASE WHEN greatest(en, de, fr, es) = 0 THEN NULL WHEN en >= greatest(de, fr, es) THEN 'en' WHEN de > greatest(fr, es) THEN 'de' WHEN fr > greatest(de, es) THEN 'fr' WHEN es > greatest(de, fr) THEN 'es' END AS lang FROM s""")
+def _marks_sql(words):
+    return " + ".join(f"contains(l, '{m}')::INT" if len(m) == 1 else f"contains(x, ' {m} ')::INT" if len(m) < 4 else f"contains(x, ' {m}')::INT" for m in words)
+
+
+_SCORES = ", ".join(f"{{'lang': '{k}', 'score': len(list_filter(w, lambda y: list_contains({_sql_list(L.STOPS[k])}, y))) + 3 * ({_marks_sql(L.MARKS[k])})}}" for k in sorted(L.STOPS))
+_SCRIPT = " ".join(f"WHEN len(regexp_extract_all({_T}, '[{signs.replace('Is', '')}]')) * 2 > len(regexp_extract_all({_T}, '\\p{{L}}')) THEN '{k}'" for k, signs in L.SCRIPTS.items())
+_DETECTED = rf"""t AS (SELECT *, CASE WHEN regexp_matches({_T}, '[{L.KANA}]') THEN 'ja' {_SCRIPT} END AS script, lower({_T}) AS l, regexp_extract_all(lower({_T}), '\p{{L}}+') AS w FROM d),
+s AS (SELECT *, [{_SCORES}] AS s FROM (SELECT *, ' ' || array_to_string(list_distinct(w), ' ') || ' ' AS x FROM t)),
+b AS (SELECT *, list_filter(s, lambda y: y.score > 0 AND y.score = list_max(list_transform(s, lambda z: z.score))) AS f FROM s),
+r AS (SELECT *, CASE WHEN script IS NOT NULL THEN script WHEN len(list_filter(f, lambda y: y.lang = 'en')) > 0 THEN 'en' WHEN len(f) = 1 THEN f[1].lang END AS found FROM b)"""
+
+
+@query("X11_languages", f"WITH d AS (SELECT doc_id, text FROM documents), {_DETECTED} SELECT doc_id, found AS lang FROM r")
 def x11(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", L.detected_language(F.col("text")).alias("lang"))
 
 
+@query("X11_turn_languages", f"WITH d AS (SELECT conv_id, turn, text FROM conversations), {_DETECTED} SELECT conv_id, turn, found AS lang FROM r")
+def x11_turns(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", L.detected_language(F.col("text")).alias("lang"))
+
+
 @query("X12_marker_hits", rf"""WITH t AS (SELECT doc_id, lower({_T}) AS l, regexp_extract_all(lower({_T}), '\p{{L}}+') AS w FROM documents)
 SELECT doc_id, contains(l, 'ß') AS sign, list_contains(w, 'und') AS word, len(list_filter(w, lambda x: starts_with(x, 'ther'))) > 0 AS stem FROM t""")
 def x12(spark, sf_dir):
