@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 
-from brindle.llm.licenses import TEMPLATES, license_scan
+from brindle.llm.licenses import TEMPLATES, license_scan, needed_words
 from brindle.llm.line_dedup import line_dedup
 from brindle.llm.quality import TAIL, THRESHOLD, quality_rules
 from brindle.llm.secrets import BASE, RULES, secret_scan, trigram_query
@@ -102,6 +102,9 @@ def test_licenses_against_dice_by_hand(spark):
     for d, t in rows:
         clean = re.sub(r"[^a-z0-9\n]+", " ", (t or "").lower())
         units = clean.split("\n") + [p for p in re.split(r"\n ?\n", clean) if "\n" in p] + ([clean] if re.search(r"\n ?\n", clean) else [])
+        units = [" ".join(u.split()) for u in units]
+        parts = re.split(r"[.!?][^a-z0-9 \t\r\n]*[ \t\r\n]+|\n[ \t\r]*\n", (t or "").lower())
+        units += sorted({" ".join(re.sub("[^a-z0-9]+", " ", x).split()) for x in parts} - set(units))
         for u in units:
             g = grams(u)
             best = max(((2 * len(g & grams(x)) / (len(g) + len(grams(x))), n) for n, x in TEMPLATES.items() if g), default=(0, ""))
@@ -112,6 +115,39 @@ def test_licenses_against_dice_by_hand(spark):
     assert license_scan(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_licenses_inside_lines_over_lines_and_as_whole_bodies(spark):
+    body = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + TEMPLATES["MIT-body"]
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = [
+        (1, "Some prose. Released under the MIT License. More prose."),
+        (2, "Some words stand here before it. This work is licensed under the GNU General\nPublic License, version 3. And more\nprose follows here."),
+        (3, body),
+        (4, "\n\n".join(wrap(p, 9) for p in body.split("\n\n"))),
+        (5, "Before. " + TEMPLATES["MIT-grant"] + "\n\nAfter " + "word " * 400),
+        (6, TEMPLATES["BSD-3-Clause-body"].replace("copyright holder", "Example Organisation")),
+        (7, "The license of the released software is of no kind that anybody here would know."),
+        (8, "Released under the MIT License. Released under the MIT License. Yes, and more words stand behind it."),
+        (9, "a license. " * 100_000 + "Licensed under CC BY 4.0. " + "x" * 200_000),
+    ]
+    got = {r.doc_id: {x.license: (x.n_units, x.dice) for x in r.licenses} for r in license_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == {"MIT": (1, 1.0)} and set(got[2]) == {"GPL-3.0"} and got[7] == {} and got[8] == {"MIT": (1, 1.0)} and set(got[9]) == {"CC-BY-4.0"}
+    assert {"MIT-body", "MIT-grant"} <= set(got[3]) and got[3].keys() == got[4].keys() and "MIT-grant" in got[5] and "BSD-3-Clause-body" in got[6]
+
+
+def test_needed_words_rule_out_no_unit_that_fits():
+    rng = random.Random(5)
+    needed = needed_words(TEMPLATES, 0.8)
+    for t in TEMPLATES.values():
+        w = re.sub(r"[^a-z0-9]+", " ", t.lower()).split()
+        want = set(zip(w, w[1:], strict=False))
+        for _ in range(300):
+            kept = [x for x in w if rng.random() > 0.15]
+            g = set(zip(kept, kept[1:], strict=False))
+            if 2 * len(g & want) >= 0.8 * (len(g) + len(want)):
+                assert any(x in " ".join(kept) for x in needed)
+    assert len(needed) < 100
+
+
 def test_repeated_passages_go_and_the_first_stays(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
