@@ -24,7 +24,7 @@ def test_flagship_runs(spark):
 NAMES = [
     "W4_rolling_5h", "A2_two_level_latency", "J13_latest_per_group", "X23_redaction", "R3_audit_bm25", "K1_stream_sequence", "R6_multi_query_rrf", "W13_adjacent_dedupe", "X24_injection_spans", "X4_sentences",
     "X11_languages", "W7_rate_limit", "W9_circuit_breaker", "W20_packed_batches", "G1_regression_gate", "G3_acceptance_gate", "G11_sanitised_chunks", "J22_decision_pairs", "K14_stream_signal_counts", "R18_cache_put",
-    "S23_event_sink", "M4_replaced_index", "R16_parsed_plans", "A46_threshold_proposal", "J29_gold_passages",
+    "X11_turn_languages", "K2_K8_stream_followed", "S23_event_sink", "M4_replaced_index", "R16_parsed_plans", "A46_threshold_proposal", "J29_gold_passages",
 ]
 
 
