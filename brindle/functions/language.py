@@ -118,7 +118,7 @@ def marker_hit(text: Column, words: Column, marker: str) -> Column:
     return F.exists(words, lambda w: w.startswith(marker))
 
 
-#: Small words by language, one point a word of the text. A fuller table is a parameter of ``detected_language``.
+#: A choice of small words by language, one point a word of the text. A fuller table is a parameter of ``detected_language``.
 STOPS = {
     "en": "the of and to in is was that it for with as his he on be at by had not are but from have they which you were her she there hi hello hey thanks".split(),
     "de": "der die und den das ist nicht ein eine dem des mit sich auf für von sie im in was auch als an es werden aus er hat dass wird bei".split(),
@@ -131,7 +131,7 @@ STOPS = {
     "tr": "bir bu da için ile ne ve".split(),
     "tl": "ang ano hindi ito mga na ng sa si".split(),
 }
-#: Signs and words of one language alone, ``MARK`` points for each that a text holds.
+#: A choice of signs and words of one language alone, ``MARK`` points for each that a text holds.
 MARKS = {
     "en": ["the", "what", "who", "how", "why", "which"],
     "es": ["ñ", "¿", "¡", "cómo", "qué", "quién", "también", "está"],
