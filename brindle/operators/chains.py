@@ -16,7 +16,7 @@ from brindle.operators.tables import discard, written
 STRETCH = 20_000
 
 
-def positions(df: DataFrame, key: str, order: list[str], name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, key: str, order: list[str | Column], name: str = "pos") -> DataFrame:
     """``df`` with a gapless number from 1 within each key, and written once. Rows are dealt by ranges of (key, order), so a
     large key lies in many parts; a part's rows are numbered for themselves and go on from those of the parts before."""
     dealt = written(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranges")

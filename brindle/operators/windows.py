@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from brindle.operators.chains import STRETCH, positions
+from brindle.operators.tables import discard, written
 
 
 def rolling(agg: str, key: str, at: str, interval: str) -> Column:
@@ -42,30 +48,121 @@ def fifo_pairs(df: DataFrame, key: str, order: list[str], start: Column, end: Co
     return a.join(b, [key, "n"])
 
 
-def rate_limited(df: DataFrame, key: str, at: str, tie: str, limit: int, seconds: float) -> DataFrame:
-    """``df`` (key, at, tie) with ``accepted``: a row is turned away if ``limit`` accepted rows lie in the window before it.
-
-    Rows turned away are not recorded, so each decision needs those before it. A key's rows stream through one task in
-    order and only the window's accepted times are held, never the key's rows.
+#: How often the blocks of a key hand on what they end with before the rest of the key is gone through in order.
+ROUNDS = 8
+
+
+def _let_in(batches: Iterator[pa.RecordBatch], limit: int, width: int) -> Iterator[tuple[pa.RecordBatch, list[int], list[bool], list[int | None], list[list[int]]]]:
+    """Each batch with the places of its rows, whether they are let in, the seconds that the others wait, and what the units
+    that end before it or in it end with. Rows (_us, _state) are in order; a row with a state is a mark that begins a unit."""
+    taken: deque[int] = deque()
+    begun = False
+    for batch in batches:
+        places, ok, waits, ended = [], [], [], []
+        for i, (t, state) in enumerate(zip(batch.column("_us").to_pylist(), batch.column("_state").to_pylist(), strict=True)):
+            if state is not None:
+                if begun:
+                    ended.append(list(taken))
+                taken, begun = deque(state), True
+                continue
+            while taken and t - taken[0] >= width:
+                taken.popleft()
+            places.append(i)
+            ok.append(len(taken) < limit)
+            waits.append(None if ok[-1] else max(1, round((width - (t - taken[0])) / 1_000_000)))
+            if ok[-1]:
+                taken.append(t)
+        yield batch, places, ok, waits, ended
+    if begun:
+        yield None, [], [], [], [list(taken)]
+
+
+def _in_units(rows: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, _unit, pos, _us, ...) and ``marks`` (key, _unit, _state), a unit's mark before its rows, a unit in one part."""
+    both = rows.unionByName(marks.withColumn("pos", F.lit(0).cast("long")), allowMissingColumns=True)
+    return both.repartition(key, "_unit").sortWithinPartitions(key, "_unit", "pos")
+
+
+def _block_ends(rows: DataFrame, marks: DataFrame, key: str, limit: int, width: int) -> DataFrame:
+    """(key, _block, _state): the accepted times that each unit hands to the block after it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: list[tuple[object, int]] = []
+        for batch, _, _, _, ended in _let_in(batches, limit, width):
+            if batch is not None:
+                mark = pc.is_valid(batch.column("_state"))
+                units += zip(batch.column(key).filter(mark).to_pylist(), batch.column("_unit").filter(mark).to_pylist(), strict=True)
+            done, units = units[: len(ended)], units[len(ended) :]
+            if done:
+                yield pa.RecordBatch.from_pydict({key: [k for k, _ in done], "_block": [b + 1 for _, b in done], "_state": ended}, schema=ends)
+
+    out = marks.select(key, F.col("_unit").alias("_block"), "_state").schema
+    ends = to_arrow_schema(out)
+    return _in_units(rows.select(key, "_unit", "pos", "_us"), marks, key).mapInArrow(scan, out)
+
+
+def rate_limited(df: DataFrame, key: str, at: str, tie: str, limit: int, seconds: float, stretch: int = STRETCH, rounds: int = ROUNDS) -> DataFrame:
+    """``df`` (key, at, tie) with ``accepted`` and ``wait``: a row is turned away if ``limit`` accepted rows lie in the window
+    of ``seconds`` before it, and then waits until the first of them leaves it (whole seconds, at least 1).
+
+    Rows turned away are not recorded, so each decision needs those before it: what a row lets in depends on up to
+    ``limit`` rows, so no pointer from one row to the next tells it. A key's rows are cut into blocks of ``stretch`` rows that
+    tasks go through side by side, each from what the block before it handed on (at most ``limit`` times), at first nothing.
+    Blocks that are handed something else than they began with are gone through once more, until none is: after a silence
+    of a window, or once the same rows are let in from either beginning, nothing changes any more. Keys where something
+    still does after ``rounds`` rounds (even traffic, always over the limit) stream in order through one task from the first
+    such block on, where only the window's accepted times are held. The result is the same either way.
+
+    A row without a key is under no limit; without a time it gets null. Of rows of one time and tie either may come first.
     """
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, taken = object(), deque()
-        for frame in frames:
-            done = []
-            for k, t in zip(frame[key], frame[at], strict=True):
-                if k != current:
-                    current, taken = k, deque()
-                while taken and (t - taken[0]).total_seconds() >= seconds:
-                    taken.popleft()
-                ok = len(taken) < limit
-                if ok:
-                    taken.append(t)
-                done.append(ok)
-            yield frame.assign(accepted=done)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(key, at, tie).schema)
-    return df.select(key, at, tie).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(scan, schema + ", accepted boolean")
+    width = round(seconds * 1_000_000)
+    timed = df.where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    at_us = F.unix_micros(F.col(at).cast("timestamp")).alias("_us")
+    block = F.floor((F.col("pos") - 1) / stretch)
+    rows = positions(timed.select(key, at, tie, at_us), key, [at, tie]).withColumn("_unit", block)
+    blocks = written(rows.groupBy(key, F.col("_unit").alias("_block")).agg(F.min("_us").alias("_first")), "blocks")
+    before_another = blocks.select(key, (F.col("_block") - 1).alias("_block")).where("_block >= 0")
+
+    def units(states: DataFrame) -> DataFrame:
+        return states.select(key, F.col("_block").alias("_unit"), "_state")
+
+    held = blocks.select(key, "_block", F.array().cast("array<bigint>").alias("_state"))
+    todo = written(held.join(before_another, [key, "_block"], "left_semi"), "todo")
+    for _ in range(rounds):
+        if todo.isEmpty():
+            break
+        own = rows.join(units(todo), [key, "_unit"], "left_semi")
+        ends = _block_ends(own, units(todo), key, limit, width).join(blocks, [key, "_block"])
+        live = F.filter("_state", lambda t: t > F.col("_first") - width).alias("_state")
+        begun = held.withColumnRenamed("_state", "_begun")
+        changed = ends.select(key, "_block", live).join(begun, [key, "_block"]).where("_state != _begun").drop("_begun")
+        changed = written(changed, "handed")
+        held = written(held.join(changed, [key, "_block"], "left_anti").unionByName(changed), "held")
+        discard(todo)
+        todo = written(changed.join(before_another, [key, "_block"], "left_semi"), "todo")
+        discard(changed)
+    if not todo.isEmpty():
+        first = todo.groupBy(key).agg(F.min("_block").alias("_from"))
+        joined = blocks.join(first, key, "left").select(key, F.col("_block"), F.coalesce(F.least("_block", "_from"), "_block").alias("_to"))
+        rows = rows.withColumnRenamed("_unit", "_block").join(joined, [key, "_block"]).drop("_block").withColumnRenamed("_to", "_unit")
+        held = held.join(joined.where("_block = _to").select(key, "_block"), [key, "_block"], "left_semi")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, places, ok, waits, _ in _let_in(batches, limit, width):
+            if places:
+                kept = batch.take(pa.array(places)).select([key, at, tie])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ok), pa.array(waits, pa.int64())], [*kept.schema.names, "accepted", "wait"])
+
+    named = df.select(key, at, tie, F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("wait"))
+    decided = _in_units(rows, units(held), key).mapInArrow(decide, T.StructType([T.StructField(f.name, f.dataType) for f in named.schema]))
+    untimed = named.where(F.col(key).isNull() | F.col(at).isNull()).withColumn("accepted", F.when(F.col(key).isNull(), True))
+    return decided.unionByName(untimed)
+
+
+def longest_wait(one: DataFrame, other: DataFrame, row: str) -> DataFrame:
+    """(row, wait): the longer wait of two limits (``rate_limited``) that both count a row, so it is let in later, when
+    neither bucket is full; null if both let it in. Each limit records what itself lets in."""
+    return one.select(row, F.col("wait").alias("_one")).join(other.select(row, F.col("wait").alias("_other")), row).select(row, F.greatest("_one", "_other").alias("wait"))
 
 
 def longest_gaps(rows: DataFrame, key: str, at: str, tie: str, kind: str, first: str, opens: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from brindle.operators import chains as C
 from brindle.operators import joins as J
 from brindle.plans.registry import query, table
 
@@ -278,8 +279,8 @@ def t11(spark, sf_dir):
 
 @query("T12_slowest_first", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS position FROM events")
 def t12(spark, sf_dir):
-    order = Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(order).alias("position"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return C.positions(events, "event_type", [F.col("value").desc(), "event_id"], "position").select("event_id", "position")
 
 
 @query("T13_first_failing_gate", "SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) FILTER (WHERE l_discount < 0.03) AS gate FROM lineitem GROUP BY 1")

@@ -123,7 +123,7 @@ def k7(spark, sf_dir):
 
 @query("K8_resume_offset", "SELECT user_id, count(*) AS last_seq FROM events GROUP BY user_id")
 def k8(spark, sf_dir):
-    return W.sequence(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).groupBy("user_id").agg(F.max("seq").cast("long").alias("last_seq"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("last_seq"))  # numbers are gapless
 
 
 @query("K4_coalesced_windows", """SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, string_agg(event_type, '' ORDER BY ts, event_id) AS deltas FROM events GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)""")
@@ -183,11 +183,16 @@ def w20(spark, sf_dir):
     return C.packed_batches(rows, "l_orderkey", "n", "q", 60).select("l_orderkey", "n", "batch")
 
 
-_LIMITED = """WITH RECURSIVE r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-p AS (SELECT event_id, user_id, ts, n, true AS accepted, [ts] AS taken FROM r WHERE n = 1 UNION ALL
-SELECT r.event_id, r.user_id, r.ts, r.n, len(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS)) < 3,
-  CASE WHEN len(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS)) < 3 THEN list_append(list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS), r.ts) ELSE list_filter(taken, lambda t: r.ts - t < INTERVAL 12 HOURS) END
-FROM p JOIN r ON r.user_id = p.user_id AND r.n = p.n + 1)"""
+def _limited(key: str, interval: str, limit: int) -> str:
+    """A CTE p (event_id, key, ts, n, accepted, live): ``live`` are the accepted times in the window before a row."""
+    live = f"list_filter(p.taken, lambda t: r.ts - t < INTERVAL {interval})"
+    step = f"SELECT r.event_id, r.{key}, r.ts, r.n, {live} AS live FROM p JOIN r ON r.{key} = p.{key} AND r.n = p.n + 1"
+    return f"""r AS (SELECT event_id, {key}, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+p AS (SELECT event_id, {key}, ts, n, true AS accepted, []::TIMESTAMP[] AS live, [ts] AS taken FROM r WHERE n = 1 UNION ALL
+SELECT event_id, {key}, ts, n, len(live) < {limit}, live, CASE WHEN len(live) < {limit} THEN list_append(live, ts) ELSE live END FROM ({step}))"""
+
+
+_LIMITED = f"WITH RECURSIVE {_limited('user_id', '12 HOURS', 3)}"
 
 
 @query("W7_rate_limit", f"{_LIMITED} SELECT event_id, user_id, accepted FROM p")
@@ -214,16 +219,18 @@ def k13(spark, sf_dir):
     return w7(spark, sf_dir).groupBy("user_id").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query("W24_two_buckets", """WITH w AS (SELECT event_id, greatest(0, 3600 - floor(date_diff('microsecond', min(ts) OVER a, ts) / 1000000)) AS wu, count(*) OVER a AS nu, greatest(0, 3600 - floor(date_diff('microsecond', min(ts) OVER b, ts) / 1000000)) AS wt, count(*) OVER b AS nt FROM events
-WINDOW a AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW), b AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
-SELECT event_id, greatest(CASE WHEN nu > 1 THEN wu ELSE 0 END, CASE WHEN nt > 4 THEN wt ELSE 0 END)::BIGINT AS wait FROM w""")
+_WAIT = "greatest(1, round_even(43200 - date_diff('microsecond', list_min(live), ts) / 1000000.0, 0))::BIGINT"
+
+
+def _bucket(key: str, limit: int) -> str:
+    return f"(WITH RECURSIVE {_limited(key, '12 HOURS', limit)} SELECT event_id, CASE WHEN NOT accepted THEN {_WAIT} END AS wait FROM p)"
+
+
+@query("W24_two_buckets", f"SELECT event_id, greatest(u.wait, t.wait) AS wait FROM {_bucket('user_id', 3)} u JOIN {_bucket('event_type', 25)} t USING (event_id)")
 def w24(spark, sf_dir):
-    cols = {}
-    for name, key in (("u", "user_id"), ("t", "event_type")):
-        cols |= {f"n{name}": W.rolling("count(1)", key, "ts", "1 HOURS"), f"o{name}": W.rolling("min(ts)", key, "ts", "1 HOURS")}
-    out = table(spark, sf_dir, "events").select("event_id", "ts", *[c.alias(n) for n, c in cols.items()])
-    wait = lambda name, most: F.when(F.col(f"n{name}") > most, F.greatest(F.lit(0), 3600 - F.floor(F.expr(f"timestampdiff(MICROSECOND, o{name}, ts)") / 1000000))).otherwise(F.lit(0))
-    return out.select("event_id", F.greatest(wait("u", 1), wait("t", 4)).cast("long").alias("wait"))
+    events = table(spark, sf_dir, "events")
+    by_user, by_type = (W.rate_limited(events, key, "ts", "event_id", limit, 3600 * 12) for key, limit in (("user_id", 3), ("event_type", 25)))
+    return W.longest_wait(by_user, by_type, "event_id")
 
 
 @query("K2_followed_run", "SELECT event_id, seq FROM (SELECT event_id, ts, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events WHERE user_id = 3) WHERE seq > 2 AND seq <= coalesce((SELECT min(s) FROM (SELECT event_type, row_number() OVER (ORDER BY ts, event_id) AS s FROM events WHERE user_id = 3) WHERE event_type = 'purchase' AND s > 2), 1000000)")

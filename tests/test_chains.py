@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import chains as C
+from brindle.operators import windows as W
 
 
 def batches(sizes, budget):
@@ -83,3 +84,53 @@ def test_one_key_with_most_rows_lies_in_many_parts(spark):
     out = C.packed_batches(rows, "k", "i", "s", 100)
     want = Counter(batches(sizes, 100))
     assert {r.batch: r["count"] for r in out.groupBy("batch").count().collect()} == want
+
+
+def let_in(times, limit, width):
+    out, taken = [], []
+    for t in times:
+        taken = [x for x in taken if t - x < width]
+        out.append((len(taken) < limit, None if len(taken) < limit else max(1, round(width - (t - taken[0])))))
+        taken += [t] * out[-1][0]
+    return out
+
+
+def by_time(spark, keys, parts=3):
+    base = datetime(2024, 1, 1)
+    rows = [(k, base + timedelta(seconds=t), i) for k, own in keys.items() for i, t in enumerate(own)]
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, "k string, ts timestamp, i long").repartition(parts)
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 60])
+def test_limited_keys_in_blocks_equal_the_row_by_row_version(spark, rounds):
+    rng, keys = random.Random(rounds), {}
+    for k in range(6):
+        steps = [rng.choice([[0, 1], [5, 10, 11], [1, 300], [59, 60, 61], [0]][k % 5]) for _ in range(rng.randint(1, 90))]
+        keys[f"k{k}"] = [sum(steps[:n]) for n in range(len(steps))]
+    keys["even"] = list(range(0, 400, 4))  # always over the limit: blocks hand on something else each round
+    out = W.rate_limited(by_time(spark, keys), "k", "ts", "i", 3, 60, stretch=7, rounds=rounds).collect()
+    got = {(r.k, r.i): (r.accepted, r.wait) for r in out}
+    assert len(out) == sum(map(len, keys.values()))
+    for k, own in keys.items():
+        assert [got[k, i] for i in range(len(own))] == let_in(own, 3, 60), k
+
+
+def test_limited_rows_without_key_or_time(spark):
+    rows = spark.createDataFrame([(None, datetime(2024, 1, 1), 1), ("a", None, 2), ("a", datetime(2024, 1, 1), None), ("a", datetime(2024, 1, 1), 4), (None, None, 5)], "k string, ts timestamp, accepted long")
+    out = W.rate_limited(rows.withColumnRenamed("accepted", "i"), "k", "ts", "i", 1, 60).collect()
+    assert sorted((str(r.k), str(r.i), r.accepted, r.wait) for r in out) == [("None", "1", True, None), ("None", "5", True, None), ("a", "2", None, None), ("a", "4", False, 60), ("a", "None", True, None)]
+    assert W.rate_limited(spark.createDataFrame([], "k string, ts timestamp, i long"), "k", "ts", "i", 1, 60).count() == 0
+
+
+def test_a_key_of_a_million_rows_is_limited_in_many_parts(spark, monkeypatch):
+    times = F.expr("timestamp_micros(1700000000000000 + (id div 40) * 600000000 + (id % 40) * 1000000)")
+    rows = spark.range(1_000_000, numPartitions=8).select(F.lit("hot").alias("k"), times.alias("ts"), F.col("id").alias("i"))
+    seen = []
+    real = W._block_ends
+    monkeypatch.setattr(W, "_block_ends", lambda rows, marks, *a: seen.append(marks.count()) or real(rows, marks, *a))
+    out = W.rate_limited(rows, "k", "ts", "i", 10, 60)
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    # 40 rows in a row every ten minutes: of each run the first ten are let in; all blocks agree after one round.
+    assert out.where("accepted <> (i % 40 < 10)").count() == 0
+    assert seen == [49] and sum(p["count"] for p in parts) == 1_000_000 and max(p["count"] for p in parts) < 600_000
