@@ -8,6 +8,7 @@ from brindle.functions import language as L
 from brindle.functions import text as T
 from brindle.plans.registry import query, table
 from brindle.plans.retrieval import TOKENS_SQL
+from brindle.plans.texts import _DECLINES, _declines_sql
 
 
 def _turns(spark, sf_dir):
@@ -83,7 +84,7 @@ def x18(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", hit.alias("hit"))
 
 
-@query("X22_confident_wrong")
+@query("X22_confident_wrong", f"SELECT conv_id, turn, role, role = 'assistant' AND {_T} <> '' AND NOT {_DECLINES} AS wrong FROM conversations")
 def x22(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     wrong = (F.col("role") == "assistant") & (text != "") & ~T.says_not_in_sources(text)
@@ -148,7 +149,11 @@ def x50(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", "role", L.instant_title(F.coalesce("text", F.lit(""))).alias("title"))
 
 
-@query("X56_caveats")
+_REPLY = f"({_T} || '. The sources do not say more.')"
+
+
+@query("X56_caveats", f"""WITH s AS (SELECT conv_id, turn, role, {_SENT.replace(_T, _REPLY)} AS s FROM conversations), h AS (SELECT *, array_to_string(s[1:len(s) - 1], ' ') AS head FROM s)
+SELECT conv_id, turn, role, len(s) > 1 AND {_declines_sql('s[len(s)]')} AND NOT {_declines_sql('head')} AND length(head) >= 120 AND turn % 2 = 1 AS caveat FROM h""")
 def x56(spark, sf_dir):
     reply = F.concat(F.coalesce("text", F.lit("")), F.lit(". The sources do not say more."))
     return _turns(spark, sf_dir).select("conv_id", "turn", "role", L.caveat_only(reply, T.says_not_in_sources, F.col("turn") % 2 == 1).alias("caveat"))

@@ -65,7 +65,23 @@ def x20(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(T.citation_markers(F.coalesce("text", F.lit(""))), lambda x: x.cast("string")), ",").alias("markers"))
 
 
-@query("X21_declines")
+def _declines_sql(text: str) -> str:
+    """Whether ``text`` declines. Every contrast in what follows a wording is marked and looked at by itself, as these patterns
+    cannot look ahead: what stands before it, and what comes after."""
+    plain = lambda p: p.replace("'", "''").replace(r"\w", r"[\p{L}\p{N}_]")
+    tails = ", ".join(f"regexp_extract(x, '(?i)((?:{plain(p)})[\\s\\S]*)', 1)" for p in T.DECLINES)
+    marked = f"string_split(regexp_replace(t, '(?i)({plain(T.CONTRAST)})', chr(30) || '\\1' || chr(31), 'g'), chr(30))"
+    before = "regexp_replace(array_to_string(p[1:k], ''), chr(31), '', 'g')"
+    after = "regexp_replace(array_to_string(p[k + 1:], ''), '^[^' || chr(31) || ']*' || chr(31), '')"
+    goes_on = rf"""(NOT regexp_matches({before}, '[.!?。]\s|\n') OR regexp_matches({before}, '[.!?。\n][ \t"“]*$')) AND NOT regexp_matches({after}, '(?i)^{plain(T.DENIAL)}') AND regexp_matches({after}, '{T.ASSERTION}')"""
+    turned = f"len(list_filter(tails, lambda t: len(list_filter(range(1, len({marked})), lambda k: {goes_on.replace('p[', marked + '[')})) > 0)) > 0"
+    return f"(SELECT len(tails) > 0 AND NOT {turned} FROM (SELECT list_filter([{tails}], lambda t: t <> '') AS tails FROM (SELECT {text} AS x)))"
+
+
+_DECLINES = _declines_sql("coalesce(text, '')")
+
+
+@query("X21_declines", f"SELECT conv_id, turn, role, {_DECLINES} AS declines FROM conversations")
 def x21(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", T.says_not_in_sources(F.coalesce("text", F.lit(""))).alias("declines"))
 

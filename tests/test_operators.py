@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from brindle.operators import joins as J
 from brindle.operators import retrieval as R
 from brindle.operators import chains as C
 from brindle.operators import windows as W
+from brindle.plans.registry import oracle_sql, queries
 
 
 def rows(df, *cols):
@@ -188,7 +190,7 @@ def test_injection_spans_end_with_the_paragraph(spark):
     assert tuple(r[0]) == ("A fact. [REDACTED:INJECTION]\n\nAnother fact.\n# Head\n[REDACTED:INJECTION]", 2, True) and tuple(r[1]) == ("plain", 0, True)
 
 
-def test_declines(spark):
+def test_declines(spark, tmp_path):
     cases = {
         "The sources do not say who she was.": True,
         "I cannot find the price, but it costs $999.": False,
@@ -207,6 +209,15 @@ def test_declines(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "x string")
     assert {r.x: r.d for r in df.select("x", T.says_not_in_sources(F.col("x")).alias("d")).collect()} == cases
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    turns = [(i, i % 4, ["user", "assistant"][i % 2], t) for i, t in enumerate([*cases, *(f"{'It says so on many pages. ' * 5}{c}" for c in cases), None])]
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in ("X21_declines", "X22_confident_wrong", "X56_caveats"):
+        got = queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and len({r[-1] for r in want}) == 2, name
 
 
 def test_small_text_functions(spark):
