@@ -21,6 +21,7 @@ FORMATS = {
     "html": "text/html", "htm": "text/html", "csv": "text/csv", "txt": "text/plain", "md": "text/markdown",
 }
 MOST_BYTES = 20 * 1024 * 1024
+LOW_CONFIDENCE = 60
 SECTION_TOKENS, CHILD_TOKENS, OVERLAP_TOKENS = 2000, 300, 45
 
 
@@ -86,6 +87,17 @@ def tsv_lines(tsv: DataFrame, least: float = 0.0) -> DataFrame:
     return stats.join(text, "id", "left").select("id", "text", "confidence", "n")
 
 
+def image_documents(pages: DataFrame) -> DataFrame:
+    """Images (id, text, confidence) as documents: (id, markdown, flags, error). What was recognised is the whole document.
+
+    An image without any recognised text has an error and no document. A confidence that is missing counts as a low one.
+    """
+    read = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\x0B]+", "")) > 0
+    low = F.coalesce(F.col("confidence") < LOW_CONFIDENCE, F.lit(True))
+    flags = F.when(low, F.array(F.lit("ocr"), F.lit("ocr_low_confidence"))).otherwise(F.array(F.lit("ocr")))
+    return pages.select("id", F.when(read, F.col("text")).alias("markdown"), F.when(read, flags).alias("flags"), F.when(~read, "No text could be read from this image").alias("error"))
+
+
 def count_tokens(text: str) -> int:
     """A deterministic token count: four characters each."""
     return -(-len(text) // 4)

@@ -55,6 +55,20 @@ def s10(spark, sf_dir):
     return I.tsv_lines(tsv, 50.0).select("id", F.md5("text").alias("text_md5"), F.round("confidence", 6).alias("confidence"), "n")
 
 
+@query("S32_image_documents", """WITH w AS (SELECT l_orderkey AS id, l_linenumber AS line, l_partkey * 100 + l_quantity AS word, l_discount * 1000 AS conf, 'w' || l_partkey AS t FROM lineitem),
+l AS (SELECT id, line, string_agg(t, ' ' ORDER BY word, t) AS t FROM w WHERE conf >= 40 GROUP BY ALL), p AS (SELECT id, string_agg(t, chr(10) ORDER BY line) AS text FROM l GROUP BY id)
+SELECT id, md5(text) AS text_md5, CASE WHEN text IS NULL THEN NULL WHEN c < 60 THEN 'ocr,ocr_low_confidence' ELSE 'ocr' END AS flags, text IS NULL AS failed, CASE WHEN text IS NULL THEN 0 ELSE 1 END::BIGINT AS chunks FROM (SELECT id, round(avg(conf), 6) AS c FROM w GROUP BY id) LEFT JOIN p USING (id)""")
+def s32(spark, sf_dir):
+    """Each order's lines are an image's recognised words; the documents that come of it are cut into chunks."""
+    words = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.lit(1).alias("block"), F.lit(1).alias("par"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") * 100 + F.col("l_quantity")).alias("word"),
+        (F.col("l_discount") * 1000).alias("conf"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"),
+    )
+    images = I.image_documents(I.tsv_lines(words, 40.0).withColumn("confidence", F.round("confidence", 6)))
+    chunks = I.chunked(images.where("error is null").select(F.col("id").alias("doc_id"), F.col("markdown").alias("text"))).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
+    return images.join(chunks, "id", "left").select("id", F.md5("markdown").alias("text_md5"), F.array_join("flags", ",").alias("flags"), F.col("error").isNotNull().alias("failed"), F.coalesce("chunks", F.lit(0).cast("long")).alias("chunks"))
+
+
 _PAGES = "(SELECT page_id AS doc_id, regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g') AS text FROM pages)"
 
 

@@ -264,6 +264,13 @@ def test_ocr_lines(spark):
     assert rows(out) == [(1, "hello world\nend", 62.5, 4)]
 
 
+def test_images_become_documents(spark):
+    pages = [(1, " A text\n", 60.0), (2, "low", 59.9), (3, " \n\t", 90.0), (4, None, None), (5, "x", None)]
+    out = I.image_documents(spark.createDataFrame(pages, "id long, text string, confidence double")).collect()
+    assert {r.id: (r.markdown, r.flags) for r in out if r.error is None} == {1: (" A text\n", ["ocr"]), 2: ("low", ["ocr", "ocr_low_confidence"]), 5: ("x", ["ocr", "ocr_low_confidence"])}
+    assert {r.id for r in out if r.error} == {3, 4} and all(r.markdown is None and r.flags is None for r in out if r.error)
+
+
 def test_equal_texts_are_embedded_once_and_alike(spark):
     df = spark.createDataFrame([(1, "a cat sat"), (2, "a cat sat"), (3, None)], "id long, text string")
     got = {r.id: r.embedding for r in I.embedded(df, I.hashing_embedder(8)).collect()}
