@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import language as L
 from brindle.functions import settings as Q
 from brindle.operators import ingest as I
+from brindle.operators import settings as Y
 from brindle.operators import text_index as X
 from brindle.operators.tables import shared_dir
 from brindle.plans.ingest import _files
@@ -232,16 +233,35 @@ def x30(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", Q.unified_diff(before, after).alias("diff"))
 
 
-_BASE = {"retrieval": {"limit": 40, "reserve": 8, "weight": 0.35}, "guards": {"block": 0.8}, "name": "default"}
-_RULES = {"retrieval.limit": Q.between(1, 200), "retrieval.reserve": Q.between(0, 40), "retrieval.weight": Q.between(0, 1), "guards.block": Q.between(0, 1, null=True), "name": lambda v: isinstance(v, str) and v != ""}
+_WRITES = """w AS (SELECT user_id, ts, event_id, unnest(CASE WHEN event_id % 50 = 0 THEN [{'path': ['retrieval'], 'value': k}] WHEN event_id % 3 = 0 THEN [{'path': ['name'], 'value': '"' || event_type || '"'}]
+  ELSE [{'path': ['retrieval', 'limit'], 'value': k}, {'path': ['retrieval', 'share', event_type], 'value': k || '.5'}] END, recursive := true) FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)),
+s AS (SELECT * FROM w a WHERE NOT EXISTS (FROM w b WHERE b.user_id = a.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND (b.path = a.path[1:len(b.path)] OR a.path = b.path[1:len(a.path)])))"""
 
 
-@query("X34_X35_settings", "SELECT * FROM (VALUES ('guards.block', '0.8', ''), ('name', 'new', ''), ('odd', '1', 'odd'), ('retrieval.limit', '500', 'retrieval.limit'), ('retrieval.reserve', '8', ''), ('retrieval.weight', '0.35', '')) t(name, value, problem)")
+def _settings(spark, sf_dir):
+    """Each event patches its user's settings: a section, a name, or a value in the place of the whole section."""
+    events = table(spark, sf_dir, "events")
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_type")
+    name = F.format_string('{"name": "%s"}', kind)
+    section = F.format_string('{"retrieval": {"limit": %s, "share": {"%s": %s.5}}}', k, kind, k)
+    patch = F.when(F.col("event_id") % 50 == 0, F.format_string('{"retrieval": %s}', k)).when(F.col("event_id") % 3 == 0, name).otherwise(section)
+    patches = events.select("user_id", F.struct("ts", "event_id").alias("version"), patch.alias("patch"))
+    return Y.deep_merged(Y.leaves(patches, "patch"), "user_id", "version")
+
+
+@query("X34_merged_settings", f"WITH {_WRITES} SELECT user_id, array_to_string(path, '.') AS name, value FROM s")
+def x34_merged(spark, sf_dir):
+    return _settings(spark, sf_dir).select("user_id", F.array_join("path", ".").alias("name"), "value")
+
+
+_RULES = [("retrieval.limit", "integer", 10.0, 80.0, None, False), ("retrieval.share.*", "number", 0.0, 60.0, None, True), ("retrieval.share.click", "integer", None, None, None, False), ("name", "text", None, None, ["click", "purchase"], False)]
+
+
+@query("X34_X35_settings", f"""WITH {_WRITES} SELECT user_id, array_to_string(path, '.') AS name, value, CASE WHEN path = ['retrieval'] THEN 'unknown' WHEN path = ['name'] THEN CASE WHEN value NOT IN ('"click"', '"purchase"') THEN 'range' END
+WHEN path[2] = 'limit' THEN CASE WHEN value::DOUBLE NOT BETWEEN 10 AND 80 THEN 'range' END WHEN path[3] = 'click' THEN 'type' WHEN value::DOUBLE NOT BETWEEN 0 AND 60 THEN 'range' END AS problem FROM s""")
 def x34(spark, sf_dir):
-    now = Q.merged(_BASE, {"retrieval": {"limit": 500}, "name": "new", "odd": 1})
-    bad = Q.problems(now, _RULES)
-    flat = {f"{k}.{n}": x for k, v in now.items() if isinstance(v, dict) for n, x in v.items()} | {k: v for k, v in now.items() if not isinstance(v, dict)}
-    return spark.createDataFrame([(k, str(v), k if k in bad else "") for k, v in flat.items()], "name string, value string, problem string")
+    rules = spark.createDataFrame(_RULES, "name string, kind string, low double, high double, choices array<string>, optional boolean")
+    return Y.checked(_settings(spark, sf_dir), rules).select("user_id", "name", "value", "problem")
 
 
 @query("X45_abstain_summaries", "WITH o AS (SELECT l_orderkey, list_distinct(list('p' || l_partkey % 7 ORDER BY l_linenumber, l_partkey)) AS n FROM lineitem GROUP BY 1), d AS (SELECT l_orderkey, 'p' || l_partkey % 7 AS n, min((l_linenumber, l_partkey)) AS k FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS i FROM d) SELECT l_orderkey, string_agg(n, ', ' ORDER BY i) FILTER (WHERE i <= 4) || '; page 1' AS summary FROM r GROUP BY 1")
