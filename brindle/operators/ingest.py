@@ -249,7 +249,7 @@ Embedder = tuple[Callable[[Column], Column], Callable[[Column], Column]]
 def hashing_embedder(width: int = 64) -> Embedder:
     """The default of the embedding seam: signed feature hashing of words, of length 1. No model and no network.
 
-    An embedder is two functions: what of a text it reads, and the vector of that.
+    A word's place and sign come from the first 32 bits of its MD5, so any engine can work the vector out again. An embedder is two functions: what of a text it reads, and the vector of that.
     """
     from pyspark.sql.types import ArrayType, FloatType
 
@@ -260,14 +260,14 @@ def hashing_embedder(width: int = 64) -> Embedder:
         def one(hs: np.ndarray | None) -> list[float]:
             v = np.zeros(width)
             if hs is not None and len(hs):
-                h = np.asarray(hs, dtype=np.int64).view(np.uint64)
-                np.add.at(v, (h % np.uint64(width)).astype(int), np.where(h >> np.uint64(63), -1.0, 1.0))
-                v /= max(np.linalg.norm(v), 1e-12)
+                h = np.asarray(hs, dtype=np.int64)
+                np.add.at(v, h % width, np.where(h >> 31, -1.0, 1.0))
+                v /= max(np.sqrt(v @ v), 1e-12)
             return v.astype("float32").tolist()
 
         return hashes.map(one)
 
-    return lambda text: F.transform(tokens(text), lambda t: F.xxhash64(t)), embed
+    return lambda text: F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")), embed
 
 
 def embedded(texts: DataFrame, embedder: Embedder, column: str = "text") -> DataFrame:
