@@ -7,12 +7,17 @@ for every row at once; which rows a chain from the first row visits is then told
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.operators.tables import discard, written
 
-#: Rows of a key that one window holds.
+#: Rows of a key that one window or one task holds.
 STRETCH = 20_000
 
 
@@ -79,12 +84,54 @@ def visited(pointers: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
     return found
 
 
-def packed_batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+def packed_batches(rows: DataFrame, key: str, order: str, size: str, budget: int, most: int = STRETCH) -> DataFrame:
     """``rows`` (key, order, size) with ``batch`` from 0: rows go into a batch in order as long as they fit the budget.
 
     A first row beyond the budget is a batch with the empty rows before it; a null size counts as none. Of rows of one
     place in the order either may come first. An empty table gives no rows.
+
+    Keys of at most ``most`` rows are dealt once and gone through in order, with no table between; only the rows of
+    longer keys go by pointer doubling. Rows without a key are filled in order like those of one key.
     """
+    rows = rows.select(key, order, size)
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    long = written(counts.where(F.col("_n") > most).select(key), "long-keys")
+    if long.isEmpty():
+        return _filled_in_order(rows, key, order, size, budget)
+    short = _filled_in_order(rows.join(long, key, "left_anti"), key, order, size, budget)
+    return short.unionByName(_filled_by_pointers(rows.join(long, key, "left_semi"), key, order, size, budget))
+
+
+def _filled_in_order(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    """``packed_batches``, each key in one task: its rows stream by, and only what the open batch holds is kept."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, batch, used = None, 0, 0
+        for part in batches:
+            if not part.num_rows:
+                continue
+            keys = part.column(0).dictionary_encode("encode")
+            codes = keys.indices.to_numpy()
+            begins = np.diff(codes, prepend=codes[0]) != 0
+            begins[0] = last is None or last[0] != keys[0].as_py()
+            last, out = (keys[len(keys) - 1].as_py(),), []
+            for n, begin in zip(part.column("_size").to_pylist(), begins.tolist(), strict=True):
+                if begin:
+                    batch, used = 0, n
+                elif used and used + n > budget:
+                    batch, used = batch + 1, n
+                else:
+                    used += n
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.int32())], [*part.schema.names[:3], "batch"])
+
+    sized = rows.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0)))
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("batch", T.IntegerType())])
+    return sized.repartition(key).sortWithinPartitions(key, order).mapInArrow(fill, out)
+
+
+def _filled_by_pointers(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
+    """``packed_batches``, no key in one task: where a batch would end is told for each row, and the chain is followed."""
     at = positions(rows.select(key, order, size).withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))), key, [order])
     summed = running(at, key, F.col("_size"), "sum", "_sum").withColumn("_before", F.col("_sum") - F.col("_size"))
     # The first row whose sum is over the budget is the last one that begins within it.

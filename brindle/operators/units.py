@@ -1,12 +1,12 @@
 """Units of texts, windows of units that fit a limit, and what a window repeats of the one before.
 
 Paragraphs fall into sentences, these into runs of words, and words into pieces, each only where the larger unit is over
-the limit. Filling goes by pointer doubling, so a text of any length is spread over tasks.
+the limit. A text is cut in its own row; windows of very many units are filled by pointer doubling.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.language import sentences
@@ -18,34 +18,46 @@ from brindle.operators.tables import written
 SIGNS = 4
 
 
+def _runs(sentence: Column, signs: int) -> Column:
+    """Runs of words, filled to ``signs``; a longer word is cut into pieces of that size, of which the last goes on as a word.
+
+    A greedy pattern takes the longest run that fits and ends with a word, so all is cut in the row that holds the text.
+    """
+    words = F.btrim(F.regexp_replace(sentence, r"\s+", " "))
+    words = F.regexp_replace(words, rf"(\S{{{signs}}})(?=\S)", "$1 ")
+    return F.regexp_extract_all(words, F.lit(rf"(?s)\S(?:.{{0,{signs - 2}}}\S)?(?=\s|$)" if signs > 1 else r"\S"), 0)
+
+
 def text_units(docs: DataFrame, limit: int) -> DataFrame:
     """(doc_id, n, text, tokens) of (doc_id, text): units of at most ``limit`` tokens, numbered from 1 in their order.
 
     Runs of words are filled to the limit; a word beyond it is cut into pieces of the limit, of which the last goes on as a
     word. A null or blank text has no units. Ids are taken as the keys of documents: rows of one id are one document.
+
+    A text is cut within its row, where its units have their numbers, so no text is shuffled or written; only texts of
+    an id that stands in several rows are dealt by it to be numbered as one.
     """
-    own = docs.where("doc_id is not null").select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("par", "p"))
-    fits = lambda c: F.length(c) <= limit * SIGNS
-    parts = own.select("doc_id", "par", F.posexplode(F.when(fits("p"), F.array("p")).otherwise(sentences(F.col("p")))).alias("sent", "s"))
-    parts = written(parts.withColumn("fits", fits("s")), "sentences")
-    whole = parts.where("fits").select("doc_id", "par", "sent", F.lit(0).alias("run"), F.col("s").alias("text"))
-    words = parts.where("not fits").select("doc_id", "par", "sent", F.posexplode(F.filter(F.split("s", r"\s+"), lambda w: w != "")).alias("i", "w"))
-    cuts = F.sequence(F.lit(0), F.floor((F.length("w") - 1) / (limit * SIGNS)).cast("int"))
-    pieces = words.select("doc_id", "par", "sent", "i", F.posexplode(F.transform(cuts, lambda k: F.substring("w", k * (limit * SIGNS) + 1, F.lit(limit * SIGNS)))).alias("o", "t"))
-    pieces = pieces.select(F.concat_ws(":", "doc_id", "par", "sent").alias("key"), (F.col("i").cast("long") * (1 << 24) + F.col("o")).alias("at"), "doc_id", "par", "sent", "t", (F.length("t") + 1).alias("size"))
-    pieces = written(pieces, "pieces")
-    # A run of words is as long as its words and a blank between each two.
-    runs = packed_batches(pieces, "key", "at", "size", limit * SIGNS + 1).select("key", "at", F.col("batch").alias("run"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]), " ")
-    runs = pieces.join(runs, ["key", "at"]).groupBy("doc_id", "par", "sent", "run").agg(joined.alias("text"))
-    order = Window.partitionBy("doc_id").orderBy("par", "sent", "run")
-    out = whole.unionByName(runs).withColumn("n", F.row_number().over(order))
-    return out.select("doc_id", "n", "text", token_count(F.col("text")).alias("tokens"))
+    signs = limit * SIGNS
+
+    def cut(p: Column, i: Column) -> Column:
+        parts = F.when(F.length(p) <= signs, F.array(p)).otherwise(sentences(p))
+        return F.flatten(F.transform(parts, lambda s, j: F.transform(F.when(F.length(s) <= signs, F.array(s)).otherwise(_runs(s, signs)), lambda t, r: F.struct(i.alias("par"), j.alias("sent"), r.alias("run"), t.alias("text")))))
+
+    named = docs.where("doc_id is not null").select("doc_id", "text")
+    several = written(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"), "several-rows")
+    units = lambda rows: rows.select("doc_id", F.posexplode(F.flatten(F.transform(paragraphs(F.col("text")), cut))).alias("at", "u"))
+    shared = not several.isEmpty()
+    out = units(named.join(several, "doc_id", "left_anti") if shared else named).select("doc_id", F.col("at") + 1, "u.text")
+    if shared:
+        order = Window.partitionBy("doc_id").orderBy("u.par", "u.sent", "u.run")
+        out = out.union(units(named.join(several, "doc_id", "left_semi")).select("doc_id", F.row_number().over(order), "u.text"))
+    return out.toDF("doc_id", "n", "text").select("doc_id", "n", "text", token_count(F.col("text")).alias("tokens"))
 
 
 def token_windows(units: DataFrame, limit: int) -> DataFrame:
     """(doc_id, n, tokens, window): units go into windows in order as long as these hold at most ``limit`` tokens."""
-    out = packed_batches(units.select("doc_id", "n", "tokens"), "doc_id", "n", "tokens", limit)
+    sizes = written(units.select("doc_id", "n", "tokens"), "unit-sizes")  # texts are cut once
+    out = packed_batches(sizes, "doc_id", "n", "tokens", limit)
     return out.withColumnRenamed("batch", "window")
 
 
