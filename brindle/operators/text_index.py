@@ -24,14 +24,17 @@ from pyspark.sql import functions as F
 from brindle.functions.text import tokens
 from brindle.operators.tables import shared_dir
 
-#: A shard ends at so many documents (whose numbers fit 16 bits) or words; documents of a block; folders of terms.
-SHARD_DOCS, SHARD_WORDS, BLOCK, BUCKETS = 65_536, 4_000_000, 32, 16
+#: A shard ends at so many documents (whose numbers fit 16 bits) or words; documents of a block; folders of terms. A task
+#: holds one shard at a time, so the words bound its memory, whatever the table's size.
+SHARD_DOCS, SHARD_WORDS, BLOCK, BUCKETS = 65_536, 1_000_000, 32, 16
+#: Stored rows that a search unpacks at once.
+UNPACKED = 256
 #: Groups of shards whose rows of one folder stay together.
 LANES = 64
 #: Words of queries that one pass over the index takes: the bound of what is sent to the executors.
 MOST_WORDS = 20_000
 #: Layout of the stored rows; a change makes older indexes unknown.
-VERSION = 1
+VERSION = 2
 
 ROWS = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64()), *[(c, pa.binary()) for c in ("docs", "freqs", "blocks", "most", "least", "starts")]])
 
@@ -269,7 +272,7 @@ def _searched(rows: DataFrame, queries: list[tuple[int, list[int]]], words: dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for lo in range(0, batch.num_rows, UNPACKED) for r in batch.slice(lo, UNPACKED).to_pylist()):
                 if r["shard"] != now:
                     yield answers(shard)
                     now, shard = r["shard"], None
