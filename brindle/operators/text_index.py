@@ -29,8 +29,6 @@ from brindle.operators.tables import shared_dir
 SHARD_DOCS, SHARD_WORDS, BLOCK, BUCKETS = 65_536, 1_000_000, 32, 16
 #: Stored rows that a search unpacks at once.
 UNPACKED = 256
-#: Groups of shards whose rows of one folder stay together.
-LANES = 64
 #: Words of queries that one pass over the index takes: the bound of what is sent to the executors.
 MOST_WORDS = 20_000
 #: Layout of the stored rows; a change makes older indexes unknown.
@@ -163,12 +161,13 @@ def _spread(docs: DataFrame) -> DataFrame:
 def build(docs: DataFrame, path: str) -> TextIndex:
     """Writes an index of ``docs`` (id, text). Rows without an id take no part; each other row is a document.
 
-    A folder's rows are dealt to tasks by groups of shards, so that no task writes all rows of a common word.
+    Each task writes the rows of its own shards into the folders, so none are shuffled, and no task writes all rows of a
+    common word.
     """
     own = _spread(docs.where("id is not null")).select(F.col("id").cast("long").alias("id"), tokens(F.col("text")).alias("t"))
     rows = own.mapInArrow(_shards, STORED).withColumn("bucket", _bucket("term"))
     # Sorted, so that the statistics of a file's parts tell which words they have.
-    rows.repartition("bucket", F.pmod(F.xxhash64("shard"), F.lit(LANES))).sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/rows")
+    rows.sortWithinPartitions("bucket", "term", "shard").write.partitionBy("bucket").parquet(f"{path}/rows")
     index = TextIndex(docs.sparkSession, path)
     index.rows.where("bucket >= 0").groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("total")).write.parquet(f"{path}/terms")
     return index

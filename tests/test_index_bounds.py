@@ -29,3 +29,10 @@ def test_an_indexing_task_holds_a_bounded_shard(monkeypatch):
     tracemalloc.stop()
     assert (docs, words) == (10_000, 3_000_000)
     assert peak < 100e6, peak  # bytes of numpy's arrays
+
+
+def test_index_rows_are_written_by_the_task_that_made_them(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common w{i % 7} x{i}") for i in range(400)], "id long, text string")
+    index = X.build(docs, f"file://{tmp_path}/index")
+    tasks = index.rows.selectExpr("input_file_name() AS f", "shard >> 24 AS task").distinct().groupBy("f").count().collect()
+    assert len(tasks) > 4 and {r["count"] for r in tasks} == {1}
