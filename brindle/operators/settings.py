@@ -9,22 +9,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.tables import written
+
+
+#: Levels of a document that one pass opens; only what lies deeper takes another.
+LEVELS = 3
+
 
 def leaves(docs: DataFrame, column: str) -> DataFrame:
     """``docs`` but for ``column``, JSON texts, with a row for each leaf of it: ``path`` (the keys down to it) and ``value`` (its JSON).
 
-    Lists are leaves. Empty objects have none; a text that is no JSON object has none either. A pass for each level.
+    Lists are leaves. Empty objects have none; a text that is no JSON object has none either. Texts are parsed once, and
+    the leaves are written: a pass opens ``LEVELS`` levels, in which leaves go along with the objects still to be opened.
     """
     spark, kept = docs.sparkSession, [c for c in docs.columns if c != column]
     is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
     level = docs.select(*kept, F.array().cast("array<string>").alias("path"), F.try_parse_json(column).alias("_v")).where(is_object)
     out = None
     while out is None or not level.isEmpty():
-        below = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        below = below.select(*kept, F.array_append("path", F.col("key")).alias("path"), F.col("value").alias("_v"))
-        found = below.where(~is_object).select(*kept, "path", F.to_json("_v").alias("value"))
+        level = level.withColumn("_open", F.lit(True))
+        for _ in range(LEVELS):
+            level = level.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("_v")).outer()))
+            level = level.where(~F.col("_open") | F.col("key").isNotNull())  # an empty object has no leaf
+            deeper = F.when(F.col("_open"), F.array_append("path", F.col("key"))).otherwise(F.col("path"))
+            level = level.select(*kept, deeper.alias("path"), F.when(F.col("_open"), F.col("value")).otherwise(F.col("_v")).alias("_v"), F.col("_open").alias("_was"))
+            level = level.select(*kept, "path", "_v", (F.col("_was") & is_object).alias("_open"))
+        value, rest = F.when(~F.col("_open"), F.to_json("_v")), F.when(F.col("_open"), F.to_json("_v"))
+        level = written(level.select(*kept, "path", value.alias("value"), rest.alias("_rest")), "leaves")
+        found = level.where("value is not null").drop("_rest")
         out = found if out is None else out.unionByName(found)
-        level = below.where(is_object)
+        level = level.where("_rest is not null").select(*kept, "path", F.parse_json("_rest").alias("_v"))
     return out
 
 
@@ -40,12 +54,15 @@ def deep_merged(writes: DataFrame, key: str, version: str) -> DataFrame:
     and tells the patches of a key apart. Rows without a key or version are left out.
     """
     writes = writes.where(F.col(key).isNotNull() & F.col(version).isNotNull()).select(key, F.col(version).alias("_at"), "path", "value")
-    steps = writes.select(key, "_at", "path", F.explode(_prefixes(F.col("path"), F.size("path"))).alias("step"))
+    # Only the latest write at a path can stand, so all that follows works on a row for each path of a key.
+    latest = written(writes.groupBy(key, "path").agg(F.max("_at").alias("_at")), "latest")
+    steps = latest.select(key, "_at", "path", F.explode(_prefixes(F.col("path"), F.size("path"))).alias("step"))
     last = steps.groupBy(key, "step").agg(F.max("_at").alias("_under"), F.max(F.when(F.size("step") == F.size("path"), F.col("_at"))).alias("_own"))
-    own = writes.join(last.select(key, F.col("step").alias("path"), "_under"), [key, "path"]).where("_at = _under")
+    own = latest.join(last.select(key, F.col("step").alias("path"), "_under"), [key, "path"]).where("_at = _under").drop("_under")
     above = own.where(F.size("path") > 1).select(key, "path", "_at", F.explode(_prefixes(F.col("path"), F.size("path") - 1)).alias("step"))
     gone = above.join(last.where("_own is not null").select(key, "step", "_own"), [key, "step"]).where("_own > _at")
-    return own.join(gone.select(key, "path").distinct(), [key, "path"], "left_anti").select(key, "path", "value")
+    stands = own.join(gone.select(key, "path").distinct(), [key, "path"], "left_anti")
+    return writes.join(stands, [key, "path", "_at"], "left_semi").select(key, "path", "value")
 
 
 def checked(settings: DataFrame, rules: DataFrame) -> DataFrame:

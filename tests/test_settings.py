@@ -50,3 +50,15 @@ def test_values_are_checked_by_their_rules(spark):
     out = S.checked(spark.createDataFrame([(i, p, v) for i, (p, v, _) in enumerate(cases)], "id int, path array<string>, value string"), rules)
     assert out.columns == ["id", "path", "value", "name", "problem"]
     assert {r.id: r.problem for r in out.collect()} == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_documents_are_parsed_once_at_any_depth(spark):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": 1, "none": {}}}}, "l": [{"x": 1}]}}}, "n": None}
+    rows = [(1, 1, json.dumps(deep)), (1, 1, json.dumps(deep)), (1, 2, json.dumps({"a": {"b": {"c": {"l": "{}"}}}})), (2, 1, '{"a": {}}')]
+    leaves = S.leaves(spark.createDataFrame(rows, "k long, v long, patch string"), "patch")
+    # What reads the leaves reads a table: no text is parsed again by the passes of a merge.
+    plan = leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "variant_explode" not in plan
+    got = sorted((r.k, ".".join(r.path), r.value) for r in S.deep_merged(leaves, "k", "v").collect())
+    # Rows of one version both stand, as in SQL.
+    assert got == [(1, "a.b.c.d.e.f.g", "1")] * 2 + [(1, "a.b.c.l", '"{}"')] + [(1, "n", "null")] * 2
