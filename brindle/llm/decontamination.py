@@ -118,9 +118,11 @@ class Keys:
         with np.errstate(over="ignore"):
             for j in range(max(used) + 1):
                 sign = data[pointer]
+                wide = sign.astype(_U) if j in used else None
                 for s in used.get(j, ()):
-                    out[s] = out[s] * _U(0x9E3779B97F4A7C15) + sign
-                pointer += (self.bits[walk, j] * step_by)[sign]
+                    out[s] *= _U(0x9E3779B97F4A7C15)
+                    out[s] += wide
+                pointer += (self.bits[walk, j] * step_by).astype(np.int64)[sign]
             return mix(out)
 
 
@@ -206,10 +208,28 @@ class Grams:
         # The first row of a diagonal counts all that later ones do. As a text may repeat a part of the item on several
         # diagonals, the item's bytes are then counted once each.
         first_of = np.append(True, lane[1:] != lane[:-1])
-        for k in np.flatnonzero(first_of & (covered[end] - covered[:-1] >= self.cover[item])).tolist():
-            at_item = np.sort(pos[k : end[k]] - diagonal[k : end[k]])
-            if self.size + int(np.minimum(self.size, np.diff(at_item)).sum()) >= self.cover[item[k]]:
-                yield int(doc[k]), int(item[k]), int(diagonal[k] - offsets[doc[k]])
+        k = np.flatnonzero(first_of & (covered[end] - covered[:-1] >= self.cover[item]))
+        k = k[self._distinct(pos - diagonal, k, end[k]) >= self.cover[item[k]]]
+        yield from zip(doc[k].tolist(), item[k].tolist(), (diagonal[k] - offsets[doc[k]]).tolist(), strict=True)
+
+    def _distinct(self, inside: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int = 500_000) -> np.ndarray:
+        """Bytes of an item that its runs at the places ``inside[begin:end]`` cover, each counted once, for each such stretch."""
+        out = np.zeros(len(begin), dtype=np.int64)
+        n = end - begin
+        total = np.cumsum(n)
+        span, lo = int(inside.max(initial=0)) + 1, 0
+        while lo < len(begin):
+            # In parts of about ``most`` places, one stretch at least.
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, side="right")))
+            size = n[lo:hi]
+            first = np.cumsum(size) - size
+            at = np.arange(int(size.sum())) + np.repeat(begin[lo:hi] - first, size)
+            place = np.sort(np.repeat(np.arange(hi - lo), size) * span + inside[at])
+            gap = np.minimum(self.size, np.diff(place, prepend=0))
+            gap[first] = self.size
+            out[lo:hi] = np.add.reduceat(gap, first)
+            lo = hi
+        return out
 
 
 @dataclass

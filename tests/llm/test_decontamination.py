@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from brindle.llm.decontamination import build_index, contaminated, edit_distance_within, normal, search, without_contaminated
@@ -135,3 +136,26 @@ def test_tables(spark):
     assert sorted((tuple(r)[:3] for r in many.collect()), key=str) == got
     assert sorted(r.doc_id or 0 for r in without_contaminated(docs, bench).collect()) == [0, 2, 3, 4]
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_covered_bytes_of_all_places_are_counted_at_once(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, normal(" ".join(words(rng, 30)).encode())) for i in range(5)]
+    grams = build_index(items).grams[0]
+    inside = np.array([rng.randrange(60) for _ in range(400)])
+    begin = np.array([rng.randrange(390) for _ in range(150)])
+    end = np.array([rng.randint(b + 1, 400) for b in begin])
+    plain = []
+    for lo, hi in zip(begin, end):
+        at = np.sort(inside[lo:hi])
+        plain.append(grams.size + int(np.minimum(grams.size, np.diff(at)).sum()))
+    for most in (1, 700, 500_000):
+        assert grams._distinct(inside, begin, end, most).tolist() == plain
+    assert grams._distinct(inside, begin[:0], end[:0]).tolist() == []
+    # A text that repeats halves of items gives many places to count; the number of sorts does not follow them.
+    halves = [t[: len(t) // 4] for _, t in items]
+    text = b" ".join(rng.choice(halves) for _ in range(2000))
+    calls, real = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda *a, **k: calls.append(1) or real(*a, **k))
+    list(search([text], build_index(items)))
+    assert len(calls) < 100
