@@ -258,8 +258,10 @@ def gold_passages(docs: DataFrame, quotes: DataFrame, most_short: int = MOST_SHO
     df = found.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     rarest = keyed.join(df, "key").groupBy("query_id", "quote").agg(F.min_by("key", F.struct("df", "key")).alias("key"))
     # A quote none of whose runs occurs has no place; one that lacks some run is ruled out when the texts are compared.
-    pairs = found.join(rarest, "key").select("query_id", "quote", "id")
-    out = pairs.join(body, "id").where(F.contains("body", F.col("quote"))).select("query_id", "id")
+    # Written, so that their size is known: where they are few, the texts are not shuffled, and only theirs are cleaned.
+    pairs = written(found.join(rarest, "key").select("query_id", "quote", "id"), "quote-pairs")
+    texts = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pairs.join(texts, "id").where(F.contains(clean(F.col("text")), F.col("quote"))).select("query_id", "id")
     short = quote.where(F.size("w") < 5).select("query_id", "quote")
     blocks = -(-short.count() // most_short)
     for n in range(blocks):
