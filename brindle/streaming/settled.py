@@ -1,24 +1,39 @@
 """Stateful streams over the run log that act on rows only when the watermark has passed them.
 
-Rows of a run wait in list state until no earlier row can come any more, and are then handed on in order. What a run has
-come to is one value; an event-time timer wakes it when its next row settles or its time is over, and a run that is over
-leaves no state.
+Rows of a run wait in list state until no earlier row can come any more, and are then handed on in order. They wait in
+packs, as an entry of a list state costs as much to read as a whole pack. What a run has come to is one value; an
+event-time timer wakes it when its next row settles or its time is over, and a run that is over leaves no state.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import ArrayType, StructType
 
-HELD = "at long, id long, kind string, cents long"
+#: A pack of rows that came together, as JSON.
+HELD = "rows string"
+#: Rows in a pack at most.
+PACK = 10_000
 #: (microseconds, id, kind, cents) of a row.
 Row = tuple[int, int, str, int]
 
 
+def packs(rows: list) -> list[tuple[str]]:
+    """Rows as entries of a list state."""
+    return [(json.dumps(rows[i : i + PACK]),) for i in range(0, len(rows), PACK)]
+
+
+def unpacked(entries: Iterator[tuple[str]]) -> Iterator[Row]:
+    for (pack,) in entries:
+        yield from map(tuple, json.loads(pack))
+
+
 class Settled(StatefulProcessor):
     """Hands the rows of a key to ``settle`` in the order of (time, id), once the watermark is past them."""
 
@@ -47,7 +62,7 @@ class Settled(StatefulProcessor):
         first = None
         for frame in rows:
             new = list(zip(frame["at"].tolist(), frame["id"].tolist(), frame["kind"].tolist(), frame["cents"].tolist(), strict=True))
-            self.held.appendList(new)
+            self.held.appendList(packs(new))
             least = min(r[0] for r in new) // 1000 + 1
             first = least if first is None else min(first, least)
         if first is not None:
@@ -56,25 +71,26 @@ class Settled(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        rows = sorted(unpacked(self.held.get()))
         ready = [r for r in rows if r[0] // 1000 + 1 <= now]
         later = rows[len(ready) :]
         if ready:
             self.held.clear()
             if later:
-                self.held.put(later)
-        state, out, wake = self.settle(key, tuple(self.state.get()) if self.state.exists() else None, ready, now)
-        if state is None:
-            self.state.clear()
-        else:
+                self.held.put(packs(later))
+        before = self.state.get()
+        state, out, wake = self.settle(key, before, ready, now)
+        if state is not None:
             self.state.update(state)
+        elif before is not None:
+            self.state.clear()
         waits = [w for w in (wake, later[0][0] // 1000 + 1 if later else None) if w is not None]
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+        # The key's only timer is the one that has just expired, and Spark deletes that.
         if waits:
             self.handle.registerTimer(max(min(waits), now + 1))
         if out:
-            yield pd.DataFrame(out, columns=self.output)
+            # A frame costs by its columns more than by its rows, and each key gives one.
+            yield pd.DataFrame({"rows": [p for (p,) in packs([dict(zip(self.output, r, strict=True)) for r in out])]})
 
     def close(self) -> None:
         pass
@@ -147,15 +163,16 @@ def once(log: DataFrame, watermark: str) -> DataFrame:
 
 
 def prepared(log: DataFrame, watermark: str) -> DataFrame:
-    """The log's rows as the processors read them."""
+    """The log's rows as the processors read them; late ones are dropped by now, so that ``ts`` itself is not needed."""
     cents = F.coalesce(F.round(F.col("value").cast("decimal(20,2)") * 100).cast("long"), F.lit(0))
-    return once(log, watermark).select("user_id", "ts", F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), cents.alias("cents"))
+    return once(log, watermark).select("user_id", F.unix_micros("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("kind"), cents.alias("cents"))
 
 
 def processed(log: DataFrame, processor: Settled, watermark: str = "10 minutes") -> DataFrame:
     """A stream of what a processor gives, in append mode. It needs the RocksDB state store (``runs.drain`` sets it)."""
     rows = prepared(log, watermark)
-    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime")
+    given = rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=HELD, outputMode="Append", timeMode="EventTime")
+    return given.select(F.inline(F.from_json("rows", ArrayType(StructType.fromDDL(processor.schema)), {"mode": "FAILFAST"})))
 
 
 def with_tail(numbered: DataFrame, log: DataFrame) -> DataFrame:

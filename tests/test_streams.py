@@ -1,8 +1,10 @@
 """Stateful streams: three triggers with a restart between them, late, repeated and out-of-order rows; state that goes away."""
 
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 
 from brindle.streaming import runs, settled
@@ -119,3 +121,58 @@ def test_settle_rules_by_hand():
     state, out, wake = s.settle((5,), None, [(1, 1, "a", 0), (2, 2, "end", 0), (3, 3, "a", 0)], 100)
     assert out == [(1, 5, 1), (2, 5, 2)] and state == (2, True, 110) and wake == 110
     assert s.settle((5,), state, [(4, 9, "a", 0)], 105)[1] == [] and s.settle((5,), state, [], 110)[0] is None
+
+
+def test_rows_wait_in_packs_and_not_one_by_one(spark, tmp_path):
+    rows, _ = log_rows()
+    frame = spark.createDataFrame([*rows, FAR], SCHEMA)
+    frame.coalesce(1).write.parquet(f"{tmp_path}/log")
+    stream = settled.processed(runs.log_stream(spark, f"{tmp_path}/log", frame.schema), settled.Runs(20 * 60 * 1000))
+    progress = runs.drain(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", rocksdb=True)
+    # The trigger that settles all 900 rows takes six keys' packs from the state; before, each row was an entry of its own.
+    assert 6 <= progress[0]["numRowsRemoved"] <= 30, progress
+    assert spark.read.schema(stream.schema).parquet(f"{tmp_path}/out").selectExpr("sum(n)").first()[0] == len(rows)
+
+
+class Held:
+    """A key's state, timers and list of packs, as far as the processors ask for them."""
+
+    def __init__(self):
+        self.entries, self.value, self.timers = [], None, []
+
+    def getListState(self, name, schema):
+        return type("L", (), {"get": lambda s: iter(self.entries), "appendList": lambda s, v: self.entries.extend(v), "put": lambda s, v: self.entries.__setitem__(slice(None), v), "clear": lambda s: self.entries.clear()})()
+
+    def getValueState(self, name, schema):
+        return type("V", (), {"get": lambda s: self.value, "update": lambda s, v: setattr(self, "value", v), "clear": lambda s: setattr(self, "value", None)})()
+
+    def listTimers(self):
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+def test_packs_keep_rows_order_and_one_timer_for_each_key(monkeypatch):
+    monkeypatch.setattr(settled, "PACK", 3)
+    rng, held, p = random.Random(3), Held(), settled.Sequence()
+    rows = [(1000 * i, 2**60 + i, rng.choice(["é \"a\",\n", "b", None]), i) for i in range(1, 41)]
+    assert [len(json.loads(t)) for (t,) in settled.packs(rows[:7])] == [3, 3, 1] and list(settled.unpacked(settled.packs(rows))) == rows and settled.packs([]) == []
+    p.init(held)
+    got, mixed = [], rng.sample(rows, len(rows))
+    for part, now in ((mixed[:25], 0), (mixed[25:], 30), ([], 10**6)):
+        frames = [pd.DataFrame(part[i : i + 10], columns=["at", "id", "kind", "cents"]).astype({"kind": object}) for i in range(0, len(part), 10)]
+        if frames:
+            assert list(p.handleInputRows((5,), iter(frames), None)) == [] and len(held.timers) == 1
+        while held.timers and held.timers[0] <= now:
+            at = held.timers[0]
+            for f in p.handleExpiredTimer((5,), type("T", (), {"getCurrentWatermarkInMs": lambda s, now=now: now})(), None):
+                for text in f["rows"]:
+                    assert len(json.loads(text)) <= 3
+                    got += [(r["event_id"], r["user_id"], r["seq"]) for r in json.loads(text)]
+            held.timers.remove(at)  # as Spark does
+            assert len(held.timers) <= 1 and all(t > now for t in held.timers)
+    assert got == [(2**60 + i, 5, i) for i in range(1, 41)] and held.entries == [] and held.timers == []
