@@ -7,7 +7,8 @@ best count, and joins both back to the documents.
 Neither tokenizer has a token that reaches over the place between a sign and a blank after it, so a text is aligned as
 the sequence of its stretches between such places, and a stretch that comes again is aligned once. Documents go through
 in bundles of bounded size. A bundle's different pairs are what is counted and joined, not the links of each document;
-the pairs of a document are found by the stretches it holds.
+a document names its pairs by their places among those of its bundle. What goes between the tasks is a row for each
+document: rows of whole bundles, of 12 MB each, are held by the dozen where they are written, read and shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +103,10 @@ class Aligner:
         self.a_names, self.b_names = ([str(i) for i in range(len(side))] for side in (self.a_bytes, self.b_bytes))
         # The cuts hold only if no piece has its blank after another sign.
         self.cut = not any(" " in t.lstrip(b" ").decode("utf-8", "replace") for t in self.b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        """Lets go of all stretches."""
         self.places, self.links, self.starts = Places(), NONE, np.zeros(1, np.int64)
 
     def stretches(self, text: str) -> list[str]:
@@ -138,7 +144,7 @@ class Aligner:
     def numbered(self, texts: list[str]) -> list[list[int]]:
         """The stretches of each text by their numbers; ``links`` and ``starts`` (of their pairs) hold all numbers."""
         if len(self.places) > REMEMBERED:
-            self.places, self.links = Places(), NONE
+            self.forget()
         old = len(self.places)
         out = [list(map(self.places.__getitem__, self.stretches(t))) if t else [] for t in texts]
         if len(self.places) > old:
@@ -146,6 +152,15 @@ class Aligner:
             self.starts = np.concatenate([[0], np.cumsum(self.links.counts[:, 3])])
         return out
 
+    def pairs(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of some stretches, in order, and how many links hold each."""
+        used, often = np.unique(numbers, return_counts=True)
+        sizes = self.links.counts[used, 3]
+        # The places of these stretches' pairs: runs from each start.
+        run = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[used], sizes)
+        pairs, at = np.unique(self.links.pairs[run], return_inverse=True)
+        return pairs, np.bincount(at, weights=np.repeat(often, sizes), minlength=len(pairs)).astype(np.int64)
+
 
 _aligners: dict[tuple[str, str], Aligner] = {}
 
@@ -161,72 +176,74 @@ def aligner(byte_level: str | None, pieces: str | None) -> Aligner:
     return _aligners[byte_level, pieces]
 
 
-BUNDLES = (
-    "bundle long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups_sha256 array<string>, "
-    "words binary, n_words array<long>, links binary, n_pairs binary, pairs array<long>, totals array<long>"
-)
+def forget_stretches() -> None:
+    """For Python workers that aligned before and now do something else."""
+    for align in _aligners.values():
+        align.forget()
+
 
+#: A document: places (32 bits each) of its different pairs among those of its bundle, and how many of its links hold
+#: each. The first one of a bundle has the bundle's pairs and their totals too.
+BUNDLES = "bundle long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, pairs array<long>, totals array<long>"
 
-def bundle(align: Aligner, number: int, ids: list, texts: list[str]) -> dict:
-    """One bundle: its documents' counts; the stretches of each; the links of each stretch; its pairs and their totals."""
+
+def bundle(align: Aligner, number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
+    """One bundle: a row for each document."""
     cut = align.numbered(texts)
     links = align.links
-    rows: list[np.ndarray] = []
-    totals: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
     shas: list[str] = []
+    found: list[np.ndarray] = []
+    times: list[np.ndarray] = []
     for own in cut:
         at = np.array(own, dtype=np.int64)
         if not links.fine[at].all():
             own, at = [], at[:0]
-        rows.append(at)
-        totals.append(links.counts[at].sum(axis=0))
+        counts.append(links.counts[at].sum(axis=0))
         shas.append(hashlib.sha256(";".join(map(links.groups.__getitem__, own)).encode()).hexdigest() if own else "")
-    words = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    often = np.bincount(words, minlength=len(links.fine))
-    used = np.nonzero(often)[0]
-    new_place = np.zeros(len(often), np.uint32)
-    new_place[used] = np.arange(len(used))
-    sizes = links.counts[used, 3]
-    # The places of the used stretches' pairs: runs from each start.
-    run = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(align.starts[used], sizes)
-    pairs, at = np.unique(links.pairs[run], return_inverse=True)
-    weight = np.bincount(at, weights=np.repeat(often[used], sizes), minlength=len(pairs)).astype(np.int64)
-    table = np.array(totals, dtype=np.int64).reshape(-1, 4)
-    return {
-        "bundle": number, "doc_id": ids, "n_a": table[:, 0], "n_b": table[:, 1], "n_groups": table[:, 2], "n_links": table[:, 3], "groups_sha256": shas,
-        "words": new_place[words].tobytes(), "n_words": [len(r) for r in rows], "links": at.astype(np.uint32).tobytes(), "n_pairs": sizes.astype(np.uint32).tobytes(), "pairs": pairs, "totals": weight,
-    }
+        pairs, n = align.pairs(at)
+        found.append(pairs)
+        times.append(n)
+    pairs, places = np.unique(np.concatenate(found), return_inverse=True)
+    totals = np.bincount(places, weights=np.concatenate(times), minlength=len(pairs)).astype(np.int64)
+    ends = np.cumsum([len(f) for f in found])[:-1]
+    table = np.array(counts, dtype=np.int64).reshape(-1, 4)
+    others = [None] * (len(ids) - 1)
+    longs = pa.list_(pa.int64())
+    return pa.record_batch({
+        "bundle": pa.array([number] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "n_a": table[:, 0], "n_b": table[:, 1], "n_groups": table[:, 2], "n_links": table[:, 3], "groups_sha256": shas,
+        "places": [p.tobytes() for p in np.split(places.astype(np.uint32), ends)], "times": [n.astype(np.uint32).tobytes() for n in times], "pairs": pa.array([pairs, *others], longs), "totals": pa.array([totals, *others], longs),
+    })
 
 
 def bundles(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, size: int = BUNDLE_BYTES) -> DataFrame:
-    """Documents in bundles of about ``size`` bytes of text (a longer text is one of its own), aligned."""
+    """Documents, aligned in bundles of about ``size`` bytes of text (a longer text is one of its own)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         align = aligner(byte_level, pieces)
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         texts: list[str] = []
         held = 0
 
-        def out() -> pd.DataFrame:
+        def out() -> pa.RecordBatch:
             nonlocal held, number
-            row = bundle(align, number, list(ids), texts)
+            rows = bundle(align, number, ids, texts)
             ids.clear(), texts.clear()
             held, number = 0, number + 1
-            return pd.DataFrame([row])
+            return rows
 
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].astype(object), batch["text"], strict=True):
-                text = text or ""
+            for doc, text in zip(batch["doc_id"].to_pylist(), (t.as_py() for t in batch["text"]), strict=True):
                 if texts and held + len(text) > size:
                     yield out()
-                ids.append(None if pd.isna(doc) else int(doc))
+                ids.append(doc)
                 texts.append(text)
                 held += len(text) + 64
         if texts:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, BUNDLES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, BUNDLES)
 
 
 def pair_counts(made: DataFrame) -> DataFrame:
@@ -245,30 +262,24 @@ SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 def scored(made: DataFrame, counts: DataFrame) -> DataFrame:
-    """Documents with the counts of their links: pairs get theirs by a join, once a bundle, and stretches sum them up."""
-    asked = made.select("bundle", F.explode("pairs").alias("pair"))
-    told = asked.join(counts.select("pair", "n", (F.col("n") == F.col("b_best")).alias("best"), (F.col("n") == F.col("a_best")).alias("best_a")), "pair")
-    # As many rows for a bundle as it has different pairs, which its size bounds.
-    told = told.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("pair", "n", "best", "best_a"))).alias("told"))
-    told = told.select("bundle", F.col("told.n").alias("n"), F.col("told.best").cast("array<int>").alias("best"), F.col("told.best_a").cast("array<int>").alias("best_a"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                words, links = np.frombuffer(r.words, np.uint32), np.frombuffer(r.links, np.uint32)
-                sizes, n_words = np.frombuffer(r.n_pairs, np.uint32).astype(np.int64), np.asarray(r.n_words, dtype=np.int64)
-                sums = []
-                for values in (r.best, r.best_a, r.n):
-                    values = np.zeros(0, np.int64) if values is None else np.asarray(values, dtype=np.int64)
-                    by_link = np.concatenate([[0], np.cumsum(values[links])])
-                    ends = np.cumsum(sizes)
-                    by_stretch = by_link[ends] - by_link[ends - sizes]
-                    by_word = np.concatenate([[0], np.cumsum(by_stretch[words])])
-                    ends = np.cumsum(n_words)
-                    sums.append(by_word[ends] - by_word[ends - n_words])
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(x) else int(x) for x in r.doc_id], dtype="Int64"), "n_a": r.n_a, "n_b": r.n_b, "n_groups": r.n_groups, "n_links": r.n_links, "n_best": sums[0], "n_best_a": sums[1], "count_sum": sums[2], "groups_sha256": r.groups_sha256})
-
-    return made.drop("pairs", "totals").join(told, "bundle", "left").mapInPandas(run, SCORED)
+    """Documents with the counts of their links: pairs get theirs by a join, once a bundle, and documents sum them up."""
+    asked = made.select(F.col("bundle").alias("of"), F.explode("pairs").alias("pair"))
+    told = asked.join(counts.select("pair", "n", (F.col("n") == F.col("b_best")).cast("long").alias("n_best"), (F.col("n") == F.col("a_best")).cast("long").alias("n_best_a")), "pair")
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        forget_stretches()
+        order = np.argsort(told["pair"].to_numpy())
+        sizes = pc.binary_length(docs["places"]).to_numpy().astype(np.int64) // 4
+        ends = np.cumsum(sizes)
+        places, times = (np.frombuffer(b"".join(docs[c].to_pylist()), np.uint32) for c in ("places", "times"))
+        sums = {}
+        for name in ("n_best", "n_best_a", "n"):
+            so_far = np.concatenate([[0], np.cumsum(told[name].to_numpy()[order][places] * times)])
+            sums[name] = so_far[ends] - so_far[ends - sizes]
+        return pa.table({c: docs[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"n_best": sums["n_best"], "n_best_a": sums["n_best_a"], "count_sum": sums["n"], "groups_sha256": docs["groups_sha256"]})
+
+    # A group holds what one bundle does, which its size bounds.
+    return made.drop("pairs", "totals").groupBy("bundle").cogroup(told.groupBy("of")).applyInArrow(run, SCORED)
 
 
 def tokenizer_alignment(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None, size: int = BUNDLE_BYTES) -> tuple[DataFrame, DataFrame]:
